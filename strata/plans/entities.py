@@ -209,3 +209,14 @@ class Entities:
             F.col("event_id").alias("offset"),
             F.col("value").alias("balance"),
         )
+
+    def positions(self) -> DataFrame:
+        """Location readings spread over the globe by event id."""
+        e = self.table("events")
+        return e.select(
+            "event_id",
+            "user_id",
+            F.col("ts").alias("timestamp"),
+            ((F.col("event_id") * 7919 % 18000).cast("double") / 100 - 90).alias("latitude"),
+            ((F.col("event_id") * 104729 % 36000).cast("double") / 100 - 180).alias("longitude"),
+        )

@@ -63,8 +63,11 @@ VIEWS = {
                ['mobile', 'tablet', 'desktop'][user_id % 3 + 1] AS device_type FROM events""",
     "changes": """
         SELECT user_id AS key, CASE event_type WHEN 'signup' THEN 'c' WHEN 'view' THEN 'r' WHEN 'purchase' THEN 'u'
-               WHEN 'click' THEN 'u' WHEN 'error' THEN 'd' END AS op, epoch_ms(ts) AS ts_ms,
+               WHEN 'click' THEN 'u' WHEN 'error' THEN 'd' END AS op, epoch_us(ts) // 1000 AS ts_ms,
                event_id AS "offset", value AS balance FROM events""",
+    "positions": """
+        SELECT event_id, user_id, ts AS "timestamp", CAST(event_id * 7919 % 18000 AS DOUBLE) / 100 - 90 AS latitude,
+               CAST(event_id * 104729 % 36000 AS DOUBLE) / 100 - 180 AS longitude FROM events""",
 }
 NEEDS = {"dirty_events": ["app_events"]}
 
