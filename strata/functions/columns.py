@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,15 @@ def grid(c: str | Column, step: float) -> Column:
 def money(c: str | Column) -> Column:
     """Sum of an amount kept as a double, rounded once to cents; averages divide this total."""
     return F.round(F.sum(col(c)), 2)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns behind a one-row generator.
+
+    The optimizer pushes a filter on a projected column below the projection, with a second copy
+    of its expression; for parsing that copy costs as much as the work itself.  Filters stop at a
+    generator, so the parsed value is used instead.
+    """
+    staged = df.withColumns({f"_{name}": c for name, c in columns.items()})
+    values = F.struct(*[F.col(f"_{name}").alias(name) for name in columns])
+    return staged.select(*df.columns, F.inline(F.array(values)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import schemas
+from strata.functions.columns import computed_once
 
 
 # Keys that only an enveloped message carries.
@@ -31,20 +32,17 @@ def decode(records: DataFrame) -> DataFrame:
     ``source`` and ``timestamp`` fields take the place of the envelope's.
     """
     text = F.col("value").cast("string")
-    parsed = records.select(
-        F.col("topic").alias("kafka_topic"),
-        "partition",
-        "offset",
-        F.col("timestamp").alias("kafka_timestamp"),
-        F.from_json(text, schemas.ENVELOPE).alias("message"),
-        F.from_json(text, "map<string,string>").alias("flat"),
+    parsed = computed_once(
+        records,
+        message=F.from_json(text, schemas.ENVELOPE),
+        flat=F.from_json(text, "map<string,string>"),
     )
     enveloped = F.arrays_overlap(F.map_keys("flat"), F.array(*[F.lit(k) for k in ENVELOPE_KEYS]))
     return parsed.select(
-        "kafka_topic",
+        F.col("topic").alias("kafka_topic"),
         "partition",
         "offset",
-        "kafka_timestamp",
+        F.col("timestamp").alias("kafka_timestamp"),
         F.coalesce("message.source_id", F.try_element_at("flat", F.lit("source"))).alias("source_id"),
         F.coalesce("message.source_name", F.try_element_at("flat", F.lit("source"))).alias("source_name"),
         F.coalesce(
