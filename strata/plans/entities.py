@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.sources.tables import table
@@ -16,6 +16,10 @@ RUN_STATUS = {"F": "FAILED", "O": "SUCCESS", "P": "RUNNING"}
 # Event type -> log level, and -> change-data operation.
 LOG_LEVEL = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}
 CHANGE_OP = {"signup": "c", "view": "r", "purchase": "u", "click": "u", "error": "d"}
+QUEUE_TOPIC = {"error": "dlq_processing_errors", "signup": "dlq_schema_validation_errors"}
+JOBS = ["kafka-1", "kafka-2", "postgres-1", "minio", "api"]
+LATENCY_BOUNDS = [250.0, 500.0, 1000.0, 2500.0, 5000.0, float("inf")]
+COUNTER_RESET = "2024-01-15"
 DEVICES = ["mobile", "tablet", "desktop"]
 
 
@@ -220,3 +224,96 @@ class Entities:
             ((F.col("event_id") * 7919 % 18000).cast("double") / 100 - 90).alias("latitude"),
             ((F.col("event_id") * 104729 % 36000).cast("double") / 100 - 180).alias("longitude"),
         )
+
+    def offsets(self) -> DataFrame:
+        """Queue offsets as a counter per topic and broker, sampled in every minute with events;
+        all counters restart at one moment."""
+        topic = F.coalesce(
+            recode(F.col("event_type"), QUEUE_TOPIC, F.lit(None).cast("string")),
+            F.concat(F.lit("topic_"), F.col("event_type")),
+        )
+        minutes = (
+            self.table("events")
+            .groupBy(
+                topic.alias("topic"),
+                F.concat(F.lit("broker-"), F.col("user_id") % 3).alias("instance"),
+                F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("ts"),
+            )
+            .agg(F.count("*").alias("n"))
+        )
+        return minutes.select("topic", "instance", "ts", self._since_reset("topic", "instance").alias("value"))
+
+    @staticmethod
+    def _since_reset(*series: str, value: str = "n"):
+        restarted = F.col("ts") >= F.lit(COUNTER_RESET).cast("timestamp_ntz")
+        w = Window.partitionBy(*series, restarted).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(value).over(w).cast("double")
+
+    def request_counters(self) -> DataFrame:
+        """Request count and summed duration (ms) as counters per service and status class."""
+        status = F.when(F.col("event_type") == "error", "5xx").otherwise("2xx")
+        minutes = (
+            self.table("events")
+            .groupBy(
+                F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("service"),
+                status.alias("status"),
+                F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz").alias("ts"),
+            )
+            .agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 20).cast("bigint")).alias("ms"))
+        )
+        running = minutes.select(
+            "service", "status", "ts",
+            self._since_reset("service", "status").alias("n"),
+            self._since_reset("service", "status", value="ms").alias("ms"),
+        )
+        return running.select(
+            "service", "status", "ts",
+            F.expr("stack(2, 'request_duration_count', n, 'request_duration_sum', ms) AS (metric, value)"),
+        )
+
+    def gauges(self) -> DataFrame:
+        """Memory gauges per node and hour."""
+        hours = (
+            self.table("events")
+            .groupBy(
+                F.concat(F.lit("node-"), F.col("user_id") % 5).alias("instance"),
+                F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("ts"),
+            )
+            .agg(F.min("value").alias("available"), (F.max("value") + 1).alias("total"))
+        )
+        return hours.select(
+            "instance", "ts",
+            F.expr("stack(2, 'memory_available', available, 'memory_total', total) AS (metric, value)"),
+        )
+
+    def up(self) -> DataFrame:
+        """Up / down samples per job: an error event is a failed probe."""
+        jobs = F.array(*[F.lit(j) for j in JOBS])
+        return self.table("events").select(
+            F.element_at(jobs, (F.col("user_id") % 5 + 1).cast("int")).alias("job"),
+            F.concat(F.lit("host-"), F.col("user_id") % 7).alias("instance"),
+            "ts",
+            F.col("event_id").alias("sample_id"),
+            F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("value"),
+        )
+
+    def latency_buckets(self) -> DataFrame:
+        """Cumulative response-time buckets per service."""
+        logs = self.logs()
+        counts = logs.groupBy("service").agg(
+            *[F.count(F.when(F.col("response_time") <= b, 1)).alias(f"b{i}") for i, b in enumerate(LATENCY_BOUNDS)]
+        )
+        rows = [
+            F.struct(F.lit(b).alias("le"), F.col(f"b{i}").cast("double").alias("count"))
+            for i, b in enumerate(LATENCY_BOUNDS)
+        ]
+        return counts.select("service", F.inline(F.array(*rows)))
+
+    def searches(self) -> DataFrame:
+        """Search history: what was looked for and how many hits it had."""
+        k = F.get_json_object("props", "$.k")
+        return self.table("events").select(
+            "user_id",
+            F.concat_ws(" ", "event_type", k).alias("query"),
+            ((F.col("user_id") + k.cast("bigint")) % 7).alias("results_count"),
+        )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.plans.entities import Entities
 from strata.session import tune
 
-FAMILIES = ["gold", "serving", "cleaning", "quality", "metadata", "windows"]
+FAMILIES = ["gold", "serving", "cleaning", "quality", "metadata", "windows", "monitoring"]
 
 
 @dataclass(frozen=True)

@@ -68,8 +68,33 @@ VIEWS = {
     "positions": """
         SELECT event_id, user_id, ts AS "timestamp", CAST(event_id * 7919 % 18000 AS DOUBLE) / 100 - 90 AS latitude,
                CAST(event_id * 104729 % 36000 AS DOUBLE) / 100 - 180 AS longitude FROM events""",
+    "offsets": """
+        SELECT topic, instance, ts, CAST(sum(n) OVER (PARTITION BY topic, instance, ts >= '2024-01-15' ORDER BY ts) AS DOUBLE) AS value
+        FROM (SELECT CASE event_type WHEN 'error' THEN 'dlq_processing_errors' WHEN 'signup' THEN 'dlq_schema_validation_errors'
+                     ELSE 'topic_' || event_type END AS topic, 'broker-' || (user_id % 3) AS instance,
+                     date_trunc('minute', ts) AS ts, count(*) AS n FROM events GROUP BY ALL)""",
+    "request_counters": """
+        SELECT service, status, ts, metric, CAST(sum(v) OVER (PARTITION BY service, status, metric, ts >= '2024-01-15' ORDER BY ts) AS DOUBLE) AS value
+        FROM (SELECT service, status, ts, unnest(['request_duration_count', 'request_duration_sum']) AS metric, unnest([n, ms]) AS v
+              FROM (SELECT 'svc-' || (user_id % 5) AS service, CASE WHEN event_type = 'error' THEN '5xx' ELSE '2xx' END AS status,
+                           date_trunc('minute', ts) AS ts, count(*) AS n, CAST(sum(CAST(round(value * 20) AS BIGINT)) AS BIGINT) AS ms
+                    FROM events GROUP BY ALL))""",
+    "gauges": """
+        SELECT instance, ts, unnest(['memory_available', 'memory_total']) AS metric, unnest([a, t]) AS value
+        FROM (SELECT 'node-' || (user_id % 5) AS instance, date_trunc('hour', ts) AS ts, min(value) AS a, max(value) + 1 AS t
+              FROM events GROUP BY ALL)""",
+    "up": """
+        SELECT ['kafka-1', 'kafka-2', 'postgres-1', 'minio', 'api'][user_id % 5 + 1] AS job, 'host-' || (user_id % 7) AS instance, ts,
+               event_id AS sample_id, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM events""",
+    "latency_buckets": """
+        SELECT service, b AS le, CAST(count(*) FILTER (WHERE response_time <= b) AS DOUBLE) AS count
+        FROM logs, (SELECT unnest([250.0, 500.0, 1000.0, 2500.0, 5000.0, 'inf'::DOUBLE]) AS b) GROUP BY ALL""",
+    "searches": """
+        SELECT user_id, event_type || ' ' || json_extract_string(props, '$.k') AS query,
+               (user_id + CAST(json_extract_string(props, '$.k') AS BIGINT)) % 7 AS results_count FROM events""",
 }
-NEEDS = {"dirty_events": ["app_events"]}
+NEEDS = {"dirty_events": ["app_events"], "latency_buckets": ["logs"]}
+
 
 
 def using(*names: str, **extra: str) -> str:
