@@ -186,8 +186,8 @@ def errors(record: Column, contract: list[Field]) -> Column:
             codes.append(F.when(typed & (number() < f.minimum), f"minimum:{f.path}"))
         if f.maximum is not None:
             codes.append(F.when(typed & (number() > f.maximum), f"maximum:{f.path}"))
-    unreadable = F.when(record.isNull(), "unreadable")
-    return F.array_compact(F.array(unreadable, *codes))
+    found = F.array_compact(F.array(*codes))
+    return F.when(record.isNull(), F.array(F.lit("unreadable"))).otherwise(found)
 
 
 def validate(df: DataFrame, column: str, contract: list[Field]) -> DataFrame:

@@ -40,8 +40,8 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
 
 def exposition(samples: DataFrame) -> DataFrame:
     """Metric samples -> text lines with help, type and ``name{label="value"} value``."""
-    pairs = F.transform(
-        F.map_entries("labels"), lambda e: F.concat(e.key, F.lit('="'), e.value, F.lit('"'))
+    pairs = F.array_sort(
+        F.transform(F.map_entries("labels"), lambda e: F.concat(e.key, F.lit('="'), e.value, F.lit('"')))
     )
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     line = F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string"))
