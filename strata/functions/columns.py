@@ -72,3 +72,11 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     staged = df.withColumns({f"_{name}": c for name, c in columns.items()})
     values = F.struct(*[F.col(f"_{name}").alias(name) for name in columns])
     return staged.select(*df.columns, F.inline(F.array(values)))
+
+
+def code_list(*codes: Column) -> Column:
+    """The non-null codes as an array.  Codes hold no comma.  Built from string functions, which
+    stay in generated code; ``array_compact`` would evaluate everything below it interpreted."""
+    if not codes:
+        return F.array().cast("array<string>")
+    return F.array_remove(F.split(F.concat_ws(",", *codes), ","), "")

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import computed_once
+from strata.functions.columns import code_list, computed_once
 
 
 @dataclass(frozen=True)
@@ -94,14 +95,14 @@ EXTERNAL = [
     Field("timestamp", "string", True),
     Field("data", "object", True),
 ]
-# JSON type name -> prefixes of the variant type it may be stored as.
+# JSON type name -> first words of the variant types it may be stored as.
 VARIANT_TYPES = {
-    "string": "^STRING",
-    "integer": r"^(BIGINT|DECIMAL\(\d+,0\))",
-    "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)",
-    "boolean": "^BOOLEAN",
-    "object": "^OBJECT",
-    "array": "^ARRAY",
+    "string": ["STRING"],
+    "integer": ["BIGINT"],
+    "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"],
+    "boolean": ["BOOLEAN"],
+    "object": ["OBJECT"],
+    "array": ["ARRAY"],
 }
 
 
@@ -140,58 +141,63 @@ def load(path: str) -> list[Field]:
     return from_avro(schema) if "fields" in schema else from_json_schema(schema)
 
 
-def _at(record: Column, path: str) -> Column:
-    return F.variant_get(record, "$." + path, "variant")
-
-
 def required_errors(record: Column, contract: list[Field]) -> Column:
     """Codes of top-level required fields whose key is absent; a null value counts as present."""
-    codes = [
-        F.when(_at(record, f.path).isNull(), f"missing:{f.path}")
-        for f in contract
-        if f.required and not f.parent
-    ]
-    return F.array_compact(F.array(*codes)) if codes else F.array().cast("array<string>")
-
-
-def errors(record: Column, contract: list[Field]) -> Column:
-    """Codes of all broken rules, in contract order.  Rules of a nested field count only when its
-    parent is there; value rules count only for values of the right type."""
-    codes: list[Column] = []
-    for f in contract:
-        value = _at(record, f.path)
-        is_null = F.is_variant_null(value)
-        present = value.isNotNull() & ~is_null
-        if f.required:
-            absent = value.isNull()
-            if f.parent:
-                parent = _at(record, f.parent)
-                absent = absent & parent.isNotNull() & ~F.is_variant_null(parent)
-            codes.append(F.when(absent, f"missing:{f.path}"))
-        typed = present
-        if f.type is not None:
-            matches = F.schema_of_variant(value).rlike(VARIANT_TYPES[f.type])
-            bad = present & ~matches
-            if not f.nullable:
-                bad = bad | F.coalesce(is_null, F.lit(False))
-            codes.append(F.when(bad, f"type:{f.path}"))
-            typed = present & matches
-        text = lambda: F.try_variant_get(record, "$." + f.path, "string")
-        number = lambda: F.try_variant_get(record, "$." + f.path, "double")
-        if f.enum:
-            codes.append(F.when(typed & ~text().isin(*f.enum), f"enum:{f.path}"))
-        if f.pattern:
-            codes.append(F.when(typed & ~text().rlike(f.pattern), f"pattern:{f.path}"))
-        if f.minimum is not None:
-            codes.append(F.when(typed & (number() < f.minimum), f"minimum:{f.path}"))
-        if f.maximum is not None:
-            codes.append(F.when(typed & (number() > f.maximum), f"maximum:{f.path}"))
-    found = F.array_compact(F.array(*codes))
-    return F.when(record.isNull(), F.array(F.lit("unreadable"))).otherwise(found)
+    absent = lambda f: F.variant_get(record, "$." + f.path, "variant").isNull()
+    return code_list(*[F.when(absent(f), f"missing:{f.path}") for f in contract if f.required and not f.parent])
+
+
+def is_type(kind: Column, name: str) -> Column:
+    """Whether a value's variant type is the JSON type ``name``; integers of any length count."""
+    found = [kind.startswith(word) for word in VARIANT_TYPES[name]]
+    if name == "integer":
+        found.append(kind.startswith("DECIMAL") & kind.endswith(",0)"))
+    return reduce(lambda a, b: a | b, found)
+
+
+def _code(i: int, f: Field, parent: Column | None) -> Column | None:
+    """The first rule of a field that is broken, over the staged columns; null when all hold.
+    A nested field is required only when its parent is there."""
+    kind, text, number = F.col(f"_kind_{i}"), F.col(f"_text_{i}"), F.col(f"_number_{i}")
+    rules: list[tuple[Column, str]] = []
+    if f.required:
+        absent = kind.isNull()
+        rules.append((absent if parent is None else absent & (parent != "VOID"), "missing"))
+    if f.type is not None:
+        fits = is_type(kind, f.type)
+        rules.append((~(fits | (kind == "VOID")) if f.nullable else ~fits, "type"))
+    if f.enum:
+        rules.append((~text.isin(*f.enum), "enum"))
+    if f.pattern:
+        rules.append((~text.rlike(f.pattern), "pattern"))
+    if f.minimum is not None:
+        rules.append((number < f.minimum, "minimum"))
+    if f.maximum is not None:
+        rules.append((number > f.maximum, "maximum"))
+    code = None
+    for broken, name in rules:
+        label = f"{name}:{f.path}"
+        code = F.when(broken, label) if code is None else code.when(broken, label)
+    return code
 
 
 def validate(df: DataFrame, column: str, contract: list[Field]) -> DataFrame:
-    """``errors`` and ``is_valid`` beside the JSON text in ``column``."""
-    parsed = df.withColumn("_record", F.try_parse_json(column))
-    checked = computed_once(parsed, errors=errors(F.col("_record"), contract)).drop("_record")
+    """``errors``, the first broken rule of each field in contract order, and ``is_valid`` beside the JSON text in
+    ``column``.  The text is parsed once and every field looked up once; the rules then compare
+    plain columns."""
+    record = F.col("_record")
+    looked_up = {}
+    for i, f in enumerate(contract):
+        looked_up[f"_kind_{i}"] = F.schema_of_variant(F.variant_get(record, "$." + f.path, "variant"))
+        if f.enum or f.pattern:
+            looked_up[f"_text_{i}"] = F.try_variant_get(record, "$." + f.path, "string")
+        if f.minimum is not None or f.maximum is not None:
+            looked_up[f"_number_{i}"] = F.try_variant_get(record, "$." + f.path, "double")
+    staged = df.withColumn("_record", F.try_parse_json(column)).withColumns(looked_up)
+    paths = {f.path: i for i, f in enumerate(contract)}
+    parent = lambda f: F.col(f"_kind_{paths[f.parent]}") if f.parent else None
+    codes = [_code(i, f, parent(f)) for i, f in enumerate(contract)]
+    unreadable = F.array(F.lit("unreadable"))
+    errors = F.when(record.isNull(), unreadable).otherwise(code_list(*[c for c in codes if c is not None]))
+    checked = computed_once(staged, errors=errors).select(*df.columns, "errors")
     return checked.withColumn("is_valid", F.size("errors") == 0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata import schemas
 from strata.functions.columns import computed_once
 
 
@@ -31,27 +30,19 @@ def decode(records: DataFrame) -> DataFrame:
     A flat event without an envelope is accepted too: its own fields become the payload and its
     ``source`` and ``timestamp`` fields take the place of the envelope's.
     """
-    text = F.col("value").cast("string")
-    parsed = computed_once(
-        records,
-        message=F.from_json(text, schemas.ENVELOPE),
-        flat=F.from_json(text, "map<string,string>"),
-    )
-    enveloped = F.arrays_overlap(F.map_keys("flat"), F.array(*[F.lit(k) for k in ENVELOPE_KEYS]))
+    parsed = computed_once(records, fields=F.from_json(F.col("value").cast("string"), "map<string,string>"))
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    enveloped = F.arrays_overlap(F.map_keys("fields"), F.array(*[F.lit(k) for k in ENVELOPE_KEYS]))
+    flat = F.when(F.size("fields") > 0, F.col("fields"))
     return parsed.select(
         F.col("topic").alias("kafka_topic"),
         "partition",
         "offset",
         F.col("timestamp").alias("kafka_timestamp"),
-        F.coalesce("message.source_id", F.try_element_at("flat", F.lit("source"))).alias("source_id"),
-        F.coalesce("message.source_name", F.try_element_at("flat", F.lit("source"))).alias("source_name"),
-        F.coalesce(
-            "message.ingestion_timestamp",
-            F.when(~enveloped, F.try_element_at("flat", F.lit("timestamp"))),
-        ).alias("ingestion_timestamp"),
-        F.when(enveloped, F.col("message.data"))
-        .when(F.size(F.map_keys("flat")) > 0, F.col("flat"))
-        .alias("raw_data"),
+        F.coalesce(field("source_id"), field("source")).alias("source_id"),
+        F.coalesce(field("source_name"), field("source")).alias("source_name"),
+        F.when(enveloped, field("ingestion_timestamp")).otherwise(field("timestamp")).alias("ingestion_timestamp"),
+        F.when(enveloped, F.from_json(field("data"), "map<string,string>")).otherwise(flat).alias("raw_data"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata import schemas
-from strata.functions.columns import grid
+from strata.functions.columns import code_list, grid
 from strata.operators.dedup import keep_first
 
 # Log levels that are kept; change operations that are kept.
@@ -133,7 +133,7 @@ def booking_errors(bookings: DataFrame, users: DataFrame, as_of: str, max_amount
         "unknown_user": F.col("known_user").isNull(),
     }
     joined = bookings.join(known, bookings.user_id == known.known_user, "left")
-    codes = F.array_compact(F.array(*[F.when(bad, code) for code, bad in rules.items()]))
+    codes = code_list(*[F.when(bad, code) for code, bad in rules.items()])
     return joined.withColumn("errors", codes).drop("known_user")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import epoch
+from strata.functions.columns import code_list, epoch
 
 # Duplicate keys per source.
 DEDUP_KEYS = {
@@ -61,5 +61,5 @@ def outside_window(df: DataFrame, keys: list[str], ts: str, seconds: int, tie: s
 
 def keep_valid(df: DataFrame, key: str, order: list, rules: dict[str, Column]) -> DataFrame:
     """First row per key with the names of the broken rules; an empty list means accepted."""
-    broken = F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules.items()]))
+    broken = code_list(*[F.when(~ok, name) for name, ok in rules.items()])
     return keep_first(df, [key], order).withColumn("rejected_for", broken)

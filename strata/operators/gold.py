@@ -26,6 +26,22 @@ def activity(silver: DataFrame) -> DataFrame:
     )
 
 
+def each_event(silver: DataFrame) -> DataFrame:
+    """Silver rows in the roll-up's columns without any aggregation, for a per-user table that is
+    built once from raw rows and needs no shuffle by day."""
+    amount = F.coalesce(F.col("amount"), F.lit(0.0))
+    return silver.select(
+        "processing_date",
+        "user_id",
+        "region",
+        "event_type",
+        F.lit(1).cast("bigint").alias("events"),
+        amount.alias("amount_sum"),
+        F.col("timestamp").alias("first_ts"),
+        F.col("timestamp").alias("last_ts"),
+    )
+
+
 def _events_of(event_type: str):
     return sum_of(F.col("event_type") == event_type, "events")
 

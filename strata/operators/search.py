@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import computed_once, count_of
+from strata.session import cut_lineage
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -17,7 +18,7 @@ def tokens(text: Column) -> Column:
 
 
 def _frequency(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def search(df: DataFrame, key: str, fields: dict[str, float], query: str, size: int = 10) -> DataFrame:
@@ -25,8 +26,9 @@ def search(df: DataFrame, key: str, fields: dict[str, float], query: str, size:
     ``boost * tf * ln(1 + N / df)``.
 
     Term frequencies are counted inside each row, over its whole text, so nothing is exploded or
-    shuffled.  The document frequencies are one row from a first aggregate and enter the second
-    pass as a scalar; only ``size`` rows per task reach the final order.
+    shuffled.  Texts are read once: the hits, a key and a few counts per row, are materialised in
+    the shared folder, and their document frequencies enter the scoring as scalars.  Only
+    ``size`` rows per task reach the final order.
     """
     terms = sorted(set(t for t in query.lower().split() if t))
     cells = [(f"tf_{i}_{j}", f, t) for i, f in enumerate(fields) for j, t in enumerate(terms)]
@@ -35,13 +37,13 @@ def search(df: DataFrame, key: str, fields: dict[str, float], query: str, size:
     counted = computed_once(staged, **{c: _frequency(F.col(f"w_{f}"), t) for c, f, t in cells}).select(
         key, *[c for c, _, _ in cells]
     )
-    stats = counted.agg(
-        F.struct(F.count("*").alias("n"), *[count_of(F.col(c) > 0).alias(c) for c, _, _ in cells])
-    ).scalar()
-    scored = counted.where(reduce(lambda a, b: a | b, [F.col(c) > 0 for c, _, _ in cells])).withColumn("_s", stats)
+    hits = cut_lineage(counted.where(reduce(lambda a, b: a | b, [F.col(c) > 0 for c, _, _ in cells])))
+    rows = df.agg(F.count("*")).scalar()
+    stats = hits.agg(F.struct(*[count_of(F.col(c) > 0).alias(c) for c, _, _ in cells])).scalar()
+    scored = hits.withColumns({"_n": rows, "_s": stats})
     weights = [
         F.when(
-            F.col(c) > 0, fields[f] * F.col(c) * F.ln(1 + F.col("_s.n") / F.col(f"_s.{c}"))
+            F.col(c) > 0, fields[f] * F.col(c) * F.ln(1 + F.col("_n") / F.col(f"_s.{c}"))
         ).otherwise(0.0)
         for c, f, _ in cells
     ]

@@ -39,9 +39,6 @@ QUEUE_RECORD = (
     "timestamp timestamp, timestampType int"
 )
 
-# The JSON envelope around every published record.
-ENVELOPE = "source_id string, source_name string, ingestion_timestamp string, data map<string,string>"
-
 BRONZE = (
     "kafka_topic string, source_id string, source_name string, partition int, offset bigint, "
     "kafka_timestamp timestamp, ingestion_timestamp string, processed_timestamp timestamp, "
