@@ -104,8 +104,11 @@ def anonymise_position(df: DataFrame, metres: float = 100) -> DataFrame:
 
 
 def sample_by_key(df: DataFrame, key: str, rate: float, buckets: int = 10_000) -> DataFrame:
-    """A stable sample: a key is in or out for good, whatever the run or partitioning."""
-    return df if rate >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < rate * buckets)
+    """A stable sample: a key is in or out for good, whatever the run, partitioning or engine."""
+    if rate >= 1:
+        return df
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.where(digest % buckets < int(rate * buckets))
 
 
 def retention_state(ts: Column, as_of: str, archive_after_days: int, retention_days: int) -> Column:

@@ -191,10 +191,9 @@ def terms(df: DataFrame, *keys: str, size: int | None = None) -> DataFrame:
 
 
 def share(df: DataFrame, *keys: str) -> DataFrame:
-    """Counts per key value and their share of the total in %; the window holds one row per value."""
-    everything = Window.partitionBy()
-    counted = terms(df, *keys)
-    return counted.withColumn("share", F.col("count") / F.sum("count").over(everything) * 100)
+    """Counts per key value and their share of all rows in %."""
+    total = df.agg(F.count("*")).scalar()
+    return terms(df, *keys).withColumn("share", F.col("count") / total * 100)
 
 
 def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:

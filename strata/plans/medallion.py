@@ -12,6 +12,7 @@ from strata import schemas
 from strata.functions import envelope
 from strata.operators import clean, dlq, gold, metadata, quality
 from strata.operators.dedup import distinct_rows
+from strata.session import cut_lineage
 from strata.sinks.layers import write_path
 from strata.sources.tables import bronze_partition
 
@@ -81,9 +82,12 @@ def governed_bronze_to_silver(
         codes = F.array(*[F.lit(f"missing:{c}") for c in missing])
         divert(events.withColumn("_errors", codes), errors="_errors")
         quality.gate(columns)
-    results = columns.unionByName(
-        quality.table_checks(
-            events, "app_events", {"user_id_not_null": {"type": "range", "column": "user_id", "min": 1}}
+    # a handful of rows, used three times below
+    results = cut_lineage(
+        columns.unionByName(
+            quality.table_checks(
+                events, "app_events", {"user_id_not_null": {"type": "range", "column": "user_id", "min": 1}}
+            )
         )
     )
     scored = quality.score(results).first()

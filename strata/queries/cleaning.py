@@ -11,7 +11,7 @@ from strata.plans.entities import recode
 from strata.queries import query
 from strata.queries.entity_sql import using
 from strata.sources import incremental
-from strata.sources.tables import bronze_partition
+from strata.sources.tables import bronze_partition, spread
 
 _TS = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f') AS \"timestamp\""
 DAY = "2024-01-25"
@@ -55,9 +55,11 @@ def clean_app_events(e):
     return _text_ts(clean.clean_app_events(e.dirty_events(), DAY)).drop("processed_at")
 
 
-@query("P6")
+@query("P6", using("app_events") + f"""
+    SELECT event_id, '{DAY}' AS processing_date, 100.0::DOUBLE AS data_quality_score FROM app_events""")
 def processing_metadata(e):
-    return clean.with_processing(e.app_events().drop("processing_date"), DAY, 100.0)
+    stamped = clean.with_processing(e.app_events().drop("processing_date"), DAY, 100.0)
+    return stamped.where(F.col("processed_at").isNotNull()).select("event_id", "processing_date", "data_quality_score")
 
 
 @query("P5", using("changes") + """
@@ -77,7 +79,7 @@ def date_parts(e):
 
 def queue_records(e):
     """Events as they would arrive on the message queue, one topic per event type."""
-    ev = e.table("events")
+    ev = spread(e.table("events"))
     topic = F.concat(F.lit("topic_"), F.col("event_type"), F.lit("_events"))
     row = F.struct(
         F.when(F.col("event_id") % 19 != 0, F.concat(F.lit("src_"), F.col("user_id") % 20)).alias("source_id"),
@@ -180,9 +182,10 @@ def anonymous_positions(e):
     return snapped.select("event_id", cell("latitude").alias("lat_cell"), cell("longitude").alias("lon_cell"))
 
 
-@query("P14")
+@query("P14", using("clicks") + """
+    SELECT event_id, session_id FROM clicks WHERE ('0x' || substr(md5(session_id), 1, 8))::BIGINT % 10000 < 2500""")
 def sampled_clicks(e):
-    return clean.sample_by_key(e.clicks(), "session_id", 0.25)
+    return clean.sample_by_key(e.clicks(), "session_id", 0.25).select("event_id", "session_id")
 
 
 @query("P15", f"""
@@ -317,6 +320,25 @@ def newest_logs_of_service(e):
     return _text_ts(clean.newest_first(e.logs(), "ts", "id", service="svc-3"), "ts").select("id", "level", "message", "ts")
 
 
+@query("P24", using("gauges") + f"""
+    SELECT instance, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM gauges WHERE metric = 'memory_total'
+    ORDER BY ts DESC""")
+def newest_metric_samples(e):
+    rows = clean.newest_first(e.gauges(), "ts", "instance", metric="memory_total")
+    return _text_ts(rows, "ts").select("instance", "value", "ts")
+
+
+@query("P24", """
+    SELECT c_custkey AS id, c_name AS username, c_mktsegment AS role FROM customer
+    WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 ORDER BY c_custkey""")
+def active_users_of_role(e):
+    users = e.table("customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("role"),
+        (F.col("c_acctbal") > 0).alias("is_active"),
+    )
+    return users.where((F.col("role") == "BUILDING") & F.col("is_active")).orderBy("id").drop("is_active")
+
+
 @query("P24", using("lineage_nodes") + "SELECT id, name, type, parent_id FROM lineage_nodes WHERE type = 'silver' ORDER BY id")
 def lineage_nodes_of_type(e):
     return e.lineage_nodes().where("type = 'silver'").orderBy("id")
@@ -436,7 +458,8 @@ def dedup_whole_rows(e):
 @query("D2", "SELECT lang, count(DISTINCT text) AS texts, count(*) AS documents FROM documents GROUP BY lang")
 def distinct_texts(e):
     docs = e.table("documents")
-    copies = docs.groupBy("lang", "text").agg(F.count("*").alias("copies"))
+    # a digest stands for the whole text, so 64 characters per row are shuffled instead of it
+    copies = docs.groupBy("lang", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"))
     return copies.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents"))
 
 

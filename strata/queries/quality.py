@@ -10,6 +10,7 @@ from strata.operators import dlq, quality
 from strata.queries import query
 from strata.queries.cleaning import queue_records
 from strata.queries.entity_sql import using
+from strata.sources.tables import spread
 
 NOW = "2024-01-30 12:00:00"
 
@@ -59,7 +60,7 @@ def json_events(e):
     text, device without system, lower-case country, negative amount."""
     mod = lambda n: F.col("event_id") % n == 0
     number = F.col("event_id").cast("string")
-    return e.table("events").select(
+    return spread(e.table("events")).select(
         "event_id",
         F.concat(
             F.when(mod(17), '{"event_id":"bad_').otherwise('{"event_id":"evt_'), F.lpad(number, 10, "0"),
@@ -120,12 +121,6 @@ RULES = {
 }
 
 
-@query("Q7")
-def expected_columns(e):
-    wanted = ["user_id", "action", "tour_id", "timestamp", "ingestion_time"]
-    return quality.expected_columns(e.app_events(), wanted, "app_events")
-
-
 _TABLE_CHECKS = using("dirty_events", c="""
         SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_events)) AS d,
                count(*) FILTER (WHERE user_id IS NULL) AS un, count(*) FILTER (WHERE user_id < 1) AS r0,

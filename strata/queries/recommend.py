@@ -8,6 +8,7 @@ from strata.operators import recommend
 from strata.operators.search import search
 from strata.queries import query
 from strata.queries.entity_sql import using
+from strata.sources.tables import spread
 
 
 def users(e):
@@ -111,4 +112,4 @@ def tour_search(e):
 
 @query("R5", "WITH " + _search_sql("documents", "doc_id", {"text": (1.0, _SPLIT.format("text"))}, ["thea", "nicht", "eden"], 100))
 def document_search(e):
-    return search(e.table("documents"), "doc_id", {"text": 1.0}, "thea nicht eden", 100)
+    return search(spread(e.table("documents")), "doc_id", {"text": 1.0}, "thea nicht eden", 100)

@@ -38,3 +38,14 @@ def try_catalog_table(spark: SparkSession, name: str, schema: str) -> DataFrame:
         return spark.table(name)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for costly per-row work such as parsing or tokenising.
+
+    A few unsplittable files would keep most cores idle, so such a narrow scan is dealt out over
+    them; a scan with at least one split per core, which any large table has, is left as it is.
+    ``scan`` must not contain a shuffle: its partitions are counted from the file listing alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -178,6 +178,21 @@ def test_positions_snap_to_a_grid(spark):
     assert all(abs(r.latitude - o.latitude) <= 100 / 111_320 for r, o in zip(got.collect(), df.collect()))
 
 
+def test_sampling_is_stable_and_keeps_the_rate(spark):
+    df = spark.range(20_000)
+    kept = {r.id for r in clean.sample_by_key(df, "id", 0.25).collect()}
+    assert kept == {r.id for r in clean.sample_by_key(df.repartition(7), "id", 0.25).collect()}
+    assert 4_700 < len(kept) < 5_300 and clean.sample_by_key(df, "id", 1.0).count() == 20_000
+
+
+def test_small_side_checks_its_size(spark):
+    from strata.session import small_side
+
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(small_side(spark.range(10)))
+    assert "broadcast" not in plan(small_side(spark.range(10), max_rows=5))
+
+
 def test_unwrap_changes(spark):
     message = {"payload": {"op": "d", "ts_ms": 5, "before": {"id": "7"}, "after": None, "source": {"db": "d", "table": "t"}}}
     row = cdc.unwrap(spark.createDataFrame([(json.dumps(message), 3)], "value string, offset bigint")).first()
