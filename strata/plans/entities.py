@@ -24,10 +24,11 @@ DEVICES = ["mobile", "tablet", "desktop"]
 
 
 def recode(column, names: dict[str, str], default=None):
+    """Renamed values; others become ``default``, or null without one."""
     out = None
     for old, new in names.items():
         out = F.when(column == old, new) if out is None else out.when(column == old, new)
-    return out.otherwise(column if default is None else default)
+    return out if default is None else out.otherwise(default)
 
 
 class Entities:
@@ -57,7 +58,7 @@ class Entities:
         return events.join(self.customers(), events.user_id == F.col("c_custkey")).select(
             "event_id",
             "user_id",
-            recode(F.col("event_type"), EVENT_NAMES).alias("event_type"),
+            recode(F.col("event_type"), EVENT_NAMES, F.col("event_type")).alias("event_type"),
             F.col("ts").alias("timestamp"),
             F.col("value").alias("amount"),
             F.col("r_name").alias("region"),
@@ -96,8 +97,13 @@ class Entities:
             F.col("p_brand").alias("brand"),
         )
 
-    def tour_events(self) -> DataFrame:
+    def tour_events(self, only: str | None = None) -> DataFrame:
+        """All tour events, or those of one type; the type is then filtered by its stored flag,
+        which reaches the scan."""
         lineitem, orders, region = (self.table(t) for t in ("lineitem", "orders", "region"))
+        if only is not None:
+            flags = [flag for flag, name in TOUR_EVENT.items() if name == only]
+            lineitem = lineitem.where(F.col("l_returnflag").isin(flags))
         return (
             lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(region, F.col("r_regionkey") == F.col("l_partkey") % 5)
@@ -229,7 +235,7 @@ class Entities:
         """Queue offsets as a counter per topic and broker, sampled in every minute with events;
         all counters restart at one moment."""
         topic = F.coalesce(
-            recode(F.col("event_type"), QUEUE_TOPIC, F.lit(None).cast("string")),
+            recode(F.col("event_type"), QUEUE_TOPIC),
             F.concat(F.lit("topic_"), F.col("event_type")),
         )
         minutes = (

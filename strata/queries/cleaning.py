@@ -526,9 +526,8 @@ _BOOKED = """SELECT DISTINCT user_id, region FROM tour_events WHERE event_type =
     SELECT DISTINCT user_id, tour_id, region FROM tour_events t WHERE event_type = 'click'
     AND EXISTS (SELECT 1 FROM r WHERE r.user_id = t.user_id AND r.region = t.region)""")
 def clicked_in_booked_regions(e):
-    events = e.tour_events()
-    clicked = events.where("event_type = 'click'").select("user_id", "tour_id", "region").distinct()
-    return enrich.in_user_regions(clicked, events.where("event_type = 'booking'"))
+    clicked = e.tour_events("click").select("user_id", "tour_id", "region").distinct()
+    return enrich.in_user_regions(clicked, e.tour_events("booking"))
 
 
 @query("J5 Q13", using("data_sources", "source_executions") + """

@@ -31,9 +31,14 @@ def _user_360_sql(view: str, as_of: str) -> str:
     FROM {view} e JOIN v ON e.user_id = v.user_id WHERE e.processing_date <= '{as_of}' GROUP BY e.user_id"""
 
 
+def _before_end(events, as_of):
+    """Up to the day by the event's own time, a filter that reaches the scan."""
+    return events.where(F.col("timestamp") < F.lit(as_of).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+
+
 def _user_360(events, as_of):
     text = F.transform("visited_regions", lambda v: F.concat(v.region, F.lit("="), v.visits))
-    return gold.user_360(gold.each_event(events), as_of).select(
+    return gold.user_360(gold.each_event(_before_end(events, as_of)), as_of).select(
         "user_id", "total_events", "total_clicks", "total_bookings", "total_searches",
         "total_spent", "avg_transaction_value",
         F.array_join(text, ",").alias("visited_regions"),
@@ -92,7 +97,7 @@ def tourism_pivot(e):
            '{TOUR_AS_OF}' AS processing_date
     FROM tour_events WHERE processing_date <= '{TOUR_AS_OF}' GROUP BY user_id""")
 def recommendation_features(e):
-    f = gold.recommendation_features(gold.each_event(e.tour_events()), TOUR_AS_OF)
+    f = gold.recommendation_features(gold.each_event(_before_end(e.tour_events(), TOUR_AS_OF)), TOUR_AS_OF)
     return f.select(
         "user_id", "total_interactions", "clicks", "bookings", "searches",
         "total_spend", "avg_spend",

@@ -23,9 +23,8 @@ def users(e):
            CASE WHEN r.user_id IS NOT NULL THEN 'Popular in your region' ELSE 'Trending' END AS reason
     FROM c LEFT JOIN r ON c.user_id = r.user_id AND c.region = r.region""")
 def recommendation_reasons(e):
-    events = e.tour_events()
-    candidates = events.where("event_type = 'click'").select("user_id", "tour_id", "region").distinct()
-    return recommend.with_reason(candidates, events.where("event_type = 'booking'"))
+    candidates = e.tour_events("click").select("user_id", "tour_id", "region").distinct()
+    return recommend.with_reason(candidates, e.tour_events("booking"))
 
 
 @query("R2", using("tours", "tour_events", tg="SELECT DISTINCT tour_id, unnest(tags) AS tag FROM tours", u="""
@@ -36,9 +35,8 @@ def recommendation_reasons(e):
         k="SELECT user_id, count(*) AS nu FROM u GROUP BY user_id") + """
     SELECT s.user_id, tour_id, shared / (nt + coalesce(nu, 0) - shared) AS content_score FROM s LEFT JOIN k ON s.user_id = k.user_id""")
 def content_scores(e):
-    events = e.tour_events()
-    clicked = events.where("event_type = 'click'").select("user_id", "tour_id").distinct()
-    return recommend.content_scores(clicked, events.where("event_type = 'booking'"), e.tours())
+    clicked = e.tour_events("click").select("user_id", "tour_id").distinct()
+    return recommend.content_scores(clicked, e.tour_events("booking"), e.tours())
 
 
 _PEERS = dict(us="""SELECT c_custkey AS user_id, n_name AS peers, r_name AS home FROM customer

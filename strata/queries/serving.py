@@ -69,13 +69,13 @@ _RECENT = f"\"timestamp\" >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND \"timesta
     SELECT region, count(*) AS booking_count, round(sum(amount), 2) / count(*) AS avg_price
     FROM tour_events WHERE event_type = 'booking' AND {_RECENT} GROUP BY region ORDER BY booking_count DESC, region""")
 def bookings_by_region(e):
-    return serving.bookings_by_region(e.tour_events().where("event_type = 'booking'"), AS_OF)
+    return serving.bookings_by_region(e.tour_events("booking"), AS_OF)
 
 
 @query("A17", using("tour_events") + f"""
     SELECT round(sum(amount), 2) AS revenue FROM tour_events WHERE event_type = 'booking' AND {_RECENT}""")
 def revenue_last_month(e):
-    return serving.revenue(e.tour_events().where("event_type = 'booking'"), AS_OF)
+    return serving.revenue(e.tour_events("booking"), AS_OF)
 
 
 @query("A18", using("tours", "tour_events") + """
@@ -125,7 +125,7 @@ def events_per_day(e):
     SELECT strftime("timestamp", '%Y-%m-%d') AS day, round(sum(amount), 2) AS revenue
     FROM tour_events WHERE event_type = 'booking' GROUP BY ALL""")
 def revenue_trend(e):
-    return serving.revenue_trend(e.tour_events().where("event_type = 'booking'")).withColumn("day", day_text("day"))
+    return serving.revenue_trend(e.tour_events("booking")).withColumn("day", day_text("day"))
 
 
 @query("A21 W2", using("clicks") + """
@@ -215,7 +215,7 @@ def kpi_tiles(e):
            (revenue - lag(revenue) OVER (ORDER BY "month")) / lag(revenue) OVER (ORDER BY "month") * 100 AS change_percent
     FROM r""")
 def revenue_change(e):
-    booked = e.tour_events().where("event_type = 'booking'")
+    booked = e.tour_events("booking")
     monthly = booked.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
         F.round(F.sum("amount"), 2).alias("revenue")
     )

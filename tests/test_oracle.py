@@ -19,11 +19,6 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
     assert compare(spark, duck, QUERIES[name], sf_dir) in (None, "EMPTY")
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])
-def test_rows_only(spark, sf_dir, name):
-    assert QUERIES[name].run(spark, sf_dir).count() > 0
-
-
 def test_entry_points(spark):
     df = entry_points.entry(spark)
     assert "total_revenue" in df.columns and df.count() > 0
