@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
         "strata-tests",
         "local[4]",
         spark__sql__shuffle__partitions="4",
+        spark__sql__maxMetadataStringLength="2000",
         spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
