@@ -30,7 +30,8 @@ def sum_of(condition: Column, value: str | Column) -> Column:
 
 
 def day_text(c: str | Column) -> Column:
-    return F.date_format(col(c), "yyyy-MM-dd")
+    """``yyyy-MM-dd``; a plain cast, several times cheaper per row than a format pattern."""
+    return F.to_date(col(c)).cast("string")
 
 
 def ts_text(c: str | Column) -> Column:

@@ -205,7 +205,7 @@ def histogram(df: DataFrame, value: Column, width: float) -> DataFrame:
 
 def user_months(events: DataFrame) -> DataFrame:
     """One row per user and active month, with the user's first month."""
-    month = F.date_format("timestamp", "yyyy-MM")
+    month = F.trunc("timestamp", "month")
     active = events.groupBy("user_id", month.alias("month")).agg(
         F.max(F.when(F.col("event_type") == "booking", 1).otherwise(0)).alias("booked")
     )
@@ -213,7 +213,11 @@ def user_months(events: DataFrame) -> DataFrame:
 
 
 def _month_number(c: Column) -> Column:
-    return F.substring(c, 1, 4).cast("int") * 12 + F.substring(c, 6, 2).cast("int")
+    return F.year(c) * 12 + F.month(c)
+
+
+def _month_text(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM").alias(c)
 
 
 def cohort_retention(events: DataFrame) -> DataFrame:
@@ -227,8 +231,12 @@ def cohort_retention(events: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("month_offset") == 0, F.col("active_users"))).over(
         Window.partitionBy("cohort_month")
     )
-    return cells.withColumn("cohort_size", size).withColumn(
-        "retention_rate", F.col("active_users") / F.col("cohort_size") * 100
+    return cells.withColumn("cohort_size", size).select(
+        _month_text("cohort_month"),
+        "month_offset",
+        "active_users",
+        "cohort_size",
+        (F.col("active_users") / F.col("cohort_size") * 100).alias("retention_rate"),
     )
 
 
@@ -242,7 +250,7 @@ def user_growth(events: DataFrame) -> DataFrame:
     )
     so_far = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return months.select(
-        "month",
+        _month_text("month"),
         "active_users",
         "new_users",
         F.sum("new_users").over(so_far).alias("total_users"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.functions.columns import day_text
 from strata.sources.tables import table
 
 # Stored event types that the business layer calls by another name.
@@ -64,7 +65,7 @@ class Entities:
             F.col("r_name").alias("region"),
             F.col("n_name").alias("country"),
             F.col("c_mktsegment").alias("source"),
-            F.date_format("ts", "yyyy-MM-dd").alias("processing_date"),
+            day_text("ts").alias("processing_date"),
         )
 
     def dirty_events(self) -> DataFrame:
@@ -114,7 +115,7 @@ class Entities:
                 F.col("l_extendedprice").alias("amount"),
                 F.col("l_shipdate").alias("timestamp"),
                 F.col("r_name").alias("region"),
-                F.date_format("l_shipdate", "yyyy-MM-dd").alias("processing_date"),
+                day_text("l_shipdate").alias("processing_date"),
             )
         )
 
@@ -195,12 +196,11 @@ class Entities:
 
     def clicks(self) -> DataFrame:
         """Clickstream rows: a session is one user's day."""
-        day = F.date_format("ts", "yyyy-MM-dd")
         return self.table("events").select(
             "event_id",
             "user_id",
             F.col("ts").alias("timestamp"),
-            F.concat_ws("-", F.col("user_id").cast("string"), day).alias("session_id"),
+            F.concat_ws("-", F.col("user_id").cast("string"), day_text("ts")).alias("session_id"),
             F.concat(
                 F.lit("/"), F.col("event_type"), F.lit("/"), F.get_json_object("props", "$.k")
             ).alias("page_url"),

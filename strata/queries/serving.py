@@ -216,7 +216,8 @@ def kpi_tiles(e):
     FROM r""")
 def revenue_change(e):
     booked = e.tour_events("booking")
-    monthly = booked.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
+    monthly = booked.groupBy(F.trunc("timestamp", "month").alias("m")).agg(
         F.round(F.sum("amount"), 2).alias("revenue")
     )
+    monthly = monthly.select(F.date_format("m", "yyyy-MM").alias("month"), "revenue")
     return serving.change_over_period(monthly, "month", "revenue")
