@@ -188,7 +188,7 @@ def test_sampling_is_stable_and_keeps_the_rate(spark):
 def test_small_side_checks_its_size(spark):
     from strata.session import small_side
 
-    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(small_side(spark.range(10)))
     assert "broadcast" not in plan(small_side(spark.range(10), max_rows=5))
 
