@@ -66,8 +66,9 @@ def instant_rate(samples: DataFrame, series: list[str], by: list[str], seconds:
 
 
 def gauge_ratio(samples: DataFrame, part: str, whole: str, series: list[str]) -> DataFrame:
-    """Two gauges side by side in one aggregate, and their guarded ratio."""
-    value_of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    """Two gauges side by side in one aggregate, and their guarded ratio.  Several samples of a
+    gauge per group and time, such as connections per database, add up."""
+    value_of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value")))
     return (
         samples.where(F.col("metric").isin(part, whole))
         .groupBy(*series, "ts")

@@ -95,3 +95,26 @@ def test_governed_run_fails_after_diverting(spark, root):
         )
     dead = spark.read.parquet(f"{root}/dead").first()
     assert dead.queue == "dlq_schema_validation_errors" and "missing:ingestion_time" in dead.error.message
+
+
+def test_runs_and_executions_are_recorded(spark, root):
+    from strata.operators import metadata
+    from strata.plans.tracking import tracked
+
+    with tracked(spark, f"{root}/audit", "medallion", "good") as run:
+        run.source("app_events", 10, 8)
+    with pytest.raises(RuntimeError):
+        with tracked(spark, f"{root}/audit", "medallion", "bad"):
+            raise RuntimeError("lost")
+    runs = spark.read.schema(schemas.PIPELINE_RUN).parquet(f"{root}/audit/pipeline_runs")
+    assert {r.pipeline_name: (r.status, r.error_message) for r in runs.collect()} == {
+        "good": ("SUCCESS", None), "bad": ("FAILED", "RuntimeError: lost"),
+    }
+    done = spark.read.schema(schemas.SOURCE_EXECUTION).parquet(f"{root}/audit/source_executions")
+    row = done.first()
+    assert (row.status, row.failed_record_count, row.quality_score) == ("PARTIAL", 2, 80.0)
+    sources = spark.createDataFrame([("app_events",), ("idle",)], "source_id string")
+    status = {r.source_id: r.total_executions for r in metadata.source_status(sources, done).collect()}
+    assert status == {"app_events": 1, "idle": 0}
+    samples = {r.name: r.value for r in metadata.job_metrics(done).collect()}
+    assert samples["records_failed_total"] == 2.0 and samples["job_success_rate_percent"] == 80.0

@@ -193,6 +193,31 @@ def test_small_side_checks_its_size(spark):
     assert "broadcast" not in plan(small_side(spark.range(10), max_rows=5))
 
 
+def test_clickstream_json_is_flattened(spark):
+    click = {
+        "anonymous_id": "anon_0123456789", "event": "Page Viewed", "timestamp": "2024-01-01T00:00:00Z",
+        "properties": {"url": "https://x.example/a/b?q=1"}, "context": {"ip": "1.1.1.1", "campaign": {"source": "feed"}},
+    }
+    parsed = spark.createDataFrame([(json.dumps(click),)], "j string").select(F.from_json("j", schemas.CLICKSTREAM).alias("c"))
+    row = clean.enrich_clicks(parsed.select("c.*")).first()
+    assert (row.visitor, row.is_anonymous, row.host, row.path, row.search) == ("anon_0123456789", True, "x.example", "/a/b", "q=1")
+    assert row.campaign_source == "feed" and row.screen_width is None
+
+
+def test_external_payload_per_type(spark):
+    rows = [
+        ("openweather", "weather", '{"current":{"temp":30.5},"forecast":[{"date":"2024-01-02","temp_max":31}]}'),
+        ("openweather", "weather", '{"current":{"temp":10}}'),
+        ("google_maps", "maps", '{"place_id":"p","rating":4.5}'),
+    ]
+    df = spark.createDataFrame(rows, "source string, data_type string, data string").select(
+        "source", "data_type", "data", F.struct(F.lit("Hanoi").alias("city"), F.lit("VN").alias("country")).alias("location"),
+        F.lit("t").alias("timestamp"),
+    )
+    assert sorted((r.temp, r.forecast_date) for r in clean.weather(df).collect()) == [(10.0, None), (30.5, "2024-01-02")]
+    assert clean.external(df, "maps").first().data.rating == 4.5
+
+
 def test_unwrap_changes(spark):
     message = {"payload": {"op": "d", "ts_ms": 5, "before": {"id": "7"}, "after": None, "source": {"db": "d", "table": "t"}}}
     row = cdc.unwrap(spark.createDataFrame([(json.dumps(message), 3)], "value string, offset bigint")).first()
