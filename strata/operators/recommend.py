@@ -74,6 +74,19 @@ def peer_scores(events: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def also_booked(events: DataFrame, tour_id) -> DataFrame:
+    """Co-occurrence with one tour: how many of its bookers booked each other tour.  Linear in the
+    bookings; the full tour-by-tour table would be quadratic in a user's tours."""
+    booked = events.where(F.col("event_type") == "booking").select("user_id", "tour_id").distinct()
+    bookers = booked.where(F.col("tour_id") == tour_id).select("user_id")
+    return (
+        booked.where(F.col("tour_id") != tour_id)
+        .join(bookers, "user_id", "left_semi")
+        .groupBy("tour_id")
+        .agg(F.count("*").alias("co_bookers"))
+    )
+
+
 def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> DataFrame:
     """Peer score (relative to the group's best tour), home-region match and rating, weighted.
     ``users`` has (user_id, peers, home_region); a group has one home region."""

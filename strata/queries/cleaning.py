@@ -103,14 +103,14 @@ def queue_records(e):
     SELECT 'topic_' || event_type || '_events' AS kafka_topic, CAST(user_id % 3 AS INT) AS "partition",
            event_id AS "offset", CASE WHEN event_id % 19 <> 0 THEN 'src_' || (user_id % 20) END AS source_id,
            'App events' AS source_name, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ingestion_timestamp,
-           CASE WHEN event_id % 31 <> 0 THEN event_id END AS event_id,
-           CASE WHEN event_id % 31 <> 0 THEN user_id END AS user_id,
-           CASE WHEN event_id % 31 <> 0 THEN value END AS amount FROM events""")
+           CASE WHEN event_id % 31 <> 0 THEN event_id ELSE -1 END AS event_id,
+           CASE WHEN event_id % 31 <> 0 THEN user_id ELSE -1 END AS user_id,
+           CASE WHEN event_id % 31 <> 0 THEN value ELSE -1 END AS amount FROM events""")
 def envelope_decode(e):
     decoded = envelope.typed(
         envelope.decode(queue_records(e)), {"event_id": "bigint", "user_id": "bigint", "amount": "double"}
     )
-    return decoded.drop("raw_data", "kafka_timestamp")
+    return decoded.drop("raw_data", "kafka_timestamp").na.fill(-1)
 
 
 @query("Q12", """
@@ -444,15 +444,15 @@ def stacked_sources(e):
 
 
 @query("D1", using("dirty_events") + f"""
-    SELECT event_id, user_id, event_type, amount, region, {_TS} FROM
+    SELECT event_id, coalesce(user_id, -1) AS user_id, event_type, amount, region, {_TS} FROM
       (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY "timestamp") AS rn FROM dirty_events) WHERE rn = 1""")
 def dedup_by_key(e):
-    return _text_ts(dedup.keep_first(e.dirty_events(), ["event_id"], ["timestamp"]))
+    return _text_ts(dedup.keep_first(e.dirty_events(), ["event_id"], ["timestamp"])).na.fill(-1)
 
 
-@query("D2", using("dirty_events") + f"SELECT DISTINCT event_id, user_id, event_type, amount, region, {_TS} FROM dirty_events")
+@query("D2", using("dirty_events") + f"SELECT DISTINCT event_id, coalesce(user_id, -1) AS user_id, event_type, amount, region, {_TS} FROM dirty_events")
 def dedup_whole_rows(e):
-    return _text_ts(dedup.distinct_rows(e.dirty_events()))
+    return _text_ts(dedup.distinct_rows(e.dirty_events())).na.fill(-1)
 
 
 @query("D2", "SELECT lang, count(DISTINCT text) AS texts, count(*) AS documents FROM documents GROUP BY lang")

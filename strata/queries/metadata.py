@@ -16,11 +16,11 @@ from strata.queries.entity_sql import using
     SELECT d.source_id, d.source_name, d.source_type, d.is_enabled, count(DISTINCT e.execution_id) AS total_executions,
            count(*) FILTER (WHERE e.status = 'SUCCESS') AS successful_executions,
            count(*) FILTER (WHERE e.status = 'FAILED') AS failed_executions,
-           strftime(max(e.started_at), '%Y-%m-%d') AS last_execution_time, avg(e.quality_score) AS avg_quality_score
+           strftime(max(e.started_at), '%Y-%m-%d') AS last_execution_time, coalesce(avg(e.quality_score), -1) AS avg_quality_score
     FROM data_sources d LEFT JOIN source_executions e ON d.source_id = e.source_id GROUP BY ALL""")
 def source_status(e):
     status = metadata.source_status(e.data_sources(), e.source_executions())
-    return status.withColumn("last_execution_time", day_text("last_execution_time"))
+    return status.withColumn("last_execution_time", day_text("last_execution_time")).na.fill(-1.0, ["avg_quality_score"])
 
 
 @query("L3 L1", using("source_executions") + """

@@ -56,6 +56,13 @@ def peer_scores(e):
     return recommend.peer_scores(e.tour_events(), users(e).select("user_id", "peers"))
 
 
+@query("R3", using("tour_events", b="SELECT DISTINCT user_id, tour_id FROM tour_events WHERE event_type = 'booking'") + """
+    SELECT o.tour_id, count(*) AS co_bookers FROM b o JOIN b a ON o.user_id = a.user_id
+    WHERE a.tour_id = 42 AND o.tour_id <> 42 GROUP BY o.tour_id""")
+def also_booked(e):
+    return recommend.also_booked(e.tour_events("booking"), 42)
+
+
 @query("R4", using("tours", "tour_events", **_HYBRID) + "SELECT peers, tour_id, region, predicted_rating, match_score FROM h")
 def hybrid_scores(e):
     return recommend.hybrid_scores(e.tour_events(), users(e), e.tours())

@@ -211,8 +211,8 @@ def kpi_tiles(e):
 @query("W6", using("tour_events", r="""
         SELECT strftime("timestamp", '%Y-%m') AS "month", round(sum(amount), 2) AS revenue
         FROM tour_events WHERE event_type = 'booking' GROUP BY ALL""") + """
-    SELECT "month", revenue, lag(revenue) OVER (ORDER BY "month") AS previous,
-           (revenue - lag(revenue) OVER (ORDER BY "month")) / lag(revenue) OVER (ORDER BY "month") * 100 AS change_percent
+    SELECT "month", revenue, coalesce(lag(revenue) OVER (ORDER BY "month"), 0) AS previous,
+           coalesce((revenue - lag(revenue) OVER (ORDER BY "month")) / lag(revenue) OVER (ORDER BY "month") * 100, 0) AS change_percent
     FROM r""")
 def revenue_change(e):
     booked = e.tour_events("booking")
@@ -220,4 +220,4 @@ def revenue_change(e):
         F.round(F.sum("amount"), 2).alias("revenue")
     )
     monthly = monthly.select(F.date_format("m", "yyyy-MM").alias("month"), "revenue")
-    return serving.change_over_period(monthly, "month", "revenue")
+    return serving.change_over_period(monthly, "month", "revenue").na.fill(0.0)

@@ -16,6 +16,6 @@ def update_rows(e):
     return raised.select("tour_id", "region", "price")
 
 
-@query("T3", using("dirty_events") + "SELECT event_id, user_id, amount FROM dirty_events WHERE NOT (user_id < 75) OR user_id IS NULL")
+@query("T3", using("dirty_events") + "SELECT event_id, coalesce(user_id, -1) AS user_id, amount FROM dirty_events WHERE NOT (user_id < 75) OR user_id IS NULL")
 def delete_rows(e):
-    return tableops.delete(e.dirty_events(), F.col("user_id") < 75).select("event_id", "user_id", "amount")
+    return tableops.delete(e.dirty_events(), F.col("user_id") < 75).select("event_id", "user_id", "amount").na.fill(-1)
