@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import bucket, count_of, money, percent, ratio, sum_of
+from strata.functions.columns import bucket, count_of, money, percent, ratio
 
 # Page sizes the listing calls accept at most.
 MAX_TOURS = 100
