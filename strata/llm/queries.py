@@ -32,3 +32,10 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM texts WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.simhash import simhash_dedup
+
+    return simhash_dedup(table(spark, sf_dir, "documents"))
