@@ -159,7 +159,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = ["sender", "frame", "owner", "slot"]
     suspects = stored(rows.join(marked.unionByName(several).distinct(), at, "left_semi").select("id", "digest"), "suspects")
     # Rows without an id cannot be found again by it: their texts are compared all.
-    found = texts.join(suspects.where("id is not null").select("id").distinct(), "id", "left_semi").unionByName(
+    asked = suspects.where("id is not null").select("id").distinct()
+    # The same plan at every size: whole texts are shuffled once, by id.
+    found = texts.join(asked.hint("merge"), "id", "left_semi").unionByName(
         texts.where("id is null")
     )
     # Whole texts are the key, so equality is that of bytes; copies fall together before the shuffle.
@@ -207,7 +209,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         *columns, F.col(id_col).alias("_id"), F.sha2(normalised(text_col).cast("binary"), 256).alias("_digest")
     )
     same = lambda left, right: left["_id"].eqNullSafe(right["_id"]) & (left["_digest"] == right["_digest"])
-    stays = keyed.join(kept, same(keyed, kept), "left_semi")
+    stays = keyed.join(kept.hint("merge"), same(keyed, kept), "left_semi")
     if repeated.isEmpty():
         return stays.select(*columns)
     single = stays.join(repeated, same(stays, repeated), "left_anti")
