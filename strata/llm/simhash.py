@@ -173,4 +173,4 @@ def simhash_dedup(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all columns; rows without an id stay."""
     gone = simhash_dedup(docs, id_col, text_col, shingle).where(F.col("component_id") < F.col(id_col))
-    return docs.join(gone.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.select(id_col).distinct().hint("merge"), id_col, "left_anti").select(*docs.columns)
