@@ -46,3 +46,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
