@@ -60,3 +60,26 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.embedding_dedup import embedding_dedup
 
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op6_warc"] = r"""
+WITH signed AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep FROM signed
+)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+         ((('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS INT), 5))::BIGINT >> CAST(5 * (3 - k % 4) AS INT)) & 31) AS INT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM kept
+"""
