@@ -83,3 +83,10 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
        CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM kept
 """
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
