@@ -90,3 +90,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.secrets import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
