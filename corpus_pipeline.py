@@ -9,8 +9,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm.common import prepared, stored, table
+from strata.llm.exact_dedup import drop_copies
+from strata.llm.packing import pack
+from strata.llm.secrets import mask_secrets
+from strata.llm.simhash import drop_near_copies
+from strata.llm.toxicity import drop_toxic
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts predicted toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id stays."""
+    prepared(spark)
+    return drop_copies(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by fingerprints at most three bits apart the row with the smallest id stays."""
+    prepared(spark)
+    return drop_near_copies(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every row stays."""
+    prepared(spark)
+    return mask_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a text, with its place in a sequence."""
+    prepared(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
 
 # The stages train a model and pack by a linear program; tests compare with a brute-force version.
 ORACLE_SQL = None
