@@ -31,8 +31,10 @@ MAX_UNLABELLED = 6000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 STEPS = 300
+# Weight of the square of the weights.
+DECAY = 1e-3
 # Standard errors by which the shares of a feature must differ.
-SIGNIFICANT = 10
+SIGNIFICANT = 6
 FOLDS = 5
 
 _TO_WORDS = bytes.maketrans(
@@ -106,7 +108,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             slope = np.where(is_positive, -2 * prior * up / n_pos, up / nu)
         else:
             slope = np.where(is_positive, prior * up / n_pos, -up / nu)
-        grad = np.append(np.bincount(at, weights=slope[row] * value, minlength=len(used)) + 1e-6 * w, slope.sum())
+        grad = np.append(np.bincount(at, weights=slope[row] * value, minlength=len(used)) + DECAY * w, slope.sum())
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad**2 - square)
         move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
