@@ -28,7 +28,7 @@ def decode(records: DataFrame) -> DataFrame:
     """Queue records -> flat columns with the payload as a string map.
 
     A flat event without an envelope is accepted too: its own fields become the payload and its
-    ``source`` and ``timestamp`` fields take the place of the envelope's.
+    ``source`` and ``timestamp`` fields take the place of the envelope's.  ``message`` is the text as received.
     """
     parsed = computed_once(records, fields=F.from_json(F.col("value").cast("string"), "map<string,string>"))
     field = lambda name: F.try_element_at("fields", F.lit(name))
@@ -39,6 +39,7 @@ def decode(records: DataFrame) -> DataFrame:
         "partition",
         "offset",
         F.col("timestamp").alias("kafka_timestamp"),
+        F.col("value").cast("string").alias("message"),
         F.coalesce(field("source_id"), field("source")).alias("source_id"),
         F.coalesce(field("source_name"), field("source")).alias("source_name"),
         F.when(enveloped, field("ingestion_timestamp")).otherwise(field("timestamp")).alias("ingestion_timestamp"),
@@ -71,10 +72,14 @@ def with_partitions(df: DataFrame, ts: str = "processed_timestamp") -> DataFrame
 
 
 def typed(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Payload map -> typed columns; a value that does not convert becomes null."""
-    return df.select(
-        "*", *[F.try_element_at("raw_data", F.lit(n)).try_cast(t).alias(n) for n, t in fields.items()]
-    )
+    """Payload map -> typed columns; nested types are read from their JSON text; a value that does not convert becomes
+    null."""
+
+    def value(name: str, kind: str) -> Column:
+        text = F.try_element_at("raw_data", F.lit(name))
+        return F.from_json(text, kind) if kind.startswith(("struct", "map", "array")) else text.try_cast(kind)
+
+    return df.select("*", *[value(n, t).alias(n) for n, t in fields.items()])
 
 
 def event_topic(event_type: Column) -> Column:

@@ -5,11 +5,13 @@ column; rows are compared inside their slice, and one summary row per (key, slic
 values across slice borders.  The full rows are shuffled once, by (key, slice); only the summary
 rows, which partial aggregation builds map-side, meet in a window per key.
 
-``slice_of`` must not decrease along the order, and keys must not be null.
+``slice_of`` must not decrease along the order.  Null is a key like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ def time_slice(ts: str, seconds: int) -> Column:
     return F.floor(epoch(ts) / seconds)
 
 
+def attach(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of one side row per key; null keys meet too."""
+    renamed = side.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in keys]
+    return rows.join(renamed, reduce(lambda a, b: a & b, same), "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def _neighbour(df, keys, order, slice_of, columns, name, forward):
     rows = df.withColumn("_slice", slice_of)
     value = F.struct(*columns)
@@ -36,8 +45,7 @@ def _neighbour(df, keys, order, slice_of, columns, name, forward):
         .where(F.col("_across").isNotNull())
     )
     return (
-        rows.withColumn("_inside", step(value).over(inside))
-        .join(border, [*keys, "_slice"], "left")
+        attach(rows.withColumn("_inside", step(value).over(inside)), border, [*keys, "_slice"])
         .withColumn(name, F.coalesce("_inside", "_across"))
         .drop("_slice", "_inside", "_across")
     )
@@ -70,8 +78,7 @@ def with_running_max(
         .where(F.col("_carried").isNotNull())
     )
     return (
-        rows.withColumn("_here", F.max("_value").over(inside))
-        .join(border, [*keys, "_slice"], "left")
+        attach(rows.withColumn("_here", F.max("_value").over(inside)), border, [*keys, "_slice"])
         .withColumn(name, F.greatest("_here", "_carried"))
         .drop("_slice", "_value", "_here", "_carried")
     )

@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = build(f"bronze_to_silver_{a.date}")
     events = medallion.bronze_events(spark, a.bronze, a.date)
+    dead = a.dead_letters or f"{a.silver}/_dead_letters"
     with tracked(spark, a.audit, "medallion", "bronze_to_silver") as run:
         if a.dead_letters:
             expected = list(medallion.EVENT_FIELDS)
@@ -29,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
             counts = medallion.bronze_to_silver(events, a.silver, a.date)
             run.source("app_events", counts["records_before"], counts["records_after"])
             print(counts)
+        print(medallion.other_silver(spark, a.bronze, a.silver, dead, a.date))
 
 
 if __name__ == "__main__":

@@ -16,10 +16,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--bronze", required=True)
     p.add_argument("--dead-letters", required=True)
     p.add_argument("--checkpoint", required=True)
+    p.add_argument("--metrics", required=True, help="folder of the progress samples")
+    p.add_argument("--max-offsets", type=int, default=queue.MAX_OFFSETS_PER_TRIGGER, help="records per trigger")
+    p.add_argument("--fail-on-loss", action="store_true", help="stop when offsets are gone before they were read")
     a = p.parse_args(argv)
     spark = build("stream_intake")
-    spark.streams.addListener(ProgressSamples())
-    records = queue.kafka_stream(spark, a.servers)
+    spark.streams.addListener(ProgressSamples(spark, a.metrics))
+    records = queue.kafka_stream(spark, a.servers, limit=a.max_offsets, fail_on_loss=a.fail_on_loss)
     ingest.start(records, a.bronze, a.dead_letters, a.checkpoint).awaitTermination()
 
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from strata import schemas
 from strata.functions.columns import code_list, grid
-from strata.operators.dedup import keep_first
+from strata.operators.dedup import keep_first, row_order
 
 # Log levels that are kept; change operations that are kept.
 LOG_LEVELS = ["ERROR", "WARN", "INFO"]
 CHANGE_OPS = ["c", "u", "d"]
 METRES_PER_DEGREE = 111_320
+# At the poles themselves a degree of longitude has no length.
+LEAST_SHRINK = 1e-3
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -54,9 +56,13 @@ def with_date_parts(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def clean_app_events(df: DataFrame, processing_date: str, null_amount: str = "drop") -> DataFrame:
-    """One row per event id, users and times present, text standardised, no negative amount."""
+    """One row per event id, users and times present, text standardised, no negative amount.
+
+    Of copies the earliest stays; one without time or user loses to one with, and equal times are decided by the rest
+    of the row, so the result is the same on every run.
+    """
     return (
-        df.transform(keep_first, ["event_id"], ["timestamp"])
+        df.transform(keep_first, ["event_id"], row_order(df, "timestamp", "user_id"))
         .transform(require, "user_id", "timestamp")
         .transform(standardise)
         .transform(non_negative, "amount", null_amount)
@@ -98,17 +104,20 @@ def mask(df: DataFrame, fields: list[str], salt: str) -> DataFrame:
 
 
 def anonymise_position(df: DataFrame, metres: float = 100) -> DataFrame:
-    """Positions snapped to a grid of the given size."""
+    """Positions snapped to a grid of the given size.  Degrees of longitude shrink towards the poles, so cells there
+    are as many degrees wider; the width follows from the snapped latitude alone."""
     step = metres / METRES_PER_DEGREE
-    return df.withColumn("latitude", grid("latitude", step)).withColumn("longitude", grid("longitude", step))
+    shrink = F.greatest(F.cos(F.radians("latitude")), F.lit(LEAST_SHRINK))
+    snapped = df.withColumn("latitude", grid("latitude", step)).withColumn("_step", step / shrink)
+    return snapped.withColumn("longitude", F.round(F.col("longitude") / F.col("_step")) * F.col("_step")).drop("_step")
 
 
-def sample_by_key(df: DataFrame, key: str, rate: float, buckets: int = 10_000) -> DataFrame:
+def sample_by_key(df: DataFrame, key: str, rate: float) -> DataFrame:
     """A stable sample: a key is in or out for good, whatever the run, partitioning or engine."""
     if rate >= 1:
         return df
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return df.where(digest % buckets < int(rate * buckets))
+    return df.where(digest < int(rate * 2**32))
 
 
 def retention_state(ts: Column, as_of: str, archive_after_days: int, retention_days: int) -> Column:
@@ -120,7 +129,7 @@ def retention_state(ts: Column, as_of: str, archive_after_days: int, retention_d
 
 def clean_users(users: DataFrame, key: str, name: str) -> DataFrame:
     return (
-        users.transform(keep_first, [key], [name])
+        users.transform(keep_first, [key], row_order(users, name))
         .transform(require, key, name)
         .withColumn(name, F.upper(F.trim(name)))
     )

@@ -20,6 +20,23 @@ DEDUP_KEYS = {
 }
 
 
+def _ordered(df: DataFrame, first: tuple[str, ...]) -> list[str]:
+    return [*first, *[n for n, t in sorted(df.dtypes) if "map<" not in t and "variant" not in t and n not in first]]
+
+
+def row_order(df: DataFrame, *first: str) -> list[Column]:
+    """A total order of rows: those with all of ``first`` present, then by ``first``, then by all other columns that
+    can be ordered; nulls come last."""
+    present = [F.col(c).isNull().asc() for c in first]
+    return present + [F.col(c).asc_nulls_last() for c in _ordered(df, first)]
+
+
+def order_value(df: DataFrame, *first: str) -> Column:
+    """The same order as one comparable value, for ``min_by``."""
+    present = [F.col(c).isNull().alias(f"lacks_{c}") for c in first]
+    return F.struct(*present, *[x for c in _ordered(df, first) for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))])
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of every key in the given order; rows equal in ``order`` are interchangeable."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -63,14 +63,15 @@ def write(dead: DataFrame, path: str, mode: str = "append") -> None:
 
 def replay(dead: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Outcome per letter: skipped at the retry limit, failed when the message is no JSON object,
-    else retried with ``value`` carrying the next retry count."""
-    original = F.from_json("original_message", "map<string,string>")
+    else retried with ``value`` carrying the next retry count; all other values keep their types."""
+    original = F.from_json("original_message", "map<string,variant>")
     broken = original.isNull() | (F.size(F.map_keys(original)) == 0)
     outcome = (
         F.when(F.col("retry_count") >= max_retries, "skipped").when(broken, "failed").otherwise("retried")
     )
-    body = F.regexp_replace("original_message", r"\}\s*$", "")
-    value = F.concat(body, F.lit(',"retry_count":'), F.col("retry_count") + 1, F.lit("}"))
+    others = F.map_filter(original, lambda key, _: key != "retry_count")
+    count = F.create_map(F.lit("retry_count"), F.parse_json((F.col("retry_count") + 1).cast("string")))
+    value = F.to_json(F.map_concat(others, count))
     return dead.withColumn("outcome", outcome).withColumn("value", F.when(F.col("outcome") == "retried", value))
 
 

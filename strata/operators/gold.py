@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import count_of, money, ratio, sum_of
+from strata.operators.dedup import order_value
 
 
 def activity(silver: DataFrame) -> DataFrame:
@@ -46,6 +47,21 @@ def _events_of(event_type: str):
     return sum_of(F.col("event_type") == event_type, "events")
 
 
+def carried(total: DataFrame, days: DataFrame) -> DataFrame:
+    """A total over all days, one row per (user, region, event type), with further days of the roll-up added.  Every
+    measure adds up or is a minimum or maximum, so the history is never read again."""
+    columns = [c for c in total.columns if c != "processing_date"]
+    both = total.select(*columns).unionByName(days.select(*columns))
+    return both.groupBy("user_id", "region", "event_type").agg(
+        F.sum("events").alias("events"),
+        F.sum("amount_sum").alias("amount_sum"),
+        F.max("amount_max").alias("amount_max"),
+        F.min("amount_min").alias("amount_min"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+
+
 def until(rollup: DataFrame, as_of: str) -> DataFrame:
     """All days up to ``as_of``: the scope of the per-user tables."""
     return rollup.where(F.col("processing_date") <= as_of)
@@ -118,10 +134,13 @@ def tourism_analytics(rollup: DataFrame) -> DataFrame:
 
 
 def tourism_pivot(rollup: DataFrame, event_types: list[str]) -> DataFrame:
-    """One column per event type; the stated list spares the extra job that finds the values."""
+    """One column per stated event type, and ``other`` for all types beside them: the columns of a row add up to its
+    events.  The stated list spares the extra job that finds the values."""
+    known = F.when(F.col("event_type").isin(event_types), F.col("event_type")).otherwise("other")
     return (
-        rollup.groupBy("region", "processing_date")
-        .pivot("event_type", event_types)
+        rollup.withColumn("event_type", known)
+        .groupBy("region", "processing_date")
+        .pivot("event_type", [*event_types, "other"])
         .agg(F.sum("events"))
         .na.fill(0)
     )
@@ -189,8 +208,9 @@ def daily_event_summary(events: DataFrame) -> DataFrame:
 
 def reconcile(raw: DataFrame, key: str, valid) -> DataFrame:
     """Rows before and after cleaning in one pass: copies fold into their key map-side, and a key
-    survives when its first copy is valid."""
-    per_key = raw.groupBy(key).agg(F.count("*").alias("copies"), F.min_by(valid, "timestamp").alias("ok"))
+    survives when its first copy, in the order of the cleaner, is valid."""
+    first = order_value(raw.drop(key), "timestamp", "user_id")
+    per_key = raw.groupBy(key).agg(F.count("*").alias("copies"), F.min_by(valid, first).alias("ok"))
     return per_key.agg(
         F.sum("copies").alias("records_before"), count_of(F.col("ok")).alias("records_after")
     ).select(

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from strata.operators.enrich import with_region_flag
 from strata.operators.serving import MAX_RECOMMENDATIONS
 from strata.operators.windows import top_per_key
-from strata.session import small_side
 
 # Reason texts, and the constant score of the unranked list.
 POPULAR, TRENDING = "Popular in your region", "Trending"
@@ -104,17 +103,19 @@ def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> Data
 
 
 def recommendations(events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5) -> DataFrame:
-    """Top tours per user, best score first.  The ranked lists have at most ``limit`` rows per peer
-    group; they are counted and, being few, sent to the users instead of shuffling users by group."""
+    """Top tours per user, best score first.  The ranked lists have at most ``limit`` rows per peer group; how they
+    meet the users is left to the optimizer.  More than ``MAX_RECOMMENDATIONS`` are refused."""
+    if not 0 < limit <= MAX_RECOMMENDATIONS:
+        raise ValueError(f"limit must be 1 to {MAX_RECOMMENDATIONS}")
     ranked = top_per_key(
         hybrid_scores(events, users, tours),
         ["peers"],
         [F.desc("match_score"), F.col("tour_id")],
-        min(limit, MAX_RECOMMENDATIONS),
+        limit,
     )
     active = events.select("user_id").distinct().join(users.select("user_id", "peers"), "user_id")
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("tour_id").cast("string"))
-    return active.join(small_side(ranked), "peers").select(
+    return active.join(ranked, "peers").select(
         F.md5(key).alias("recommendation_id"),
         "user_id",
         "tour_id",

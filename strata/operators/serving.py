@@ -79,11 +79,10 @@ def tour_performance(tours: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def platform_metrics(tours: DataFrame, events: DataFrame) -> DataFrame:
-    """Platform totals in one aggregate over both tables stacked, so nothing is cross-joined."""
+    """Platform totals in one aggregate over both tables stacked, so nothing is cross-joined; regions are those of
+    tours."""
     stacked = tours.select("region", "price", "rating", F.lit(1).alias("tour"), F.lit(0).alias("event")).unionByName(
-        events.select(
-            "region", F.lit(0).alias("tour"), F.lit(1).alias("event")
-        ), allowMissingColumns=True,
+        events.select(F.lit(0).alias("tour"), F.lit(1).alias("event")), allowMissingColumns=True,
     )
     return stacked.agg(
         F.sum("tour").alias("total_tours"),
@@ -98,16 +97,21 @@ def platform_metrics(tours: DataFrame, events: DataFrame) -> DataFrame:
 def list_tours(
     tours: DataFrame,
     region: str | None = None,
-    min_price: float = 0,
-    max_price: float = 10000,
+    min_price: float | None = None,
+    max_price: float | None = None,
     limit: int = 10,
     skip: int = 0,
 ) -> DataFrame:
-    """One page of tours in key order."""
+    """One page of tours in key order; a page of more than ``MAX_TOURS`` rows is refused."""
+    if not 0 < limit <= MAX_TOURS or skip < 0:
+        raise ValueError(f"limit must be 1 to {MAX_TOURS} and skip not negative")
     if region is not None:
         tours = tours.where(F.col("region") == region.upper())
-    page = tours.where(F.col("price").between(min_price, max_price)).orderBy("tour_id")
-    return page.offset(skip).limit(min(limit, MAX_TOURS))
+    if min_price is not None:
+        tours = tours.where(F.col("price") >= min_price)
+    if max_price is not None:
+        tours = tours.where(F.col("price") <= max_price)
+    return tours.orderBy("tour_id").offset(skip).limit(limit)
 
 
 def tour_by_id(tours: DataFrame, tour_id) -> DataFrame:

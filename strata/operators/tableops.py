@@ -1,21 +1,14 @@
-"""Table operators on plain Parquet: update, delete, versions, time travel, compaction.
+"""Row-level changes of a table as column expressions.
 
-A catalog with row-level operations can run the same changes as SQL; here each change writes a
-new immutable version, so readers never see a half-written table and a lost executor only repeats
-its own task's files.
+A catalog with row-level operations runs the same changes as SQL, with versions, time travel and compaction of its
+own; these forms are for tables that a job writes anew.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.sources.tables import path_exists
-
-HISTORY = "version int, committed_at timestamp, operation string, rows bigint"
-
 
 def update(df: DataFrame, where: Column, assignments: dict[str, Column]) -> DataFrame:
     """``UPDATE … SET … WHERE``: rows for which the condition is false or null stay."""
@@ -28,80 +21,3 @@ def update(df: DataFrame, where: Column, assignments: dict[str, Column]) -> Data
 def delete(df: DataFrame, where: Column) -> DataFrame:
     """``DELETE … WHERE``: rows for which the condition is null stay."""
     return df.where(~F.coalesce(where, F.lit(False)))
-
-
-class VersionedTable:
-    """A Parquet table as a folder of versions with a history next to it.
-
-    The history row is written last and only once per version, which makes it the commit: data of
-    a failed write is never listed, and of two writers of one version the second fails.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.partition_by = spark, path, partition_by
-
-    def _data(self, version: int) -> str:
-        return f"{self.path}/data/v{version}"
-
-    def history(self) -> DataFrame:
-        """Version, time, operation and rows, newest first."""
-        root = f"{self.path}/history"
-        if not path_exists(self.spark, root):
-            return self.spark.createDataFrame([], HISTORY)
-        return self.spark.read.schema(HISTORY).json(f"{root}/*").orderBy(F.desc("version"))
-
-    def current_version(self) -> int | None:
-        return self.history().agg(F.max("version")).first()[0]
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest version, or the given one."""
-        version = self.current_version() if version is None else version
-        known = self.history().where(F.col("version") == F.lit(version))
-        if version is None or known.isEmpty():
-            raise ValueError(f"no version {version} of {self.path}")
-        return self.spark.read.parquet(self._data(version))
-
-    def commit(self, df: DataFrame, operation: str) -> int:
-        current = self.current_version()
-        version = 0 if current is None else current + 1
-        out = df.hint("rebalance", *self.partition_by) if self.partition_by else df.hint("rebalance")
-        out.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self._data(version))
-        rows = self.spark.read.parquet(self._data(version)).count()
-        record = self.spark.createDataFrame([(version, datetime.now(), operation, rows)], HISTORY)
-        record.coalesce(1).write.mode("errorifexists").json(f"{self.path}/history/v{version}")
-        return version
-
-    def create(self, df: DataFrame) -> int:
-        return self.commit(df, "create")
-
-    def append(self, df: DataFrame) -> int:
-        return self.commit(self.read().unionByName(df), "append")
-
-    def update(self, where: Column, assignments: dict[str, Column]) -> int:
-        return self.commit(update(self.read(), where, assignments), "update")
-
-    def delete(self, where: Column) -> int:
-        return self.commit(delete(self.read(), where), "delete")
-
-    def compact(self) -> int:
-        """Rewrites small files: AQE merges small and splits large shuffle partitions to the
-        advisory size, so a hot table partition is written by several tasks."""
-        return self.commit(self.read(), "compact")
-
-    def describe(self) -> DataFrame:
-        """Columns with their types, then version, files and rows."""
-        df = self.read()
-        files = df.select(F.input_file_name().alias("f")).agg(
-            F.count("*").alias("rows"), F.countDistinct("f").alias("files")
-        )
-        columns = self.spark.createDataFrame(df.dtypes, "name string, value string")
-        facts = files.select(
-            F.inline(
-                F.array(
-                    F.struct(F.lit("# version").alias("name"), F.lit(str(self.current_version())).alias("value")),
-                    F.struct(F.lit("# files").alias("name"), F.col("files").cast("string").alias("value")),
-                    F.struct(F.lit("# rows").alias("name"), F.col("rows").cast("string").alias("value")),
-                )
-            )
-        )
-        return columns.unionByName(facts)

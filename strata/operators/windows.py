@@ -6,25 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import epoch
-from strata.functions.ordered import time_slice, with_next
+from strata.functions.ordered import attach, time_slice, with_next
 
 # Fixed value: minutes of silence that end a session.
 SESSION_GAP_SECONDS = 30 * 60
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows per key.
+    """The first ``n`` rows per key, by the same plan for every ``n``.
 
-    For ``n`` up to ``windowGroupLimitThreshold`` Spark keeps ``n`` rows per key and task before
-    the shuffle, so a hot key never arrives whole.  Beyond that a first round per (key, slice of
-    the row hash) does the same: the global top ``n`` lie within the slices' top ``n``.
+    Each task keeps ``n`` rows per key before a shuffle (Spark's window group limit, whose threshold is raised to
+    ``n``).  A first round per (key, slice of the row hash), with a slice per shuffle partition, shares out what the
+    tasks of a hot key have kept: the global top ``n`` lie within the slices' top ``n``.
     """
-    spark = df.sparkSession
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_salt", "_rank")
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
+    slices = int(conf.get("spark.sql.shuffle.partitions"))
+    hashed = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    salted = df.withColumn("_slice", F.pmod(F.xxhash64(*hashed), F.lit(slices)))
+    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    df = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_slice", "_rank")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -66,9 +69,7 @@ def sessions(df: DataFrame, key: str, ts: str, gap: int = SESSION_GAP_SECONDS) -
 def with_session(df: DataFrame, key: str, ts: str, gap: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Every event with its session number: a slice lies in exactly one session."""
     numbers = _bouts(df, key, ts, gap).select(key, "_slice", "session_no")
-    return (
-        df.withColumn("_slice", F.floor(epoch(ts) / gap)).join(numbers, [key, "_slice"], "left").drop("_slice")
-    )
+    return attach(df.withColumn("_slice", F.floor(epoch(ts) / gap)), numbers, [key, "_slice"]).drop("_slice")
 
 
 def landing_pages(clicks: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def tracked(spark: SparkSession, audit: str, dag_id: str, pipeline: str, run_id:
     try:
         yield run
     except Exception as e:
-        error = f"{type(e).__name__}: {str(e)[:500]}"
+        error = f"{type(e).__name__}: {e}"
         raise
     finally:
         row = metadata.run_row(spark, run.run_id, dag_id, pipeline, run.started, datetime.now(), error)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.functions import envelope
@@ -10,8 +12,10 @@ from strata.operators import cdc, clean, dedup, enrich
 from strata.plans.entities import recode
 from strata.queries import query
 from strata.queries.entity_sql import using
+from strata.session import shared_dir
+from strata.sources.tables import catalog_table
 from strata.sources import incremental
-from strata.sources.tables import bronze_partition, spread
+from strata.sources.tables import bronze_partition
 
 _TS = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f') AS \"timestamp\""
 DAY = "2024-01-25"
@@ -79,7 +83,7 @@ def date_parts(e):
 
 def queue_records(e):
     """Events as they would arrive on the message queue, one topic per event type."""
-    ev = spread(e.table("events"))
+    ev = e.table("events")
     topic = F.concat(F.lit("topic_"), F.col("event_type"), F.lit("_events"))
     row = F.struct(
         F.when(F.col("event_id") % 19 != 0, F.concat(F.lit("src_"), F.col("user_id") % 20)).alias("source_id"),
@@ -110,7 +114,7 @@ def envelope_decode(e):
     decoded = envelope.typed(
         envelope.decode(queue_records(e)), {"event_id": "bigint", "user_id": "bigint", "amount": "double"}
     )
-    return decoded.drop("raw_data", "kafka_timestamp").na.fill(-1)
+    return decoded.drop("raw_data", "kafka_timestamp", "message").na.fill(-1)
 
 
 @query("Q12", """
@@ -173,17 +177,18 @@ def masked_users(e):
 
 
 @query("P13", using("positions") + """
-    SELECT event_id, CAST(round(latitude / (100 / 111320)) AS BIGINT) AS lat_cell,
-           CAST(round(longitude / (100 / 111320)) AS BIGINT) AS lon_cell FROM positions""")
+    SELECT event_id, CAST(round(latitude / (100 / 111320)) AS BIGINT) AS lat_cell, round(round(longitude / w) * w, 6) AS longitude
+    FROM (SELECT *, (100 / 111320) / greatest(cos(radians(round(latitude / (100 / 111320)) * (100 / 111320))), 0.001) AS w
+          FROM positions)""")
 def anonymous_positions(e):
     step = 100 / clean.METRES_PER_DEGREE
-    cell = lambda c: F.round(F.col(c) / step).cast("bigint")
     snapped = clean.anonymise_position(e.positions())
-    return snapped.select("event_id", cell("latitude").alias("lat_cell"), cell("longitude").alias("lon_cell"))
+    cell = F.round(F.col("latitude") / step).cast("bigint")
+    return snapped.select("event_id", cell.alias("lat_cell"), F.round("longitude", 6).alias("longitude"))
 
 
 @query("P14", using("clicks") + """
-    SELECT event_id, session_id FROM clicks WHERE ('0x' || substr(md5(session_id), 1, 8))::BIGINT % 10000 < 2500""")
+    SELECT event_id, session_id FROM clicks WHERE ('0x' || substr(md5(session_id), 1, 8))::BIGINT < 1073741824""")
 def sampled_clicks(e):
     return clean.sample_by_key(e.clicks(), "session_id", 0.25).select("event_id", "session_id")
 
@@ -383,14 +388,14 @@ def one_day_of_events(e):
     return rows.groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-@query("S3", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("S3", using("app_events") + """
+    SELECT event_id, event_type, region FROM app_events WHERE processing_date = '2024-01-12'""")
 def catalog_read(e):
-    from strata.sources.tables import catalog_table
-
-    e.geography().createOrReplaceTempView("strata_geography")
-    return catalog_table(e.spark, "strata_geography").select(
-        F.col("n_name").alias("name"), F.col("r_name").alias("region")
-    )
+    """A partitioned table is saved in the session catalog, then one of its days is read."""
+    name = f"strata_events_{uuid.uuid4().hex}"
+    rows = e.app_events().select("event_id", "event_type", "region", "processing_date")
+    rows.write.partitionBy("processing_date").option("path", f"{shared_dir(e.spark)}/{name}").saveAsTable(name)
+    return catalog_table(e.spark, name, "2024-01-12").drop("processing_date")
 
 
 @query("S7", """

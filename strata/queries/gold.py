@@ -78,11 +78,14 @@ def tourism_analytics(e):
     return gold.tourism_analytics(gold.activity(e.app_events()))
 
 
+PIVOTED = [t for t in EVENT_TYPES if t != "signup"]
+
+
 @query("A4", using("app_events") + "SELECT region, processing_date, " + ", ".join(
-    f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES
-) + " FROM app_events GROUP BY region, processing_date")
+    f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in PIVOTED
+) + f", count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN {tuple(PIVOTED)}) AS other FROM app_events GROUP BY region, processing_date")
 def tourism_pivot(e):
-    return gold.tourism_pivot(gold.activity(e.app_events()), EVENT_TYPES)
+    return gold.tourism_pivot(gold.activity(e.app_events()), PIVOTED)
 
 
 @query("A5", using("tour_events") + f"""

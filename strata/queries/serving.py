@@ -53,7 +53,7 @@ def platform_metrics(e):
     SELECT tour_id, name, region, price, rating, array_to_string(tags, ',') AS tags
     FROM tours WHERE region = 'ASIA' AND price BETWEEN 900 AND 1500 ORDER BY tour_id LIMIT 100 OFFSET 20""")
 def tour_page(e):
-    page = serving.list_tours(e.tours(), "asia", 900, 1500, limit=250, skip=20)
+    page = serving.list_tours(e.tours(), "asia", 900, 1500, limit=100, skip=20)
     return page.select("tour_id", "name", "region", "price", "rating", F.array_join("tags", ",").alias("tags"))
 
 

@@ -42,8 +42,8 @@ QUEUE_RECORD = (
 BRONZE = (
     "kafka_topic string, source_id string, source_name string, partition int, offset bigint, "
     "kafka_timestamp timestamp, ingestion_timestamp string, processed_timestamp timestamp, "
-    "raw_data map<string,string>, is_valid boolean, quality_score int, batch_id bigint, "
-    "source_type string, ingestion_date date, ingestion_hour int"
+    "raw_data map<string,string>, is_valid boolean, quality_score int, "
+    "source_type string, ingestion_date date, ingestion_hour int, query_id string, batch_id bigint"
 )
 
 DEAD_LETTER = (

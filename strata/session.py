@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings every plan of this package counts on.  AQE coalesces small shuffle
 # partitions and splits hot join keys; the forced form splits them even where the split costs
@@ -26,8 +25,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(app: str, master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the package's settings; ``conf`` keys use ``__`` for dots."""
+def build(
+    app: str, master: str | None = None, partitions: int | None = None, task_mb: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the package's settings; ``conf`` keys use ``__`` for dots.
+
+    ``partitions`` is the number of shuffle partitions a job starts with; adaptive execution merges them up to
+    ``task_mb`` of input per task but splits only join keys, so a large job states as many as its largest shuffle
+    needs at that size.
+    """
+    if partitions:
+        conf |= {"spark__sql__shuffle__partitions": str(partitions)}
+    if task_mb:
+        conf |= {"spark__sql__adaptive__advisoryPartitionSizeInBytes": f"{task_mb}m"}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -54,23 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
 
 
-# Rows a side may have to be broadcast; with rows of a few short columns this is some tens of MB.
-BROADCAST_ROWS = 200_000
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join side that is broadcast only after its rows were counted.
-
-    The side is materialised in the shared folder first, so counting does not compute it twice.
-    Beyond the limit it is returned without a hint and Spark shuffles both sides.
-    """
-    side = cut_lineage(df)
-    return F.broadcast(side) if side.count() <= max_rows else side

@@ -13,7 +13,7 @@ def _arranged(df: DataFrame, partition_by: list[str], order_by: list[str]) -> Da
 
 
 def write_path(df: DataFrame, path: str, partition_by: list[str], order_by: list[str] = []) -> None:
-    """Overwrites only the partitions present in ``df``, so a rerun replaces its own day."""
+    """Overwrites the partitions present in ``df`` and no others; see :func:`replace_day` for reruns of a day."""
     (
         _arranged(df, partition_by, order_by)
         .write.mode("overwrite")
@@ -23,6 +23,23 @@ def write_path(df: DataFrame, path: str, partition_by: list[str], order_by: list
     )
 
 
+def replace_day(
+    df: DataFrame, path: str, day_column: str, day: str, partition_by: list[str] = [], order_by: list[str] = []
+) -> None:
+    """Replaces the whole folder of one day, also by nothing: rows, queues or sources that an earlier run of the day
+    wrote and this one does not are gone."""
+    rows = df.drop(day_column)
+    rows = _arranged(rows, partition_by, order_by) if partition_by else rows.hint("rebalance")
+    if order_by and not partition_by:
+        rows = rows.sortWithinPartitions(*order_by)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*partition_by)
+        .parquet(f"{path}/{day_column}={day}")
+    )
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str], order_by: list[str] = []) -> None:
     """Creates the catalog table on first use; later runs replace the partitions they bring."""
     spark = df.sparkSession

@@ -73,7 +73,7 @@ def publish_day(
             append(day, options)
             results.append((name, "published", rows, None))
         except Exception as error:  # one table's failure must not stop the others
-            results.append((name, "failed", None, f"{type(error).__name__}: {str(error)[:500]}"))
+            results.append((name, "failed", None, f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(results, RESULT)
 
 

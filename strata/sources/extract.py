@@ -6,23 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed API responses -> rows.  ``{"data": [...]}`` gives its elements, a list its elements,
-    any other object itself.  A response is one bounded page and is read as one text."""
-    pages = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("page"))
-    elements = F.coalesce(
-        F.try_variant_get("page", "$.data", "array<string>"),
-        F.try_variant_get("page", "$", "array<string>"),
-        F.array(F.coalesce(F.try_variant_get("page", "$.data", "string"), F.col("page").cast("string"))),
-    )
+UNREADABLE = "_unreadable"
+
+
+def _json_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return (
-        pages.where(F.col("page").isNotNull())
-        .select(F.explode(elements).alias("record"))
-        .select(F.from_json("record", schema).alias("r"))
-        .select("r.*")
+        spark.read.schema(f"data string, {schema}, {UNREADABLE} string")
+        .option("multiLine", True)
+        .option("columnNameOfCorruptRecord", UNREADABLE)
+        .json(path)
     )
 
 
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Landed API responses -> rows.  ``{"data": [...]}`` gives its elements, a list its elements, any other object
+    itself.  Pages may have any size.  What cannot be read is not lost: see :func:`unreadable_pages`."""
+    pages = _json_pages(spark, path, schema)
+    names = pages.drop("data", UNREADABLE).columns
+    wrapped = F.from_json("data", f"array<struct<{schema}>>")
+    records = F.when(F.col("data").isNotNull(), wrapped).otherwise(F.array(F.struct(*names)))
+    return pages.where(F.col(UNREADABLE).isNull()).select(F.explode(records).alias("r")).select("r.*")
+
+
+def unreadable_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(source, message) of the pages, or elements of them, that are no JSON of the schema; for the dead letters."""
+    pages = _json_pages(spark, path, schema).select("*", F.col("_metadata.file_path").alias("source"))
+    wrapped = F.from_json("data", f"array<struct<{schema}>>")
+    broken = F.col(UNREADABLE).isNotNull() | (F.col("data").isNotNull() & wrapped.isNull())
+    return pages.where(broken).select("source", F.coalesce(UNREADABLE, "data").alias("message"))
+
+
 def files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
     """Object-store files of one format with a stated schema."""
     if fmt == "csv":
@@ -78,9 +91,12 @@ def extract(spark: SparkSession, source: dict) -> DataFrame:
     if kind in ("s3", "file"):
         return files(spark, source["location"], source["schema"], source.get("format", "parquet"))
     if kind == "jdbc":
+        if source.get("watermark") is None and not source.get("partition_column"):
+            raise ValueError("a whole table is read over ranges of a partition column, not through one connection")
         return jdbc(
             spark, url=source["jdbc_url"], driver=source["jdbc_driver"], user=source["jdbc_user"],
             password=source["jdbc_password"], table=source.get("source_table") if not source.get("query") else None,
             query=source.get("query"), watermark_column=source.get("watermark_column"), watermark=source.get("watermark"),
+            partition_column=source.get("partition_column"), bounds=source.get("bounds"), partitions=source.get("partitions", 1),
         )
     raise ValueError(f"unknown source type: {kind}")

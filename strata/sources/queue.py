@@ -12,13 +12,15 @@ MAX_OFFSETS_PER_TRIGGER = 10_000
 TRIGGER = "10 seconds"
 
 
-def kafka_options(servers: str, pattern: str = TOPIC_PATTERN, limit: int = MAX_OFFSETS_PER_TRIGGER) -> dict[str, str]:
+def kafka_options(
+    servers: str, pattern: str = TOPIC_PATTERN, limit: int = MAX_OFFSETS_PER_TRIGGER, fail_on_loss: bool = False
+) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": servers,
         "subscribePattern": pattern,
         "startingOffsets": "latest",
         "maxOffsetsPerTrigger": str(limit),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_loss).lower(),
     }
 
 

@@ -25,12 +25,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def bronze_partition(
-    spark: SparkSession, root: str, schema: str, where: Column | str
+    spark: SparkSession, root: str, schema: str, where: Column | str, folders: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Bronze rows of one partition filter; an absent root gives no rows but the full schema."""
-    if not path_exists(spark, root):
+    """Bronze rows of one partition filter; an absent folder gives no rows but the full schema.
+
+    ``folders`` are the leading partition folders (``name=value``) of the wanted part: only that part is listed,
+    however many folders were ever written.
+    """
+    path = "/".join([root.rstrip("/"), *folders])
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(root).where(where)
+    reader = spark.read.schema(schema)
+    return (reader.option("basePath", root) if folders else reader).parquet(path).where(where)
 
 
 def try_catalog_table(spark: SparkSession, name: str, schema: str) -> DataFrame:
@@ -38,14 +44,3 @@ def try_catalog_table(spark: SparkSession, name: str, schema: str) -> DataFrame:
         return spark.table(name)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan for costly per-row work such as parsing or tokenising.
-
-    A few unsplittable files would keep most cores idle, so such a narrow scan is dealt out over
-    them; a scan with at least one split per core, which any large table has, is left as it is.
-    ``scan`` must not contain a shuffle: its partitions are counted from the file listing alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -11,7 +11,8 @@ from strata.operators import dlq
 from strata.sinks.layers import write_path
 from strata.sources.queue import TRIGGER
 
-PARTITIONS = ["source_type", "ingestion_date", "ingestion_hour", "batch_id"]
+PARTITIONS = ["source_type", "ingestion_date", "ingestion_hour", "query_id", "batch_id"]
+LETTER_PARTITIONS = ["queue", "ingestion_date", "query_id", "batch_id"]
 
 
 def decoded(records: DataFrame) -> DataFrame:
@@ -22,20 +23,25 @@ def decoded(records: DataFrame) -> DataFrame:
 
 
 def write_batch(batch: DataFrame, batch_id: int, bronze: str, dead: str) -> None:
-    """One micro-batch to both sinks.  Its id is a partition, replaced when the batch is repeated."""
+    """One micro-batch to both sinks.
+
+    The ids of query and batch are partitions, replaced when the batch is repeated; a query that starts anew, with a
+    checkpoint of its own, counts its batches from zero again and so writes beside what others wrote.
+    """
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
     # kept for the emptiness check and both writes, so the queue is read once per batch
-    rows = batch.withColumn("batch_id", F.lit(batch_id)).persist()
+    rows = batch.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(batch_id)}).persist()
     try:
         if rows.isEmpty():
             return
-        write_path(rows, bronze, PARTITIONS)
-        invalid = rows.where(~F.col("is_valid")).withColumn(
-            "message", F.to_json(F.struct("source_id", "source_name", "ingestion_timestamp", F.col("raw_data").alias("data")))
-        )
+        write_path(rows.drop("message"), bronze, PARTITIONS)
         letters = dlq.letters(
-            invalid, "message", F.col("kafka_topic"), F.col("processed_timestamp"), step="bronze_validation"
+            rows.where(~F.col("is_valid")), "message", F.col("kafka_topic"), F.col("processed_timestamp"), step="bronze_validation"
+        )
+        keyed = letters.withColumns(
+            {"ingestion_date": F.to_date("timestamp"), "query_id": F.lit(query_id), "batch_id": F.lit(batch_id)}
         )
-        write_path(letters.withColumn("batch_id", F.lit(batch_id)), dead, ["queue", "batch_id"])
+        write_path(keyed, dead, LETTER_PARTITIONS)
     finally:
         rows.unpersist()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -11,11 +9,13 @@ from strata import schemas
 
 
 class ProgressSamples(StreamingQueryListener):
-    """Keeps the newest samples of all queries of the session.  One batch adds four numbers, and
-    the oldest are dropped beyond ``keep``; row data never passes here."""
+    """Appends the samples of every batch of all queries of the session to a metrics table.
+
+    One batch adds four numbers; nothing is kept in the driver, and row data never passes here.
+    """
 
-    def __init__(self, keep: int = 10_000):
-        self.rows: deque = deque(maxlen=keep)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -34,9 +34,10 @@ class ProgressSamples(StreamingQueryListener):
             "stream_input_rows_per_second": p.inputRowsPerSecond,
             "stream_processed_rows_per_second": p.processedRowsPerSecond,
             "stream_batch_duration_ms": p.batchDuration,
+            "stream_rows_dropped_by_watermark": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
         }
-        for name, value in numbers.items():
-            self.rows.append((name, "gauge", float(value or 0), labels, name.replace("_", " "), p.batchId))
+        rows = [(n, "gauge", float(v or 0), labels, n.replace("_", " "), p.batchId) for n, v in numbers.items()]
+        self.spark.createDataFrame(rows, schemas.METRIC_SAMPLE).coalesce(1).write.mode("append").parquet(self.path)
 
-    def samples(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), schemas.METRIC_SAMPLE)
+    def samples(self) -> DataFrame:
+        return self.spark.read.schema(schemas.METRIC_SAMPLE).parquet(self.path)

@@ -1,16 +1,21 @@
 """Stateful stream operators.  Event times must be zoned timestamps; ``as_event_time`` casts.
 
-All state is kept by Spark's own operators: partial aggregation runs before the state's shuffle,
-so a hot type or page sends one row per task, and watermarks bound what is kept.
+State is kept by Spark's own operators but for duplicates within a time: partial aggregation runs before the state's
+shuffle, so a hot type or page sends one row per task, and watermarks bound what is kept.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from strata.functions.columns import count_of
-from strata.operators.quality import timestamp_state
+from strata.operators.quality import MAX_PAST_SECONDS, timestamp_state
+
+# Watermarks trail by all the past that ``split_by_time`` accepts, so a row it let through is never dropped as late.
+LATENESS = f"{MAX_PAST_SECONDS} seconds"
 
 
 def as_event_time(stream: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -31,14 +36,44 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("count"))
 
 
-def dedup_within(stream: DataFrame, keys: list[str], seconds: int, ts: str = "timestamp") -> DataFrame:
-    """First row per key; a key is forgotten ``seconds`` of event time after it was seen.  Unlike
-    the batch form, repeats do not prolong the time."""
-    return stream.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
+def dedup_within(
+    stream: DataFrame, keys: list[str], seconds: int, ts: str = "timestamp", lateness: str = LATENESS
+) -> DataFrame:
+    """Rows of a key that are more than ``seconds`` of event time away from every row of it kept before.
+
+    The state holds the times kept for a key, at most one per ``seconds`` of the accepted past.  How long a key is
+    remembered is not tied to the watermark, so late rows of new keys pass.  Unlike the batch form, repeats do not
+    prolong the time.
+    """
+    span = pd.Timedelta(seconds=seconds)
+
+    def keep(_, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = [pd.Timestamp(t) for t in state.get[0]] if state.exists else []
+        for frame in frames:
+            chosen = []
+            for at, time in frame[ts].sort_values(kind="stable").items():
+                if all(abs(time - t) > span for t in kept):
+                    kept.append(time)
+                    chosen.append(at)
+            yield frame.loc[chosen]
+        border = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms") - span
+        kept = [t for t in kept if t >= border]
+        state.update(([t.to_pydatetime() for t in kept],))
+        newest = max([border, *kept])
+        state.setTimeoutTimestamp(max(int((newest + 2 * span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return (
+        stream.withWatermark(ts, lateness)
+        .groupBy(*keys)
+        .applyInPandasWithState(keep, stream.schema, "times array<timestamp>", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def tumbling_counts(
-    stream: DataFrame, ts: str = "timestamp", width: str = "1 hour", lateness: str = "10 minutes",
+    stream: DataFrame, ts: str = "timestamp", width: str = "1 hour", lateness: str = LATENESS,
     error=None,
 ) -> DataFrame:
     failed = F.col("event_type") == "error" if error is None else error
@@ -52,7 +87,7 @@ def tumbling_counts(
 
 def sliding_rate(
     stream: DataFrame, by: str, ts: str = "timestamp", width_seconds: int = 300, slide_seconds: int = 60,
-    lateness: str = "10 minutes",
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """Events per second and group in overlapping windows."""
     w = F.window(ts, f"{width_seconds} seconds", f"{slide_seconds} seconds")
@@ -65,7 +100,7 @@ def sliding_rate(
 
 
 def session_counts(
-    stream: DataFrame, key: str, ts: str = "timestamp", gap: str = "30 minutes", lateness: str = "10 minutes"
+    stream: DataFrame, key: str, ts: str = "timestamp", gap: str = "30 minutes", lateness: str = LATENESS
 ) -> DataFrame:
     """Sessions by inactivity.  A session ends ``gap`` after its last event."""
     return (
@@ -84,5 +119,6 @@ def session_counts(
 def latest_changes(stream: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Latest change per key, kept incrementally: a batch touches the state of its own keys only.
     In update mode it emits the changed keys, to be merged into the keyed table downstream."""
-    newest = F.max(F.struct("ts_ms", "offset", "op", *columns))
+    at = F.struct("ts_ms", "offset")
+    newest = F.max_by(F.struct("ts_ms", "offset", "op", *columns), at)
     return stream.groupBy(key).agg(newest.alias("c")).select(key, "c.*")

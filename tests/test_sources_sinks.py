@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata import schemas
 from strata.functions import envelope
-from strata.operators import clean, cdc, dlq, metadata
+from strata.operators import cdc, clean, dlq, gold, metadata
 from strata.sinks import files as file_sinks
 from strata.sinks import layers, publish
 from strata.sources import extract, incremental, queue, tables
@@ -185,12 +185,112 @@ def test_sampling_is_stable_and_keeps_the_rate(spark):
     assert 4_700 < len(kept) < 5_300 and clean.sample_by_key(df, "id", 1.0).count() == 20_000
 
 
-def test_small_side_checks_its_size(spark):
-    from strata.session import small_side
+def test_small_rates_keep_some_keys(spark):
+    kept = clean.sample_by_key(spark.range(400_000), "id", 0.00005).count()
+    assert 5 <= kept <= 45
 
-    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(small_side(spark.range(10)))
-    assert "broadcast" not in plan(small_side(spark.range(10), max_rows=5))
+
+def test_cells_keep_their_width_towards_the_poles(spark):
+    df = spark.createDataFrame([(60.0, 10.0 + i * 0.0003) for i in range(200)], "latitude double, longitude double")
+    cells = clean.anonymise_position(df, 100).select("longitude").distinct().count()
+    # 200 steps of 0.0003 degrees are 3,340 m at 60 degrees north
+    assert 32 <= cells <= 36
+
+
+def test_pages_that_cannot_be_read_are_not_lost(spark, tmp_path):
+    for name, text in {"a": '{"data": [{"id": 1}]}', "b": '{"data": [', "c": '[{"id": 2}, {"id": 3}]'}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted(r.id for r in extract.json_records(spark, str(tmp_path), "id int").collect()) == [1, 2, 3]
+    lost = extract.unreadable_pages(spark, str(tmp_path), "id int").collect()
+    assert [(r.source[-6:], r.message) for r in lost] == [("b.json", '{"data": [')]
+
+
+def test_large_pages_are_read_whole(spark, tmp_path):
+    record = '{"id": %d, "text": "' + "x" * 1000 + '"}'
+    with open(tmp_path / "page.json", "w") as page:
+        page.write('{"data": [' + ", ".join(record % i for i in range(140_000)) + "]}")
+    got = extract.json_records(spark, str(tmp_path / "page.json"), "id int, text string")
+    assert got.agg(F.count("*"), F.max("id")).first() == (140_000, 139_999)
+    assert extract.unreadable_pages(spark, str(tmp_path / "page.json"), "id int, text string").isEmpty()
+
+
+def test_whole_tables_need_ranges(spark):
+    with pytest.raises(ValueError, match="partition column"):
+        extract.extract(spark, {"source_type": "jdbc", "source_table": "t"})
+
+
+def test_a_rerun_without_rows_leaves_none(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "b", "2024-01-01")], "v int, q string, processing_date string")
+    read = lambda: spark.read.schema(rows.schema).parquet(str(tmp_path)).count()
+    for part in ([], ["q"]):
+        layers.replace_day(rows, str(tmp_path), "processing_date", "2024-01-01", part)
+        layers.replace_day(rows, str(tmp_path), "processing_date", "2024-01-02", part)
+        assert read() == 4
+        layers.replace_day(rows.limit(0), str(tmp_path), "processing_date", "2024-01-01", part)
+        assert read() == 2
+
+
+def test_copies_without_time_lose(spark):
+    schema = "event_id string, user_id bigint, event_type string, timestamp timestamp, amount double, region string"
+    at = datetime(2024, 1, 1)
+    rows = [("e1", 1, "a", None, 1.0, "r"), ("e1", 1, "a", at, 1.0, "r"), ("e2", None, "a", at, 1.0, "r"), ("e2", 2, "b", at, 1.0, "r")]
+    raw = spark.createDataFrame(rows, schema)
+    for df in (raw, raw.repartition(4), raw.orderBy(F.desc("user_id"))):
+        kept = clean.clean_app_events(df, "2024-01-01").collect()
+        assert sorted((r.event_id, r.user_id) for r in kept) == [("e1", 1), ("e2", 2)]
+    valid = F.col("user_id").isNotNull() & F.col("timestamp").isNotNull() & (F.col("amount") >= 0)
+    assert gold.reconcile(raw, "event_id", valid).first().records_after == 2
+    users = spark.createDataFrame([(1, None), (1, "ann")], "user_id bigint, name string")
+    assert [r.name for r in clean.clean_users(users, "user_id", "name").collect()] == ["ANN"]
+
+
+def test_unlisted_event_types_are_counted(spark):
+    rows = [("2024-01-01", 1, "r", t, 2, 0.0, 0.0, 0.0, None, None) for t in ("click", "odd", None)]
+    schema = (
+        "processing_date string, user_id bigint, region string, event_type string, events bigint, amount_sum double, "
+        "amount_max double, amount_min double, first_ts timestamp, last_ts timestamp"
+    )
+    row = gold.tourism_pivot(spark.createDataFrame(rows, schema), ["click", "view"]).first()
+    assert (row.click, row.view, row.other) == (2, 0, 4)
+
+
+def test_pages_beyond_the_limit_are_refused(entities):
+    from strata.operators import recommend, serving
+
+    for limit in (0, 101):
+        with pytest.raises(ValueError):
+            serving.list_tours(entities.tours(), limit=limit)
+    with pytest.raises(ValueError):
+        recommend.recommendations(entities.tour_events(), None, entities.tours(), limit=21)
+
+
+def test_platform_regions_are_those_of_tours(spark):
+    from strata.operators import serving
+
+    tours = spark.createDataFrame([("A", 1.0, 2.0)], "region string, price double, rating double")
+    events = spark.createDataFrame([("A",), ("B",)], "region string")
+    row = serving.platform_metrics(tours, events).first()
+    assert (row.regions, row.regions_count, row.total_events) == (["A"], 1, 2)
+
+
+def test_replayed_letters_keep_types_and_one_count(spark):
+    from strata.operators import dlq
+
+    text = '{"id":1,"retry_count":1,"n":1.5,"o":{"retry_count":7,"t":[true,null]},"s":"x"}'
+    rows = spark.createDataFrame([(text, 1)], "original_message string, retry_count int")
+    value = dlq.replay(rows).first().value
+    assert json.loads(value) == json.loads(text) | {"retry_count": 2} and value.count("retry_count") == 2
+
+
+def test_null_keys_are_keys(spark):
+    from strata.operators import timeseries, windows
+
+    rows = [(k, datetime(2024, 1, 1 + i // 2, 12 * (i % 2)), float(i)) for k in ("a", None) for i in range(6)]
+    samples = spark.createDataFrame(rows, "topic string, ts timestamp, value double")
+    grown = timeseries.increases(samples, ["topic"]).groupBy("topic").agg(F.sum("delta").alias("d")).collect()
+    assert {r.topic: r.d for r in grown} == {"a": 5.0, None: 5.0}
+    numbered = windows.with_session(samples, "topic", "ts", 1800).where("session_no is null")
+    assert numbered.isEmpty()
 
 
 def test_clickstream_json_is_flattened(spark):
@@ -272,10 +372,16 @@ def test_lineage_events_and_graph(spark):
     assert {r.event_type: r.events for r in metadata.lineage_counts(every).collect()} == {"transformation": 1, "job_start": 1}
 
 
-def test_cyclic_lineage_is_reported(spark):
-    loop = spark.createDataFrame([(1, 2), (2, 1)], "id bigint, parent_id bigint")
-    with pytest.raises(ValueError, match="cyclic"):
-        metadata.ancestors(loop, max_depth=5)
+def test_cyclic_lineage_ends(spark):
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 2)], "id bigint, parent_id bigint")
+    got = {(r.id, r.ancestor_id): r.depth for r in metadata.ancestors(loop).collect()}
+    assert got == {(1, 2): 1, (2, 1): 1, (3, 2): 1, (1, 1): 2, (2, 2): 2, (3, 1): 2}
+    assert {r.id: r.depth for r in metadata.downstream(loop, 2).collect()} == {1: 1, 3: 1, 2: 2}
+
+
+def test_lineage_deeper_than_any_limit(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 71)], "id bigint, parent_id bigint")
+    assert metadata.downstream(chain, 0).agg(F.max("depth")).first()[0] == 70
 
 
 def test_declared_transforms_refuse_unknown_types(spark):

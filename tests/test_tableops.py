@@ -1,55 +1,6 @@
-from datetime import datetime
-
-import pytest
 from pyspark.sql import functions as F
 
-from strata import schemas
-from strata.operators.tableops import VersionedTable, delete, update
-
-ROWS = [
-    ("EVT001", "Beach Festival", "Maldives", 500, 25000.0, datetime(2024, 1, 1)),
-    ("EVT002", "Mountain Trek", "Nepal", 200, 15000.0, datetime(2024, 1, 1)),
-    ("EVT003", "Cultural Show", "Vietnam", 300, 18000.0, datetime(2024, 1, 1)),
-]
-
-
-@pytest.fixture
-def table(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "events"), ("destination",))
-    t.create(spark.createDataFrame(ROWS, schemas.DEMO_EVENT))
-    return t
-
-
-def counts(df):
-    return {r.event_id: r.visitor_count for r in df.collect()}
-
-
-def test_update_delete_history_and_time_travel(table):
-    assert table.update(F.col("destination") == "Maldives", {"visitor_count": F.col("visitor_count") + 100}) == 1
-    assert counts(table.read())["EVT001"] == 600
-    assert table.delete(F.col("visitor_count") < 300) == 2
-    assert counts(table.read()) == {"EVT001": 600, "EVT003": 300}
-    assert counts(table.read(version=0)) == {"EVT001": 500, "EVT002": 200, "EVT003": 300}
-    assert [(r.version, r.operation, r.rows) for r in table.history().collect()] == [
-        (2, "delete", 2), (1, "update", 3), (0, "create", 3),
-    ]
-    with pytest.raises(ValueError):
-        table.read(version=9)
-
-
-def test_append_compact_describe(table, spark):
-    table.append(spark.createDataFrame(ROWS[:1], schemas.DEMO_EVENT).repartition(4))
-    table.compact()
-    facts = {r.name: r.value for r in table.describe().collect()}
-    assert facts["# rows"] == "4" and facts["# version"] == "2" and facts["visitor_count"] == "int"
-    assert int(facts["# files"]) == 3
-
-
-def test_uncommitted_version_is_not_seen(table, spark):
-    spark.createDataFrame(ROWS, schemas.DEMO_EVENT).write.parquet(table._data(1))
-    assert table.current_version() == 0
-    assert table.append(spark.createDataFrame(ROWS[:1], schemas.DEMO_EVENT)) == 1
-    assert table.read().count() == 4
+from strata.operators.tableops import delete, update
 
 
 def test_null_condition_keeps_the_row(spark):
