@@ -173,7 +173,7 @@ def health_score(up: DataFrame, series: list[str], groups: dict[str, str], order
 
 
 def alerts(
-    samples: DataFrame, series: list[str], condition: Column, hold_seconds: int, tie: list[str] | None = None,
+    samples: DataFrame, series: list[str], condition: Column, hold_seconds: int | Column, tie: list[str] | None = None,
     slice_seconds: int = DAY,
 ) -> DataFrame:
     """Unbroken stretches of samples that meet the condition; one fires when it lasts the hold time.
@@ -216,30 +216,68 @@ def consumer_lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
     )
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str, float, str]]) -> DataFrame:
-    """(alert, metric, operator, threshold, severity) rows of the configuration."""
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str, float, int, str]]) -> DataFrame:
+    """(alert, metric, operator, threshold, hold_seconds, severity) rows of the configuration."""
     return spark.createDataFrame(
-        rules, "alert string, metric string, operator string, threshold double, severity string"
+        rules, "alert string, metric string, operator string, threshold double, hold_seconds int, severity string"
     )
 
 
-# The configured gauge alerts.
+# The configured gauge alerts; they hold at once.
 RULES = [
-    ("high_consumer_lag", "kafka_consumer_lag", ">", float(LAG_MESSAGES), "warning"),
-    ("data_quality_failure_rate", "data_quality_failures", ">", float(QUALITY_FAILURE_PERCENT), "critical"),
-    ("external_api_down", "api_success_rate", "<", float(API_SUCCESS_PERCENT), "warning"),
-    ("high_null_rate", "data_quality_null_percentage", ">", float(NULL_PERCENT), "warning"),
-    ("data_quality_check_failed", "data_quality_check_status", "==", 0.0, "warning"),
+    ("high_consumer_lag", "kafka_consumer_lag", ">", float(LAG_MESSAGES), 0, "warning"),
+    ("data_quality_failure_rate", "data_quality_failures", ">", float(QUALITY_FAILURE_PERCENT), 0, "critical"),
+    ("external_api_down", "api_success_rate", "<", float(API_SUCCESS_PERCENT), 0, "warning"),
+    ("high_null_rate", "data_quality_null_percentage", ">", float(NULL_PERCENT), 0, "warning"),
+    ("data_quality_check_failed", "data_quality_check_status", "==", 0.0, 0, "warning"),
 ]
+# The monitoring rules over values derived by the operators above, with the seconds they must hold.
+HELD_RULES = [
+    ("memory_high", "memory_used_percent", ">", 85.0, 300, "critical"),
+    ("cpu_high", "cpu_used_percent", ">", 80.0, 300, "warning"),
+    ("disk_space_low", "disk_free_percent", "<", 15.0, 300, "critical"),
+    ("broker_down", "up_kafka", "==", 0.0, 120, "critical"),
+    ("partitions_under_replicated", "under_replicated_partitions", ">", 0.0, 300, "warning"),
+    ("partitions_offline", "offline_partitions", ">", 0.0, 120, "critical"),
+    ("consumer_lag_high", "consumer_lag", ">", 10_000.0, 600, "warning"),
+    ("batch_master_down", "up_spark_master", "==", 0.0, 120, "critical"),
+    ("batch_worker_down", "up_spark_worker", "==", 0.0, 120, "warning"),
+    ("batch_jobs_failing", "job_failures_per_second", ">", 0.1, 300, "warning"),
+    ("storage_node_offline", "storage_nodes_offline", ">", 0.0, 120, "critical"),
+    ("storage_disk_offline", "storage_disks_offline", ">", 0.0, 120, "critical"),
+    ("storage_nearly_full", "storage_used_percent", ">", 85.0, 300, "warning"),
+    ("relational_store_down", "up_postgres", "==", 0.0, 120, "critical"),
+    ("connections_high", "connections_share", ">", 0.8, 300, "warning"),
+    ("deadlocks", "deadlocks_increase", ">", 0.0, 60, "warning"),
+    ("olap_store_down", "up_clickhouse", "==", 0.0, 120, "critical"),
+    ("olap_queries_slow", "olap_mean_seconds", ">", 10.0, 300, "warning"),
+    ("api_errors_high", "api_error_share", ">", 0.05, 300, "critical"),
+    ("api_latency_high", "api_p95_seconds", ">", 2.0, 300, "warning"),
+    ("api_down", "up_api", "==", 0.0, 120, "critical"),
+    ("quality_check_failed", "data_quality_check_status", "==", 0.0, 300, "warning"),
+    ("null_rate_high", "data_quality_null_percentage", ">", 10.0, 300, "warning"),
+    ("scheduler_down", "up_airflow_scheduler", "==", 0.0, 120, "critical"),
+    ("scheduled_runs_failing", "run_failures_per_second", ">", 0.0, 300, "warning"),
+    ("trace_collector_down", "up_jaeger", "==", 0.0, 120, "warning"),
+    ("traces_dropped", "traces_dropped_per_second", ">", 100.0, 300, "warning"),
+]
+
+
+def _broken() -> Column:
+    value, limit, op = F.col("value"), F.col("threshold"), F.col("operator")
+    return F.when(op == ">", value > limit).when(op == "<", value < limit).when(op == "==", value == limit)
 
 
 def apply_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Every metric row that breaks a rule of its metric."""
-    value, limit, op = F.col("value"), F.col("threshold"), F.col("operator")
-    broken = (
-        F.when(op == ">", value > limit).when(op == "<", value < limit).when(op == "==", value == limit)
-    )
-    return metrics.join(rules, "metric").where(broken)
+    return metrics.join(rules, "metric").where(_broken()).drop("hold_seconds")
+
+
+def held_alerts(metrics: DataFrame, rules: DataFrame, series: list[str], tie: list[str] | None = None) -> DataFrame:
+    """Unbroken stretches in which a series of (series, ts, metric, value) breaks a rule of its metric; each rule fires
+    when a stretch lasts its own hold time."""
+    judged = metrics.join(rules, "metric")
+    return alerts(judged, [*series, "alert", "severity", "hold_seconds"], _broken(), F.col("hold_seconds"), tie)
 
 
 def up_status(up: DataFrame, series: list[str], order: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.plans.entities import Entities
 from strata.session import tune
 
-FAMILIES = ["gold", "serving", "cleaning", "quality", "metadata", "windows", "monitoring", "recommend", "table_ops"]
+FAMILIES = [
+    "gold", "serving", "cleaning", "quality", "metadata", "windows", "monitoring", "recommend", "table_ops", "roundtrips",
+]
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,8 @@ def dedup_within(
                 if all(abs(time - t) > span for t in kept):
                     kept.append(time)
                     chosen.append(at)
-            yield frame.loc[chosen]
+            if chosen:
+                yield frame.loc[chosen]
         border = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms") - span
         kept = [t for t in kept if t >= border]
         state.update(([t.to_pydatetime() for t in kept],))
