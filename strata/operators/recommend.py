@@ -1,13 +1,13 @@
 """Tour recommendations.
 
-Scores are computed per peer group (users of one country) and per tour, never per pair of users
-or pair of tours: the work is linear in the events.  A user's list is the list of the group, so
-lists are ranked once per group and handed to its users by an equi-join.
+Peer scores are computed per group (users of one country) and tour, never per pair of users or pair of tours: the work
+is linear in the events.  Lists are ranked once per group and handed to its users by an equi-join; a user's own taste
+and bookings then decide about that short list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.enrich import with_region_flag
@@ -19,6 +19,8 @@ POPULAR, TRENDING = "Popular in your region", "Trending"
 CONSTANT_SCORE = 0.85
 # Weights of the hybrid score, our own choice.
 PEERS_WEIGHT, CONTENT_WEIGHT, RATING_WEIGHT = 0.5, 0.3, 0.2
+# Weight of the user's own taste beside the group's score.
+OWN_WEIGHT = 0.3
 
 
 def with_reason(candidates: DataFrame, events: DataFrame) -> DataFrame:
@@ -102,20 +104,37 @@ def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> Data
     return rows.select("peers", "tour_id", "region", F.col("rating").alias("predicted_rating"), F.round(score, 9).alias("match_score"))
 
 
-def recommendations(events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5) -> DataFrame:
-    """Top tours per user, best score first.  The ranked lists have at most ``limit`` rows per peer group; how they
-    meet the users is left to the optimizer.  More than ``MAX_RECOMMENDATIONS`` are refused."""
+def recommendations(
+    events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5, pool: int = MAX_RECOMMENDATIONS
+) -> DataFrame:
+    """Top tours per user, best score first, without those the user has booked.
+
+    A user's candidates are the ``pool`` best tours of the peer group; they are scored by the group's score and by how
+    well their tags meet those of the user's bookings.  How the short group lists meet the users is left to the
+    optimizer.  More than ``MAX_RECOMMENDATIONS`` are refused.
+    """
     if not 0 < limit <= MAX_RECOMMENDATIONS:
         raise ValueError(f"limit must be 1 to {MAX_RECOMMENDATIONS}")
-    ranked = top_per_key(
-        hybrid_scores(events, users, tours),
-        ["peers"],
-        [F.desc("match_score"), F.col("tour_id")],
-        limit,
-    )
+    lists = top_per_key(
+        hybrid_scores(events, users, tours), ["peers"], [F.desc("match_score"), F.col("tour_id")], pool
+    ).drop("rank")
     active = events.select("user_id").distinct().join(users.select("user_id", "peers"), "user_id")
+    booked = events.where(F.col("event_type") == "booking").select("user_id", "tour_id").distinct()
+    # a user's tags are a set of the tag vocabulary, whatever the number of bookings
+    taste = booked.join(_tour_tags(tours), "tour_id").groupBy("user_id").agg(F.collect_set("tag").alias("liked"))
+    tagged = lists.join(tours.select("tour_id", F.array_distinct("tags").alias("tags")), "tour_id")
+    candidates = (
+        active.join(taste, "user_id", "left").join(tagged, "peers").join(booked, ["user_id", "tour_id"], "left_anti")
+    )
+    shared = F.size(F.array_intersect("tags", "liked"))
+    content = F.when(F.col("liked").isNotNull(), shared / (F.size("tags") + F.size("liked") - shared)).otherwise(0.0)
+    score = (1 - OWN_WEIGHT) * F.col("match_score") + OWN_WEIGHT * F.coalesce(content, F.lit(0.0))
+    scored = candidates.withColumn("match_score", F.round(score, 9))
+    # at most ``pool`` rows per user
+    best = Window.partitionBy("user_id").orderBy(F.desc("match_score"), "tour_id")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("tour_id").cast("string"))
-    return active.join(ranked, "peers").select(
+    return ranked.select(
         F.md5(key).alias("recommendation_id"),
         "user_id",
         "tour_id",

@@ -67,11 +67,24 @@ def hybrid_scores(e):
     return recommend.hybrid_scores(e.tour_events(), users(e), e.tours())
 
 
-@query("R4 W3", using("tours", "tour_events", **_HYBRID, t="""
-        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY peers ORDER BY match_score DESC, tour_id) AS INT) AS rank FROM h)
-        WHERE rank <= 5""", a="SELECT DISTINCT user_id FROM tour_events") + """
-    SELECT md5(a.user_id || '|' || tour_id) AS recommendation_id, a.user_id, tour_id, match_score, predicted_rating, region, rank
-    FROM a JOIN us ON a.user_id = us.user_id JOIN t ON t.peers = us.peers""")
+@query("R4 W3 R2", using("tours", "tour_events", **_HYBRID, t="""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY peers ORDER BY match_score DESC, tour_id) AS place FROM h)
+        WHERE place <= 20""", a="SELECT DISTINCT user_id FROM tour_events", c="""
+        SELECT a.user_id, t.* FROM a JOIN us ON a.user_id = us.user_id JOIN t ON t.peers = us.peers
+        LEFT JOIN b ON b.user_id = a.user_id AND b.tour_id = t.tour_id WHERE b.user_id IS NULL""",
+        tg="SELECT DISTINCT tour_id, unnest(tags) AS tag FROM tours",
+        u="SELECT DISTINCT b.user_id, tag FROM b JOIN tg ON b.tour_id = tg.tour_id",
+        s="""
+        SELECT c.user_id, c.tour_id, count(*) AS nt, count(u.tag) AS shared FROM c JOIN tg ON c.tour_id = tg.tour_id
+        LEFT JOIN u ON c.user_id = u.user_id AND u.tag = tg.tag GROUP BY ALL""",
+        k="SELECT user_id, count(*) AS nu FROM u GROUP BY user_id", f="""
+        SELECT c.user_id, c.tour_id, region, predicted_rating,
+               round(0.7::DOUBLE * match_score + 0.3::DOUBLE * coalesce(shared / (nt + coalesce(nu, 0) - shared), 0), 9) AS match_score
+        FROM c LEFT JOIN s ON s.user_id = c.user_id AND s.tour_id = c.tour_id LEFT JOIN k ON k.user_id = c.user_id""") + """
+    SELECT md5(user_id || '|' || tour_id) AS recommendation_id, * FROM (
+        SELECT user_id, tour_id, match_score, predicted_rating, region,
+               CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, tour_id) AS INT) AS rank FROM f)
+    WHERE rank <= 5""")
 def recommendations(e):
     return recommend.recommendations(e.tour_events(), users(e), e.tours(), 5)
 
