@@ -28,12 +28,20 @@ class Field:
     pattern: str | None = None
     minimum: float | None = None
     maximum: float | None = None
+    format: str | None = None
 
     @property
     def parent(self) -> str:
         return self.path.rpartition(".")[0]
 
 
+# Texts that the named formats allow.
+FORMATS = {
+    "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})?$",
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$",
+    "ipv4": r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.(?!$)|$)){4}$",
+}
 # The record contracts of the event sources.
 APP_EVENT = [
     Field("event_id", "string", True, pattern="^evt_[a-zA-Z0-9]{10,}$"),
@@ -42,7 +50,7 @@ APP_EVENT = [
     Field("event_type", "string", True, enum=("click", "view", "search", "booking", "rating", "navigation")),
     Field("action", "string"),
     Field("tour_id", "string"),
-    Field("timestamp", "string", True),
+    Field("timestamp", "string", True, format="date-time"),
     Field("device", "object", True),
     Field("device.type", "string", True, enum=("mobile", "tablet", "desktop")),
     Field("device.os", "string", True, enum=("iOS", "Android", "Windows", "MacOS", "Linux")),
@@ -75,15 +83,17 @@ CLICKSTREAM = [
     Field("user_id", "integer", nullable=True),
     Field("event", "string", True),
     Field("properties", "object"),
+    Field("properties.url", "string", format="uri"),
     Field("properties.duration", "number", minimum=0),
     Field("context", "object", True),
-    Field("context.ip", "string", True),
+    Field("context.ip", "string", True, format="ipv4"),
     Field("context.user_agent", "string", True),
     Field("context.locale", "string", pattern="^[a-z]{2}-[A-Z]{2}$"),
     Field("context.screen", "object"),
     Field("context.screen.width", "integer", minimum=0),
     Field("context.screen.height", "integer", minimum=0),
-    Field("timestamp", "string", True),
+    Field("timestamp", "string", True, format="date-time"),
+    Field("received_at", "string", format="date-time"),
 ]
 EXTERNAL = [
     Field("source", "string", True, enum=("openweather", "google_maps", "twitter", "facebook", "open_dataset")),
@@ -92,7 +102,7 @@ EXTERNAL = [
     Field("location.country", "string", pattern="^[A-Z]{2}$"),
     Field("location.lat", "number", minimum=-90, maximum=90),
     Field("location.lon", "number", minimum=-180, maximum=180),
-    Field("timestamp", "string", True),
+    Field("timestamp", "string", True, format="date-time"),
     Field("data", "object", True),
 ]
 # JSON type name -> first words of the variant types it may be stored as.
@@ -124,6 +134,7 @@ def from_json_schema(schema: dict, prefix: str = "") -> list[Field]:
                 rule.get("pattern"),
                 rule.get("minimum"),
                 rule.get("maximum"),
+                rule.get("format") if rule.get("format") in FORMATS else None,
             )
         )
         fields += from_json_schema(rule, path + ".")
@@ -170,6 +181,11 @@ def _code(i: int, f: Field, parent: Column | None) -> Column | None:
         rules.append((~text.isin(*f.enum), "enum"))
     if f.pattern:
         rules.append((~text.rlike(f.pattern), "pattern"))
+    if f.format:
+        fits = text.rlike(FORMATS[f.format])
+        if f.format.startswith("date"):
+            fits = fits & F.try_to_timestamp(text).isNotNull()
+        rules.append((text.isNotNull() & ~fits, "format"))
     if f.minimum is not None:
         rules.append((number < f.minimum, "minimum"))
     if f.maximum is not None:
@@ -189,7 +205,7 @@ def validate(df: DataFrame, column: str, contract: list[Field]) -> DataFrame:
     looked_up = {}
     for i, f in enumerate(contract):
         looked_up[f"_kind_{i}"] = F.schema_of_variant(F.variant_get(record, "$." + f.path, "variant"))
-        if f.enum or f.pattern:
+        if f.enum or f.pattern or f.format:
             looked_up[f"_text_{i}"] = F.try_variant_get(record, "$." + f.path, "string")
         if f.minimum is not None or f.maximum is not None:
             looked_up[f"_number_{i}"] = F.try_variant_get(record, "$." + f.path, "double")

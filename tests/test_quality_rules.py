@@ -210,6 +210,24 @@ def test_unreadable_record(spark):
     assert found(spark, "{oops", contracts.APP_EVENT) == ["unreadable"]
 
 
+@pytest.mark.parametrize(
+    "kind, good, bad",
+    [
+        ("date-time", ["2024-02-29T10:00:00Z", "2024-01-01 10:00:00.5", "2024-01-01T10:00:00+07:00"], ["2024-01-01", "t", "2023-02-30T10:00:00Z"]),
+        ("date", ["2024-02-29"], ["2023-02-29", "1.2.2024"]),
+        ("uri", ["https://x.example/a?b=c", "mailto:a@b"], ["/a/b", "https://x y", ""]),
+        ("ipv4", ["0.0.0.0", "255.10.1.99"], ["256.1.1.1", "1.2.3", "1.2.3.4.", "::1"]),
+    ],
+)
+def test_formats(spark, kind, good, bad):
+    contract = [contracts.Field("v", "string", True, format=kind)]
+    for text in good:
+        assert found(spark, {"v": text}, contract) == []
+    for text in bad:
+        assert found(spark, {"v": text}, contract) == ["format:v"]
+    assert contracts.from_json_schema({"properties": {"v": {"type": "string", "format": kind}}})[0].format == kind
+
+
 def test_contract_from_json_schema_and_avro(spark):
     schema = {
         "required": ["a"],
@@ -230,6 +248,6 @@ def test_change_and_click_contracts(spark):
     change = {"source": {}, "payload": {"op": "x", "ts_ms": 1, "before": None, "after": {"id": 1},
               "source": {"connector": "mysql", "db": "d", "table": "t", "ts_ms": 1}}}
     assert found(spark, change, contracts.CHANGE_EVENT) == ["enum:payload.op"]
-    click = {"anonymous_id": "anon_0123456789", "user_id": None, "event": "Page Viewed", "timestamp": "t",
+    click = {"anonymous_id": "anon_0123456789", "user_id": None, "event": "Page Viewed", "timestamp": "2024-01-01T00:00:00Z",
              "context": {"ip": "1.1.1.1", "user_agent": "x", "locale": "EN"}}
     assert found(spark, click, contracts.CLICKSTREAM) == ["pattern:context.locale"]

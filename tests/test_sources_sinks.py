@@ -84,14 +84,20 @@ def test_layer_table_replaces_only_its_day(spark):
     write([("2024-01-02", 3)])
     assert sorted(r.v for r in spark.table("daily").collect()) == [1, 3]
     assert [r.v for r in tables.catalog_table(spark, "daily", "2024-01-01").collect()] == [1]
-    assert metadata.dataset_catalog(
-        spark,
-        spark.createDataFrame([("daily", 2, datetime(2024, 1, 1), "SUCCESS")], "target_table string, row_count bigint, ended_at timestamp, status string"),
-        "dail",
-    ).first().status == "SUCCESS"
     spark.sql("DROP TABLE daily")
 
 
+def test_catalogue_of_written_tables(spark):
+    load = lambda day, table, n, **more: metadata.lineage_event(
+        spark, "transformation", datetime(2024, 1, day), job_name="j", source={"layer": "bronze", "tables": ["a"]},
+        destination={"layer": "silver", "table": table}, row_count_in=9, row_count_out=n, **more,
+    )
+    events = load(1, "Daily", 2).unionByName(load(2, "Daily", 5, status="failed")).unionByName(load(1, "other", 1))
+    row = metadata.dataset_catalog(events, "dail").first()
+    assert (row.dataset, row.layer, row.rows, row.status, row.format) == ("Daily", "silver", 5, "failed", "parquet")
+    assert metadata.dataset_catalog(events).count() == 2
+
+
 def test_publish_replaces_the_day_and_survives_a_failing_table(spark):
     store: dict[str, list] = {}
     frames = {
