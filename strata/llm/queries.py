@@ -97,3 +97,17 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.sentencepiece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
