@@ -186,22 +186,29 @@ def rule_alerts(e):
     return found.select("day", "metric", "value", "alert", "severity")
 
 
-_HELD = [("memory_high", 85, 300), ("memory_high_for_hours", 85, 3 * 3600), ("memory_very_high", 95, 300)]
+_HELD = [
+    ("memory_high", "memory_used_percent", ">", 85, 300),
+    ("memory_high_for_hours", "memory_used_percent", ">", 85, 3 * 3600),
+    ("memory_free_low", "memory_free_percent", "<", 5, 300),
+]
 
 
-@query("V10 V12", using("gauges", used="""
-        SELECT a.instance, a.ts, (1 - a.value / b.value) * 100 AS value FROM gauges a
+@query("V10 V12", using("gauges", memory="""
+        SELECT a.instance, a.ts, (1 - a.value / b.value) * 100 AS used FROM gauges a
         JOIN gauges b ON a.instance = b.instance AND a.ts = b.ts
         WHERE a.metric = 'memory_available' AND b.metric = 'memory_total'""")[:-1] + f""",
-    judged AS (SELECT *, value > threshold AS met FROM used, (VALUES {", ".join(map(str, _HELD))}) r(alert, threshold, hold)),
+    judged AS (SELECT *, CASE WHEN op = '>' THEN used > threshold ELSE 100 - used < threshold END AS met
+               FROM memory, (VALUES {", ".join(map(str, _HELD))}) r(alert, metric, op, threshold, hold)),
     named AS (SELECT *, max(CASE WHEN NOT met THEN ts END) OVER (PARTITION BY instance, alert ORDER BY ts) AS since FROM judged)
     SELECT instance, alert, strftime(min(ts), {_FMT}) AS started_at, strftime(max(ts), {_FMT}) AS last_seen, count(*) AS samples,
            epoch(max(ts)) - epoch(min(ts)) >= hold AS firing FROM named WHERE met GROUP BY instance, alert, since, hold""")
 def held_rule_alerts(e):
-    """Rules over one metric that differ by threshold or by hold time only."""
-    ratio = ts.gauge_ratio(e.gauges(), "memory_available", "memory_total", ["instance"])
-    metrics = ratio.select("instance", "ts", F.lit("memory_used_percent").alias("metric"), ((1 - F.col("ratio")) * 100).alias("value"))
-    rules = [(a, "memory_used_percent", ">", float(limit), hold, "warning") for a, limit, hold in _HELD]
+    """Rules over two metrics, two of them apart by their hold time only."""
+    used = (1 - F.col("ratio")) * 100
+    metrics = ts.gauge_ratio(e.gauges(), "memory_available", "memory_total", ["instance"]).withColumn("used", used).select(
+        "instance", "ts", F.expr("stack(2, 'memory_used_percent', used, 'memory_free_percent', 100 - used) AS (metric, value)")
+    )
+    rules = [(alert, metric, op, float(limit), hold, "warning") for alert, metric, op, limit, hold in _HELD]
     found = ts.held_alerts(metrics, ts.rule_table(e.spark, rules), ["instance"])
     times = {c: ts_text(c) for c in ("started_at", "last_seen")}
     return found.withColumns(times).select("instance", "alert", "started_at", "last_seen", "samples", "firing")
