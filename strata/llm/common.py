@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,17 @@ ARROW_ROWS = 512
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with the package's settings and Arrow batches that fit a worker's memory."""
+    """The session with the package's settings and Arrow batches that fit a worker's memory.
+
+    Python workers on this machine get the folder of the package as a search path, wherever the driver was started;
+    a cluster brings the package with ``--py-files`` or as an installed one.
+    """
     tune(spark)
+    environment = spark.sparkContext.environment
+    folder = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, folder])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
