@@ -33,7 +33,7 @@ BLOCK = frozenset(
     "tbody tfoot thead title tr ul".split()
 )
 NEVER = frozenset(
-    "head title script style noscript template iframe object svg math canvas audio video map nav footer aside form "
+    "head title script style noscript template iframe object svg math canvas audio video map nav footer aside "
     "button select datalist textarea dialog menu".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -45,7 +45,19 @@ HINTS = frozenset(
     "toolbar share sharing social related recommended recommendations comment comments commentlist discussion disqus "
     "replies reply respond copyright disclaimer skip".split()
 )
-REMARKS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+REMARKS = frozenset("comment comments commentlist comment-list comment-body disqus replies reply respond".split())
+# Within an article or main element only whole names decide: classes that are site parts there too, and ids that are no
+# slugs of a heading.
+CHROME = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie-notice "
+    "cookie-banner cookie-consent newsletter newsletter-signup subscribe signup login nav navbar breadcrumb breadcrumbs "
+    "pagination pager sidebar widget widgets toolbar share sharing share-buttons social-share social-links related "
+    "related-posts related-articles recommended recommendations popup modal".split()
+) | REMARKS
+CHROME_IDS = frozenset("comments commentlist disqus disqus_thread respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Names that begin so describe the layout around a part, not the part.
+ABOUT = ("has-", "no-", "with-", "without-")
 
 OUT, FREE, MAIN, ARTICLE = range(4)
 # Share of the undecided lines of both pages from which on two pages are copies, whose shared lines say nothing.
@@ -59,9 +71,12 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str]] = []
-        self.open: list[tuple[str, int]] = []  # element, zone inside
+        self.lines: list[tuple[int, str, tuple[int, ...]]] = []  # with the hinted elements around the line
+        self.open: list[tuple[str, int, tuple[int, ...]]] = []  # element, zone and hinted elements around it
         self.zone = FREE
+        self.within: tuple[int, ...] = ()
+        self.hinted = 0
+        self.holders: set[int] = set()  # hinted elements that hold an article or main element
         self.parts: list[str] = []
 
     def flush(self) -> None:
@@ -69,41 +84,70 @@ class _Lines(HTMLParser):
             line = " ".join("".join(self.parts).split())
             self.parts = []
             if line:
-                self.lines.append((self.zone, line))
+                self.lines.append((self.zone, line, self.within))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
             # A paragraph ends where a block begins.
-            if any(name == "p" for name, _ in self.open[-4:]):
+            if any(name == "p" for name, *_ in self.open[-4:]):
                 self._close("p")
         elif tag in ("br", "td", "th"):
             self.parts.append(" ")
         if tag in VOID:
             return
-        inside = self._inside(tag, dict(attrs))
-        if inside != self.zone:
+        attrs = dict(attrs)
+        inside, hinted = self._inside(tag, attrs), self._hinted(tag, attrs)
+        if inside != self.zone or hinted:
             self.flush()
-        self.open.append((tag, self.zone))
+        self.open.append((tag, self.zone, self.within))
+        if hinted and inside != OUT:
+            self.within += (self.hinted,)
+            self.hinted += 1
+        elif inside != OUT and (tag in ("article", "main") or (attrs.get("role") or "").lower() == "main"):
+            self.holders.update(self.within)
         self.zone = inside
 
+    def _hinted(self, tag: str, attrs: dict) -> bool:
+        """Whether the element goes unless it holds the article."""
+        if tag == "form":
+            return True
+        if tag in ("html", "body", "article", "main") or tag in HEADINGS or (attrs.get("role") or "").lower() == "main":
+            return False
+        classes, names = (attrs.get("class") or "").lower().split(), (attrs.get("id") or "").lower().split()
+        if self.zone in (MAIN, ARTICLE):
+            return not CHROME.isdisjoint(classes) or not CHROME_IDS.isdisjoint(names)
+        names = " ".join(n for n in classes + names if not n.startswith(ABOUT))
+        return not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", names))
+
     def _inside(self, tag: str, attrs: dict) -> int:
         if self.zone == OUT or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return OUT
         role = (attrs.get("role") or "").lower()
-        hints = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
         if role in ROLES or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return OUT
         if tag == "article":
-            return OUT if hints & REMARKS else ARTICLE
+            remark = REMARKS.intersection((attrs.get("class") or "").lower().split())
+            return OUT if remark or (attrs.get("id") or "").lower() in CHROME_IDS else ARTICLE
         if tag == "main" or role == "main":
             return max(self.zone, MAIN)
-        if tag not in ("html", "body") and hints & HINTS:
-            return OUT
         if tag == "header" and self.zone != ARTICLE:
             return OUT
         return self.zone
 
+    def resolved(self) -> list[tuple[int, str]]:
+        """(zone, line) with what hinted elements hold out.  One stays if it holds more text of articles and main
+        elements than is found outside of such elements, the largest first: then it is laid around the article."""
+        held = {h: sum(len(x) for zone, x, within in self.lines if zone >= MAIN and h in within) for h in self.holders}
+        kept: set[int] = set()
+        found = sum(len(x) for zone, x, within in self.lines if zone >= MAIN and not within)
+        for h in sorted(held, key=lambda h: (-held[h], h)):
+            if held[h] <= found:
+                break
+            kept.add(h)
+            found = sum(len(x) for zone, x, within in self.lines if zone >= MAIN and kept.issuperset(within))
+        return [(zone if kept.issuperset(within) else OUT, x) for zone, x, within in self.lines]
+
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
@@ -118,9 +162,9 @@ class _Lines(HTMLParser):
     def _close(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if self.open[at][1] != self.zone:
+                if self.open[at][1:] != (self.zone, self.within):
                     self.flush()
-                self.zone = self.open[at][1]
+                _, self.zone, self.within = self.open[at]
                 del self.open[at:]
                 return
 
@@ -132,7 +176,7 @@ class _Lines(HTMLParser):
 
     def lines_out(self, data):
         # Script and style text is no line of the page.
-        if not any(name in ("script", "style", "template", "svg") for name, _ in self.open[-2:]):
+        if not any(name in ("script", "style", "template", "svg") for name, *_ in self.open[-2:]):
             self.parts.append(data)
 
 
@@ -142,8 +186,9 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    best = max((zone for zone, _ in parser.lines), default=FREE)
-    return [(zone if zone == best else OUT, line) for zone, line in parser.lines]
+    lines = parser.resolved()
+    best = max((zone for zone, _ in lines), default=FREE)
+    return [(zone if zone == best else OUT, line) for zone, line in lines]
 
 
 def _masks(lines: list) -> dict:

@@ -92,3 +92,16 @@ def test_articles_of_the_table_are_whole(spark, sf_dir):
         blocks = re.split(r"</?(?:p|h1)>", article)
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in blocks)
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_hints_drop_no_article():
+    wrapped = "<div class='{}'><p>Menu</p><article><h1>Title</h1><p>Story</p></article></div>"
+    for name in ("has-sidebar", "no-sidebar", "content sidebar", "widget"):
+        assert text(wrapped.format(name)) == "Title\nStory"
+    assert text("<form><main><p>Story</p></main><input></form>") == "Story"
+    parts = "<article><p>a</p><h2 id='related-work'>Related work</h2><p>b</p><h2 id='social-effects'>Effects</h2>{}</article>"
+    assert text(parts.format("<section id='discussion'><p>c</p></section>")) == "a\nRelated work\nb\nEffects\nc"
+    assert text(parts.format("<div class='related'><p>c</p></div>")) == "a\nRelated work\nb\nEffects"
+    cards = "<div class='related'><article class='card'>Card</article></div>"
+    assert text(cards + wrapped.format("has-sidebar")) == "Title\nStory"
+    assert text("<article class='post has-comments'>Story</article><article class='comment'>First!</article>") == "Story"
