@@ -4,8 +4,9 @@ Pages of a host are put in the order of their URL paths; each is aligned with th
 the longest common subsequence of their text lines, and the lines they share are deleted as the site's template.
 
 Differencing alone can't give right results: menus and adverts that change from page to page are not shared, and an
-article that two pages carry is.  So the mark-up decides where it is clear: elements that are never part of an article
-go whatever they hold, and lines within an article or main element stay.  Shared lines decide about all others.
+article that two pages carry is.  So elements that are never part of an article go whatever they hold.  Shared lines go
+from all others: undecided ones if one neighbour has them, those of articles and main elements if two have.  Of these
+three zones the one with the most text left is the main text.
 """
 
 from __future__ import annotations
@@ -181,14 +182,12 @@ class _Lines(HTMLParser):
 
 
 def page_lines(html: str | None) -> list[tuple[int, str]]:
-    """(zone, line) of a page in page order; where it has an article (or else a main part), what is free beside it is out."""
+    """(zone, line) of a page in page order; the zones are those of the mark-up alone."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.resolved()
-    best = max((zone for zone, _ in lines), default=FREE)
-    return [(zone if zone == best else OUT, line) for zone, line in lines]
+    return parser.resolved()
 
 
 def _masks(lines: list) -> dict:
@@ -253,16 +252,39 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(lines: list[tuple[int, str]], neighbours: list[list[int]]) -> str:
-    """The lines that stay: out go those of no article, and of the undecided ones those shared with a neighbour."""
-    own = [line_hash(line) for _, line in lines]
-    free = {i for i, (zone, _) in enumerate(lines) if zone == FREE}
+def line_code(zone: int, line: str) -> int:
+    """The hash of a line with its zone in the lowest two bits."""
+    return line_hash(line) & ~3 | zone
+
+
+def main_text(lines: list[tuple[int, str]], neighbours: list[list[int]], zones: list[list[int]] | None = None) -> str:
+    """The lines that stay of the zone that holds most unshared text, the one with more mark-up of equals.
+
+    ``neighbours`` are line hashes or codes, ``zones`` the zones of their lines; without, all count as undecided.  A
+    neighbour that copies the zone says nothing about it.  An undecided line goes if one neighbour shares it.  A line
+    of an article or main element goes if two share it outside of what is no part of an article: two articles may
+    well have a title or sentence in common, what stands in all of them is the site's.
+    """
+    own = [line_hash(line) >> 2 for _, line in lines]
+    places = {zone: {i for i, (z, _) in enumerate(lines) if z == zone} for zone in (ARTICLE, MAIN, FREE)}
     shared: set[int] = set()
-    for other in neighbours:
-        met = {i for i, _ in common_subsequence(own, other)}
+    once: set[int] = set()
+    for n, other in enumerate(neighbours):
+        kinds = zones[n] if zones else [FREE] * len(other)
+        pairs = common_subsequence(own, [code >> 2 for code in other])
+        met = {i for i, _ in pairs}
         if len(met) < COPY * len(own) or len(met) < COPY * len(other):
-            shared |= met & free
-    return "\n".join(line for i, (zone, line) in enumerate(lines) if zone != OUT and i not in shared)
+            shared |= met & places[FREE]
+        told = {i for i, j in pairs if kinds[j] != OUT}
+        for zone in (ARTICLE, MAIN):
+            # an article that another page carries among others is still text
+            found = told & places[zone]
+            if len(found) < COPY * len(places[zone]):
+                shared |= found & once
+                once |= found
+    sizes = {zone: sum(len(lines[i][1]) for i in at - shared) for zone, at in places.items()}
+    best = max(sizes, key=sizes.get)
+    return "\n".join(lines[i][1] for i in sorted(places[best] - shared))
 
 
 def _place(url: str | None) -> tuple[str | None, str | None]:
@@ -276,7 +298,7 @@ def _place(url: str | None) -> tuple[str | None, str | None]:
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places = [_place(u) for u in batch.column(1).to_pylist()]
-        hashes = [[line_hash(line) for _, line in page_lines(h)] for h in batch.column(2).to_pylist()]
+        hashes = [[line_code(*line) for line in page_lines(h)] for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()),
              pa.array([p[1] for p in places], pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
@@ -295,7 +317,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         packed, before, after = (batch.column(k).to_pylist() for k in (2, 3, 4))
-        texts = [main_text(json.loads(unpack(p)), [n for n in (b, a) if n]) for p, b, a in zip(packed, before, after, strict=True)]
+        near = [[n for n in ab if n] for ab in zip(before, after, strict=True)]
+        texts = [main_text(json.loads(unpack(p)), n, [[c & 3 for c in x] for x in n]) for p, n in zip(packed, near, strict=True)]
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"])
@@ -304,8 +327,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
-    Neighbours are the pages before and after in the order (path, id, url) among those of the host; a page without
-    host, or alone on its host, has none.  Pages that share nearly all lines are copies and delete nothing from each
+    Neighbours are the pages before and after in the order (path, id, url) among those of the host, for the first and
+    last page the two next to it; a page without host, or alone on its host, has none.  Pages that share nearly all lines are copies and delete nothing from each
     other.  Null pages count as empty and have an empty text; repeated rows stand for one page in the order and are
     repeated in the result.  An empty table gives an empty result; other columns are not read.
     """
@@ -325,7 +348,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         order.drop("hashes")
         .join(side(1, "before"), "rank", "left")
         .join(side(-1, "after"), "rank", "left")
-        .select(F.col("id").alias("_id"), F.col("url").alias("_url"), near("before").alias("before"), near("after").alias("after")),
+        .join(side(2, "before2"), "rank", "left")
+        .join(side(-2, "after2"), "rank", "left")
+        .select(
+            F.col("id").alias("_id"), F.col("url").alias("_url"),
+            F.coalesce(near("before"), near("after2")).alias("before"), F.coalesce(near("after"), near("before2")).alias("after"),
+        ),
         "beside",
     )
     packed = rows.mapInArrow(_packed_batches, "id long, url string, packed binary")

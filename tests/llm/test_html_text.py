@@ -105,3 +105,21 @@ def test_hints_drop_no_article():
     cards = "<div class='related'><article class='card'>Card</article></div>"
     assert text(cards + wrapped.format("has-sidebar")) == "Title\nStory"
     assert text("<article class='post has-comments'>Story</article><article class='comment'>First!</article>") == "Story"
+
+
+def test_zone_with_most_unshared_text():
+    card = "<article class='card'><p>Read this too</p></article>"
+    assert text(f"<main><p>A long story told in the main part</p>{card}</main>") == "A long story told in the main part"
+    assert text(f"<div><p>A long story told in a plain part</p></div>{card}") == "A long story told in a plain part"
+    page = lambda n: f"<div>A site with a very long name and motto</div><article><p>Our notice</p><h1>T{n}</h1><p>s{n}</p></article>"
+    assert text(page(1), page(2), page(3)) == "T1\ns1"
+    main = lambda n: f"<main><p>Our notice</p><h1>T{n}</h1><p>s{n}</p></main>"
+    assert text(main(1), main(2), main(3)) == "T1\ns1"
+    assert text(main(1), main(1), main(1)) == text(main(1)) == "Our notice\nT1\ns1"
+
+
+def test_notice_in_every_article(spark):
+    page = "<nav>story 2</nav><article><p>Our notice</p><h1>T{0}</h1><p>story {0}</p></article>"
+    rows = [(n, f"http://a.org/{n}", page.format(n)) for n in range(4)] + [(9, "http://b.org/9", page.format(9))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"T{n}\nstory {n}" for n in range(4)} | {9: "Our notice\nT9\nstory 9"}
