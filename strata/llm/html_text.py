@@ -61,7 +61,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ABOUT = ("has-", "no-", "with-", "without-")
 
 OUT, FREE, MAIN, ARTICLE = range(4)
-# Share of the undecided lines of both pages from which on two pages are copies, whose shared lines say nothing.
+# Share of the lines of a zone from which on two pages are copies there, and their shared lines say nothing.
 COPY = 0.9
 # Bits of alignment state kept for tracing back; larger alignments are halved first.
 TRACE_BITS = 1 << 27
@@ -273,8 +273,10 @@ def main_text(lines: list[tuple[int, str]], neighbours: list[list[int]], zones:
         kinds = zones[n] if zones else [FREE] * len(other)
         pairs = common_subsequence(own, [code >> 2 for code in other])
         met = {i for i, _ in pairs}
-        if len(met) < COPY * len(own) or len(met) < COPY * len(other):
-            shared |= met & places[FREE]
+        free = {j for j, kind in enumerate(kinds) if kind == FREE}
+        found = met & places[FREE]
+        if len(found) < COPY * len(places[FREE]) or len(free.intersection(j for _, j in pairs)) < COPY * len(free):
+            shared |= found
         told = {i for i, j in pairs if kinds[j] != OUT}
         for zone in (ARTICLE, MAIN):
             # an article that another page carries among others is still text
@@ -295,22 +297,33 @@ def _place(url: str | None) -> tuple[str | None, str | None]:
         return None, None
 
 
+def _digest(codes: list[int]) -> bytes:
+    return xxhash.xxh128_digest(np.array(codes, np.int64).tobytes())
+
+
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places = [_place(u) for u in batch.column(1).to_pylist()]
         hashes = [[line_code(*line) for line in page_lines(h)] for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([p[0] for p in places], pa.string()),
-             pa.array([p[1] for p in places], pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-            ["id", "url", "host", "path", "hashes"],
+             pa.array([p[1] for p in places], pa.string()), pa.array([_digest(h) for h in hashes], pa.binary()),
+             pa.array(hashes, pa.list_(pa.int64()))],
+            ["id", "url", "host", "path", "digest", "hashes"],
         )
 
 
 def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        packed = [pack(json.dumps(page_lines(h)).encode()) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "url", "packed"])
+        pages = [page_lines(h) for h in batch.column(2).to_pylist()]
+        packed = [pack(json.dumps(lines).encode()) for lines in pages]
+        hosts = [_place(u)[0] for u in batch.column(1).to_pylist()]
+        digests = [_digest([line_code(*line) for line in lines]) for lines in pages]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
+            ["id", "url", "host", "digest", "packed"],
+        )
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,18 +341,25 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per row of ``pages``: id, url, text, n_chars.
 
     Neighbours are the pages before and after in the order (path, id, url) among those of the host, for the first and
-    last page the two next to it; a page without host, or alone on its host, has none.  Pages that share nearly all lines are copies and delete nothing from each
-    other.  Null pages count as empty and have an empty text; repeated rows stand for one page in the order and are
-    repeated in the result.  An empty table gives an empty result; other columns are not read.
+    last page the two next to it; a page without host, or alone on its host, has none.  Pages of a host with equal
+    lines, repeated rows among them, stand as one in the order, at the place of the first, and have equal texts.  A
+    neighbour that differs but shares nearly all lines of a zone still counts as a neighbour and deletes nothing from
+    it.  Null pages count as empty and have an empty text; repeated rows are repeated in the result.  An empty table
+    gives an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     hashed = stored(
-        rows.mapInArrow(_hash_batches, "id long, url string, host string, path string, hashes array<long>"), "hashes"
+        rows.mapInArrow(_hash_batches, "id long, url string, host string, path string, digest binary, hashes array<long>"), "hashes"
+    )
+    # One row per host and page content: copies in any number are summed up before the shuffle.
+    places = (
+        hashed.where(F.col("host").isNotNull())
+        .groupBy("host", "digest")
+        .agg(F.min(F.struct("path", "id", "url")).alias("first"), F.min("hashes").alias("hashes"))
+        .select("host", "digest", "first.*", "hashes")
     )
-    # One row per page address: rows repeated in any number are summed up before the shuffle.
-    places = hashed.groupBy("host", "path", "id", "url").agg(F.min("hashes").alias("hashes"))
-    order = ranked(places, "host", "path", "id", "url", name="order")
-    order = stored(order.select("rank", "host", "id", "url", "hashes"), "ranks")
+    order = ranked(places, "host", "path", "id", "url", "digest", name="order")
+    order = stored(order.select("rank", "host", "digest", "hashes"), "ranks")
     side = lambda step, name: order.select(
         (F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name)
     )
@@ -351,14 +371,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         .join(side(2, "before2"), "rank", "left")
         .join(side(-2, "after2"), "rank", "left")
         .select(
-            F.col("id").alias("_id"), F.col("url").alias("_url"),
+            "host", "digest",
             F.coalesce(near("before"), near("after2")).alias("before"), F.coalesce(near("after"), near("before2")).alias("after"),
         ),
         "beside",
     )
-    packed = rows.mapInArrow(_packed_batches, "id long, url string, packed binary")
-    met = packed.join(
-        beside.hint("merge"), packed["id"].eqNullSafe(beside["_id"]) & packed["url"].eqNullSafe(beside["_url"]), "left"
-    ).select("id", "url", "packed", "before", "after")
+    packed = rows.mapInArrow(_packed_batches, "id long, url string, host string, digest binary, packed binary")
+    met = packed.join(beside.hint("merge"), ["host", "digest"], "left").select("id", "url", "packed", "before", "after")
     texts = met.mapInArrow(_text_batches, "id long, url string, text string, n_chars long")
     return texts.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -123,3 +123,13 @@ def test_notice_in_every_article(spark):
     rows = [(n, f"http://a.org/{n}", page.format(n)) for n in range(4)] + [(9, "http://b.org/9", page.format(9))]
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {n: f"T{n}\nstory {n}" for n in range(4)} | {9: "Our notice\nT9\nstory 9"}
+
+
+def test_copies_are_told_by_undecided_lines(spark):
+    nav = "<nav>" + "".join(f"<p>entry {n}</p>" for n in range(40)) + "</nav>"
+    page = lambda n: f"{nav}<div>Top</div><div>Home</div><p>title {n}<p>story {n}<div>End</div>"
+    at = {1: 1, 2: 2, 3: 2, 4: 2, 5: 2, 6: 3}
+    rows = [(i, f"http://a.org/{i}", page(n)) for i, n in at.items()] + [(7, "http://b.org/1", page(2)), (8, "http://b.org/2", page(2))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = "Top\nHome\ntitle 2\nstory 2\nEnd"
+    assert got == {i: f"title {n}\nstory {n}" for i, n in at.items()} | {7: alone, 8: alone}
