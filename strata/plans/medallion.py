@@ -16,7 +16,7 @@ from strata.operators import clean, dlq, gold, metadata, quality
 from strata.operators.dedup import distinct_rows
 from strata.session import cut_lineage
 from strata.sinks.layers import replace_day
-from strata.sources.tables import bronze_partition, path_exists
+from strata.sources.tables import bronze_partition, path_exists, written_days
 
 # Payload fields of an app event and their types in silver.
 EVENT_FIELDS = {
@@ -192,39 +192,46 @@ def governed_bronze_to_silver(
     return results
 
 
+def _carry(spark: SparkSession, gold_root: str, rollup: DataFrame, date: str) -> DataFrame:
+    """Writes the running total of a day, the last one before it with the roll-ups since then added, and reads it."""
+    path = f"{gold_root}/activity_totals"
+    totals = spark.read.schema(ACTIVITY).parquet(path) if path_exists(spark, path) else rollup.limit(0)
+    last = totals.where(F.col("processing_date") < date).agg(F.max("processing_date")).first()[0] or ""
+    since = rollup.where((F.col("processing_date") > last) & (F.col("processing_date") <= date))
+    carried = gold.carried(totals.where(F.col("processing_date") == last), since)
+    replace_day(carried.withColumn("processing_date", F.lit(date)), path, "processing_date", date)
+    return spark.read.schema(ACTIVITY).parquet(path).where(F.col("processing_date") == date)
+
+
 def silver_to_gold(spark: SparkSession, silver: DataFrame, gold_root: str, date: str) -> dict[str, DataFrame]:
     """Writes the day's roll-up once and builds the five tables from it.
 
     Silver is read for one day only.  The per-user tables come from a running total per user, region and event type,
     yesterday's with the day's roll-up added, so no earlier day is aggregated again; days without a total are taken
-    from their roll-ups.  Every table replaces its day.
+    from their roll-ups.  Every table replaces its day.  If later days were written before, by a rerun or out of order,
+    their totals and per-user tables are built again, day by day.
     """
     rollup_path = f"{gold_root}/activity"
     day = silver.where(F.col("processing_date") == date)
     replace_day(gold.activity(day), rollup_path, "processing_date", date)
     rollup = spark.read.schema(ACTIVITY).parquet(rollup_path)
     today = rollup.where(F.col("processing_date") == date)
-    totals_path = f"{gold_root}/activity_totals"
-    totals = (
-        spark.read.schema(ACTIVITY).parquet(totals_path) if path_exists(spark, totals_path) else rollup.limit(0)
-    )
-    last = totals.where(F.col("processing_date") < date).agg(F.max("processing_date")).first()[0] or ""
-    since = rollup.where((F.col("processing_date") > last) & (F.col("processing_date") <= date))
-    carried = gold.carried(totals.where(F.col("processing_date") == last), since)
-    replace_day(carried.withColumn("processing_date", F.lit(date)), totals_path, "processing_date", date)
-    total = spark.read.schema(ACTIVITY).parquet(totals_path).where(F.col("processing_date") == date)
-    tables = {
-        "user_360_view": gold.user_360(total, date),
-        "booking_metrics": gold.booking_metrics(today),
-        "tourism_analytics": gold.tourism_pivot(today, EVENT_TYPES),
-        "recommendation_features": gold.recommendation_features(total, date),
-        "daily_summary": gold.daily_summary(today),
-    }
-    written = {}
-    for name, df in tables.items():
+    later = [d for d in written_days(spark, f"{gold_root}/activity_totals", "processing_date") if d > date]
+    types = {}
+
+    def write(name: str, df: DataFrame, of_day: str) -> None:
         stamped = df.withColumn("processed_at", F.current_timestamp())
-        replace_day(stamped, f"{gold_root}/{name}", "processing_date", date)
-        types = [f for f in stamped.schema if f.name != "processing_date"]
-        schema = StructType(types).add("processing_date", "string")
-        written[name] = spark.read.schema(schema).parquet(f"{gold_root}/{name}")
-    return written
+        replace_day(stamped, f"{gold_root}/{name}", "processing_date", of_day)
+        types[name] = [f for f in stamped.schema if f.name != "processing_date"]
+
+    for of_day in [date, *later]:
+        total = _carry(spark, gold_root, rollup, of_day)
+        write("user_360_view", gold.user_360(total, of_day), of_day)
+        write("recommendation_features", gold.recommendation_features(total, of_day), of_day)
+    write("booking_metrics", gold.booking_metrics(today), date)
+    write("tourism_analytics", gold.tourism_pivot(today, EVENT_TYPES), date)
+    write("daily_summary", gold.daily_summary(today), date)
+    return {
+        name: spark.read.schema(StructType(fields).add("processing_date", "string")).parquet(f"{gold_root}/{name}")
+        for name, fields in types.items()
+    }

@@ -24,6 +24,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def written_days(spark: SparkSession, path: str, day_column: str) -> list[str]:
+    """The days a layer table has a folder for, also an empty one, in order."""
+    if not path_exists(spark, path):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)]
+    return sorted(n.removeprefix(f"{day_column}=") for n in names if n.startswith(f"{day_column}="))
+
+
 def bronze_partition(
     spark: SparkSession, root: str, schema: str, where: Column | str, folders: tuple[str, ...] = ()
 ) -> DataFrame:

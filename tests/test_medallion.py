@@ -68,6 +68,25 @@ def test_rerun_and_next_day_keep_other_days(spark, root):
     assert of_day.total_events == 2 and of_day.visited_regions[0].visits == 2
 
 
+def test_backfill_reaches_the_totals_of_later_days(spark, root):
+    def day(n, rows):
+        date = f"2024-01-0{n}"
+        rows = [(f"{n}-{i}", 1, "booking", datetime.fromisoformat(date), 10.0, "vn", "app") for i in range(rows)]
+        silver = frame(spark, rows).withColumn("processing_date", F.lit(date))
+        gold = medallion.silver_to_gold(spark, silver, f"{root}/gold", date)
+        views = (gold["user_360_view"], gold["recommendation_features"])
+        seen = [{str(r.processing_date): r[c] for r in v.collect()} for v, c in zip(views, ("total_events", "total_interactions"))]
+        assert seen[0] == seen[1]
+        return {int(d[-1]): events for d, events in seen[0].items()}
+
+    day(1, 1)
+    day(2, 1)
+    assert day(4, 1) == {1: 1, 2: 2, 4: 3}
+    assert day(2, 3) == {1: 1, 2: 4, 4: 5}
+    assert day(3, 2) == {1: 1, 2: 4, 3: 6, 4: 7}
+    assert day(5, 1) == {1: 1, 2: 4, 3: 6, 4: 7, 5: 8}
+
+
 def test_governed_run(spark, root):
     rows = [("e1", 1, "click", datetime(2024, 1, 1), 1.0, "vn", "app")] * 2 + [
         ("e2", None, "click", datetime(2024, 1, 1), 1.0, "vn", "app"),
