@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from strata.functions.columns import count_of
-from strata.operators.quality import MAX_PAST_SECONDS, timestamp_state
+from strata.operators.quality import MAX_FUTURE_SECONDS, MAX_PAST_SECONDS, timestamp_state
 
-# Watermarks trail by all the past that ``split_by_time`` accepts, so a row it let through is never dropped as late.
-LATENESS = f"{MAX_PAST_SECONDS} seconds"
+# Seconds between the time check of a row and its batch in a stateful operator, our own choice.
+PROCESSING_SECONDS = 600
+# Watermarks trail the newest accepted time, which may lie ahead, by all the range that ``split_by_time`` accepts, so a
+# row it let through is not dropped as late if it is processed within ``PROCESSING_SECONDS``.
+LATENESS = f"{MAX_PAST_SECONDS + MAX_FUTURE_SECONDS + PROCESSING_SECONDS} seconds"
 
 
 def as_event_time(stream: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -121,6 +121,18 @@ def test_late_keys_are_not_lost(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 4, 5]
 
 
+def test_accepted_rows_are_not_late_after_one_from_ahead(spark, tmp_path):
+    # an accepted row 300 s ahead, then one almost a day old: both lie in the range of the time check
+    s = stream(
+        spark, str(tmp_path), [(1, 1, "a", at(5))], [(2, 1, "a", at(0))], [(3, 1, "a", at(0))], [(4, 1, "a", at(-1439))], [(5, 1, "a", at(5))]
+    )
+    ok, _ = stateful.split_by_time(s, as_of=F.lit(T0))
+    got = collect(stateful.dedup_within(ok, ["event_id"], 60), "dedup_ahead", "append")
+    assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 4, 5]
+    counts = collect(stateful.tumbling_counts(ok, width="1 minute"), "tumbling_ahead", "update")
+    assert at(-1439) in {r.window_start for r in counts.collect()}
+
+
 def test_tumbling_counts_with_late_rows(spark, tmp_path):
     s = stream(
         spark, str(tmp_path),
