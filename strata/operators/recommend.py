@@ -7,12 +7,15 @@ and bookings then decide about that short list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.enrich import with_region_flag
 from strata.operators.serving import MAX_RECOMMENDATIONS
 from strata.operators.windows import top_per_key
+from strata.session import cut_lineage
 
 # Reason texts, and the constant score of the unranked list.
 POPULAR, TRENDING = "Popular in your region", "Trending"
@@ -21,6 +24,8 @@ CONSTANT_SCORE = 0.85
 PEERS_WEIGHT, CONTENT_WEIGHT, RATING_WEIGHT = 0.5, 0.3, 0.2
 # Weight of the user's own taste beside the group's score.
 OWN_WEIGHT = 0.3
+# How much deeper the group lists are fetched for users whose list is not final, and more than scores are rounded by.
+DEEPER, ROUNDING = 8, 1e-8
 
 
 def with_reason(candidates: DataFrame, events: DataFrame) -> DataFrame:
@@ -105,34 +110,77 @@ def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> Data
 
 
 def recommendations(
-    events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5, pool: int = MAX_RECOMMENDATIONS
+    events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5, pool: int | None = None
 ) -> DataFrame:
     """Top tours per user, best score first, without those the user has booked.
 
-    A user's candidates are the ``pool`` best tours of the peer group; they are scored by the group's score and by how
-    well their tags meet those of the user's bookings.  How the short group lists meet the users is left to the
-    optimizer.  More than ``MAX_RECOMMENDATIONS`` are refused.
+    Candidates are all scored tours of the user's peer group, or with ``pool`` its ``pool`` best ones; they are scored
+    by the group's score and by how well their tags meet those of the user's bookings.  Without ``pool`` the group
+    lists are fetched to a depth that grows: a user's list is final once no deeper tour can beat its last row, and only
+    users whose list is not final meet the deeper lists.  More than ``MAX_RECOMMENDATIONS`` rows are refused.
     """
     if not 0 < limit <= MAX_RECOMMENDATIONS:
         raise ValueError(f"limit must be 1 to {MAX_RECOMMENDATIONS}")
-    lists = top_per_key(
-        hybrid_scores(events, users, tours), ["peers"], [F.desc("match_score"), F.col("tour_id")], pool
-    ).drop("rank")
     active = events.select("user_id").distinct().join(users.select("user_id", "peers"), "user_id")
     booked = events.where(F.col("event_type") == "booking").select("user_id", "tour_id").distinct()
     # a user's tags are a set of the tag vocabulary, whatever the number of bookings
     taste = booked.join(_tour_tags(tours), "tour_id").groupBy("user_id").agg(F.collect_set("tag").alias("liked"))
-    tagged = lists.join(tours.select("tour_id", F.array_distinct("tags").alias("tags")), "tour_id")
-    candidates = (
-        active.join(taste, "user_id", "left").join(tagged, "peers").join(booked, ["user_id", "tour_id"], "left_anti")
+    tagged = hybrid_scores(events, users, tours).join(
+        tours.select("tour_id", F.array_distinct("tags").alias("tags")), "tour_id"
     )
+    # the least score that still counts; none is known yet
+    open_users = active.join(taste, "user_id", "left").withColumn("least", F.lit(-1.0))
+    order = [F.desc("match_score"), F.col("tour_id")]
+    if pool is not None:
+        lists = top_per_key(tagged, ["peers"], order, pool).drop("rank")
+        return _recommended(_best_unbooked(open_users, lists, booked, limit))
+    tagged, booked, open_users = cut_lineage(tagged), cut_lineage(booked), cut_lineage(open_users)
+    most = tagged.agg(F.max(F.size("tags"))).first()[0] or 0
+    done, depth = [], MAX_RECOMMENDATIONS
+    while True:
+        lists = cut_lineage(top_per_key(tagged, ["peers"], order, depth).drop("rank"))
+        best = cut_lineage(_best_unbooked(open_users, lists, booked, limit))
+        reach = lists.groupBy("peers").agg(F.count("*").alias("listed"), F.min("match_score").alias("last"))
+        filled = best.groupBy("user_id").agg(F.count("*").alias("rows"), F.min("match_score").alias("found"))
+        # the upper bound of all tours not fetched, with a margin for rounding
+        bound = (1 - OWN_WEIGHT) * F.col("last") + _most_own(F.lit(most)) + ROUNDING
+        full = F.coalesce(F.col("rows") == limit, F.lit(False))
+        state = cut_lineage(
+            open_users.join(reach, "peers", "left")
+            .join(filled, "user_id", "left")
+            .withColumn("final", F.coalesce(F.col("listed") < depth, F.lit(True)) | (full & (F.col("found") > bound)))
+            .withColumn("least", F.when(full, F.col("found")).otherwise(F.lit(-1.0)))
+            .select("user_id", "peers", "liked", "least", "final")
+        )
+        done.append(best.join(state.where("final").select("user_id"), "user_id", "left_semi"))
+        open_users = state.where("NOT final").drop("final")
+        if open_users.isEmpty():
+            return _recommended(reduce(DataFrame.unionByName, done))
+        depth *= DEEPER
+
+
+def _most_own(most: Column) -> Column:
+    """Upper bound of the own taste's part: the union is no smaller than the liked tags, and a tour has ``most`` tags."""
+    share = F.least(F.lit(1.0), most / F.size("liked"))
+    return F.when(F.col("liked").isNotNull() & (F.size("liked") > 0), OWN_WEIGHT * share).otherwise(0.0)
+
+
+def _best_unbooked(open_users: DataFrame, lists: DataFrame, booked: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` unbooked tours per user among the lists of the groups.  Tours that can't reach the score a
+    user has found before are left out first.  How the group lists meet the users is left to the optimizer."""
+    reachable = (1 - OWN_WEIGHT) * F.col("match_score") + _most_own(F.size("tags")) + ROUNDING >= F.col("least")
+    candidates = open_users.join(lists, "peers").where(reachable).join(booked, ["user_id", "tour_id"], "left_anti")
     shared = F.size(F.array_intersect("tags", "liked"))
     content = F.when(F.col("liked").isNotNull(), shared / (F.size("tags") + F.size("liked") - shared)).otherwise(0.0)
     score = (1 - OWN_WEIGHT) * F.col("match_score") + OWN_WEIGHT * F.coalesce(content, F.lit(0.0))
-    scored = candidates.withColumn("match_score", F.round(score, 9))
-    # at most ``pool`` rows per user
+    scored = candidates.withColumn("match_score", F.round(score, 9)).select(
+        "user_id", "tour_id", "match_score", "predicted_rating", "region"
+    )
     best = Window.partitionBy("user_id").orderBy(F.desc("match_score"), "tour_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+def _recommended(ranked: DataFrame) -> DataFrame:
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("tour_id").cast("string"))
     return ranked.select(
         F.md5(key).alias("recommendation_id"),

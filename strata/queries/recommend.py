@@ -86,7 +86,8 @@ def hybrid_scores(e):
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, tour_id) AS INT) AS rank FROM f)
     WHERE rank <= 5""")
 def recommendations(e):
-    return recommend.recommendations(e.tour_events(), users(e), e.tours(), 5)
+    # the pool is that of the SQL; without it the operator ranks all scored tours
+    return recommend.recommendations(e.tour_events(), users(e), e.tours(), 5, pool=20)
 
 
 @query("R6", using("tours", "tour_events") + """
