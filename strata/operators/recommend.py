@@ -93,6 +93,24 @@ def also_booked(events: DataFrame, tour_id) -> DataFrame:
     )
 
 
+def also_booked_each(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """Co-occurrence with every tour of ``asked`` (tour_id): how many of its bookers booked each other tour.
+
+    Pairs of an asked and another tour are counted in the tasks that make them, before they are shuffled.  The join is
+    by user; adaptive execution splits the side of a user with very many tours.
+    """
+    booked = events.where(F.col("event_type") == "booking").select("user_id", "tour_id").distinct()
+    bookers = booked.join(asked.select("tour_id").distinct(), "tour_id").select(
+        "user_id", F.col("tour_id").alias("asked_tour_id")
+    )
+    return (
+        booked.join(bookers, "user_id")
+        .where(F.col("tour_id") != F.col("asked_tour_id"))
+        .groupBy("asked_tour_id", "tour_id")
+        .agg(F.count("*").alias("co_bookers"))
+    )
+
+
 def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> DataFrame:
     """Peer score (relative to the group's best tour), home-region match and rating, weighted.
     ``users`` has (user_id, peers, home_region); a group has one home region."""

@@ -62,6 +62,13 @@ def also_booked(e):
     return recommend.also_booked(e.tour_events("booking"), 42)
 
 
+@query("R3", using("tour_events", b="SELECT DISTINCT user_id, tour_id FROM tour_events WHERE event_type = 'booking'") + """
+    SELECT a.tour_id AS asked_tour_id, o.tour_id, count(*) AS co_bookers FROM b o JOIN b a ON o.user_id = a.user_id
+    WHERE a.tour_id % 50 = 0 AND o.tour_id <> a.tour_id GROUP BY ALL""")
+def also_booked_each(e):
+    return recommend.also_booked_each(e.tour_events("booking"), e.tours().where("tour_id % 50 = 0"))
+
+
 @query("R4", using("tours", "tour_events", **_HYBRID) + "SELECT peers, tour_id, region, predicted_rating, match_score FROM h")
 def hybrid_scores(e):
     return recommend.hybrid_scores(e.tour_events(), users(e), e.tours())

@@ -18,3 +18,13 @@ def test_lists_are_those_over_all_tours(spark):
     got = listed(None)
     assert got == listed(400) and got != listed(20)
     assert len([k for k in got if k[0] == 0]) == 5 and not {got[k][0] for k in got if k[0] == 0} & set(range(30))
+
+
+def test_co_bookers_of_every_asked_tour(spark, entities):
+    events, asked = entities.tour_events("booking"), entities.tours().where("tour_id % 50 = 0")
+    got = {}
+    for r in recommend.also_booked_each(events, asked).collect():
+        got.setdefault(r.asked_tour_id, {})[r.tour_id] = r.co_bookers
+    assert len(got) > 1
+    tour = min(got)
+    assert got[tour] == {r.tour_id: r.co_bookers for r in recommend.also_booked(events, tour).collect()}
