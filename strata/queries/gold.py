@@ -58,6 +58,26 @@ def user_360_travellers(e):
     return _user_360(e.tour_events(), TOUR_AS_OF)
 
 
+def _to_date(sql: str, view: str, as_of: str) -> str:
+    """The SQL with the last day of the view for the fixed one."""
+    last = f"(SELECT max(processing_date) FROM {view})"
+    return sql.replace(f"DATE '{as_of}'", f"CAST({last} AS DATE)").replace(f"'{as_of}'", last)
+
+
+def _last_day(events):
+    return events.agg(F.max("processing_date").cast("string")).first()[0]
+
+
+@query("A1", _to_date(_user_360_sql("app_events", AS_OF), "app_events", AS_OF))
+def user_360_to_date(e):
+    return _user_360(e.app_events(), _last_day(e.app_events()))
+
+
+@query("A1", _to_date(_user_360_sql("tour_events", TOUR_AS_OF), "tour_events", TOUR_AS_OF))
+def user_360_travellers_to_date(e):
+    return _user_360(e.tour_events(), _last_day(e.tour_events()))
+
+
 @query("A2", using("app_events") + """
     SELECT region, processing_date, count(*) AS total_bookings, round(sum(coalesce(amount, 0)), 2) AS total_revenue,
            round(sum(coalesce(amount, 0)), 2) / count(*) AS avg_booking_value, max(amount) AS max_booking_value,
@@ -88,7 +108,7 @@ def tourism_pivot(e):
     return gold.tourism_pivot(gold.activity(e.app_events()), PIVOTED)
 
 
-@query("A5", using("tour_events") + f"""
+_FEATURES_SQL = using("tour_events") + f"""
     SELECT user_id, count(*) AS total_interactions,
            count(*) FILTER (WHERE event_type = 'click') AS clicks,
            count(*) FILTER (WHERE event_type = 'booking') AS bookings,
@@ -98,9 +118,11 @@ def tourism_pivot(e):
            date_diff('day', max("timestamp")::DATE, DATE '{TOUR_AS_OF}') AS days_since_last_activity,
            round(count(*) FILTER (WHERE event_type = 'booking') / count(*), 6) AS conversion_rate,
            '{TOUR_AS_OF}' AS processing_date
-    FROM tour_events WHERE processing_date <= '{TOUR_AS_OF}' GROUP BY user_id""")
-def recommendation_features(e):
-    f = gold.recommendation_features(gold.each_event(_before_end(e.tour_events(), TOUR_AS_OF)), TOUR_AS_OF)
+    FROM tour_events WHERE processing_date <= '{TOUR_AS_OF}' GROUP BY user_id"""
+
+
+def _features(events, as_of):
+    f = gold.recommendation_features(gold.each_event(_before_end(events, as_of)), as_of)
     return f.select(
         "user_id", "total_interactions", "clicks", "bookings", "searches",
         "total_spend", "avg_spend",
@@ -110,6 +132,16 @@ def recommendation_features(e):
     )
 
 
+@query("A5", _FEATURES_SQL)
+def recommendation_features(e):
+    return _features(e.tour_events(), TOUR_AS_OF)
+
+
+@query("A5", _to_date(_FEATURES_SQL, "tour_events", TOUR_AS_OF))
+def recommendation_features_to_date(e):
+    return _features(e.tour_events(), _last_day(e.tour_events()))
+
+
 @query("A6", using("app_events") + """
     SELECT processing_date, count(*) AS total_events, count(DISTINCT user_id) AS unique_users,
            count(*) FILTER (WHERE event_type = 'booking') AS bookings, round(sum(coalesce(amount, 0)), 2) AS revenue,
