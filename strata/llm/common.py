@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stored`, and the shuffle files of ``df`` go as soon as it is written: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def byte_text(column: str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))

@@ -111,3 +111,34 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.sentencepiece_codec import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.repeated_passages import repeat_report
+
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_repeated_passages"] = """
+WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+windows AS (
+  SELECT doc_id, s, md5_number(substr(x, CAST(2 * s + 1 AS INT), 200)) AS m
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS s FROM texts)
+), later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, s) > 1
+), gaps AS (
+  SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 100, true) AS opens FROM later
+), runs AS (
+  SELECT doc_id, s, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM gaps
+), spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS last,
+         string_agg(substr(x, CAST(2 * before + 1 AS INT), CAST(2 * (a - before) AS INT)), '' ORDER BY a) AS head
+  FROM cuts JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS INT)))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
