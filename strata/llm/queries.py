@@ -142,3 +142,90 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, c
        sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS INT)))) AS kept_sha256
 FROM texts LEFT JOIN cut USING (doc_id)
 """
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_fill_in_middle"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), hashed AS (
+  SELECT doc_id, t, units, len(units) AS n,
+         ('0x' || substr(hex, 1, 8))::BIGINT % (len(units) + 1) AS c1, ('0x' || substr(hex, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+         ('0x' || substr(hex, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(hex, 25, 8))::BIGINT % 100 AS h4
+  FROM texts
+), cut AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 50 THEN 'plain'
+              WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(c1, c2)], '') AS p,
+         array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(units[greatest(c1, c2) + 1:], '') AS s
+  FROM hashed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM cut
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql(rounds: int = 6, entries: int = 16) -> str:
+    """One pair of tables per round: ``near`` assigns parts to entries, ``book`` averages them."""
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, range(8) AS r(p)
+), book0 AS (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS BIGINT) AS e, x AS c FROM parts
+  QUALIFY e < {entries}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f""", near{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT vec_id, label, parts.p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda y: (y[1] - y[2]) * (y[1] - y[2]))) AS BIGINT) AS d
+        FROM parts JOIN book{r} ON parts.p = book{r}.p)
+  GROUP BY ALL
+)""")
+        if r < rounds:
+            steps.append(f""", book{r + 1} AS MATERIALIZED (
+  SELECT old.p, old.e, coalesce(new.c, old.c) AS c
+  FROM book{r} AS old LEFT JOIN (
+    SELECT p, e, list(m ORDER BY i) AS c
+    FROM (SELECT p, e, i, CAST(floor_div AS BIGINT) AS m FROM (
+            SELECT p, e, i, (sum(y) - ((sum(y) % count(*) + count(*)) % count(*))) // count(*) AS floor_div
+            FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{r}) GROUP BY p, e, i))
+    GROUP BY p, e
+  ) AS new ON old.p = new.p AND old.e = new.e
+)""")
+    return "".join(steps) + f""", codes AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id, label
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes, books
+"""
+
+
+SQL["op13_vector_codes"] = _vector_codes_sql()
