@@ -27,7 +27,7 @@ PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
 # Vectors of a block, points of a leaf.
-BLOCK = 4096
+BLOCK = 2048
 LEAF = 24
 # Whole numbers up to this size are computed in 64 bits; tables that hold larger ones take unbounded ones, no trees.
 NARROW = 1 << 27
@@ -218,7 +218,7 @@ def _blocks(dims: int, wide: bool, block: int):
             [
                 pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())),
                 pa.array([rows.column(1).to_pylist()], pa.list_(pa.string())),
-                pa.array([vectors.tobytes()], pa.binary()),
+                pa.array([vectors.tobytes() if wide else b""], pa.binary()),
                 pa.array([trees], pa.list_(pa.binary())),
             ],
             ["ids", "labels", "vectors", "trees"],
@@ -241,7 +241,7 @@ def _blocks(dims: int, wide: bool, block: int):
     return run
 
 
-def _trees(fields: list[bytes], width: int) -> list[Balls]:
+def _trees(fields: list[pa.Buffer], width: int) -> list[Balls]:
     """The trees of a block's parts, as :func:`_blocks` stored them."""
     shape = {"points": (-1, width), "place": -1, "child": (-1, 2), "span": (-1, 2), "centre": (-1, width), "radius": -1, "total": (-1, width)}
     kinds = {"centre": np.float64, "radius": np.float64}
@@ -250,12 +250,14 @@ def _trees(fields: list[bytes], width: int) -> list[Balls]:
 
 
 def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list]]:
-    """Row number and parts of each block: trees, or plain arrays of unbounded whole numbers."""
-    for i, (vectors, trees) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-        if trees:
-            yield i, _trees(trees, width)
+    """Row number and parts of each block, one block at a time: trees, or plain arrays of unbounded whole numbers."""
+    for i in range(batch.num_rows):
+        trees = batch.column(3)[i].values
+        if len(trees):
+            yield i, _trees([t.as_buffer() for t in trees], width)
         else:
-            yield i, np.split(scaled(np.frombuffer(vectors).reshape(-1, PARTS * width)).astype(object), PARTS, axis=1)
+            vectors = np.frombuffer(batch.column(2)[i].as_buffer()).reshape(-1, PARTS * width)
+            yield i, np.split(scaled(vectors).astype(object), PARTS, axis=1)
 
 
 def _summed(books: list[np.ndarray], limbs: int):
