@@ -93,6 +93,59 @@ def also_booked(events: DataFrame, tour_id) -> DataFrame:
     )
 
 
+def _booked(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type") == "booking").select("user_id", "tour_id").distinct()
+
+
+def item_scores(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """Item-based collaborative score of every tour an asked user (``asked``: user_id) has not booked.
+
+    The score adds up, over the user's tours, how alike the tour is to each: co-bookers over the root of the product
+    of the two numbers of bookers.  It is a product of two sparse tables, users by tours and tours by tours, computed
+    as joins whose partial sums are formed before each shuffle: a popular tour or a busy user is split, not gathered.
+    Tours that no co-booker links with the user have no row.
+    """
+    booked = cut_lineage(_booked(events))
+    bookers = booked.groupBy("tour_id").agg(F.count("*").alias("bookers"))
+    own = booked.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    pairs = also_booked_each(booked.withColumn("event_type", F.lit("booking")), own)
+    alike = (
+        pairs.join(bookers.withColumnRenamed("tour_id", "asked_tour_id").withColumnRenamed("bookers", "of_asked"), "asked_tour_id")
+        .join(bookers, "tour_id")
+        .select("asked_tour_id", "tour_id", (F.col("co_bookers") / F.sqrt(F.col("of_asked") * F.col("bookers"))).alias("alike"))
+    )
+    return (
+        own.withColumnRenamed("tour_id", "asked_tour_id")
+        .join(alike, "asked_tour_id")
+        .groupBy("user_id", "tour_id")
+        .agg(F.round(F.sum("alike"), 6).alias("item_score"))
+        .join(own, ["user_id", "tour_id"], "left_anti")
+    )
+
+
+def personal_recommendations(events: DataFrame, asked: DataFrame, tours: DataFrame, limit: int = 5) -> DataFrame:
+    """Top tours per asked user by item score (relative to the user's best), own taste in tags, and rating.
+
+    Every tour with an item score is a candidate; no list per country stands in between.
+    """
+    scores = cut_lineage(item_scores(events, asked))
+    best = scores.groupBy("user_id").agg(F.max("item_score").alias("best"))
+    own = _booked(events).join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    content = content_scores(scores, own, tours)
+    score = (
+        PEERS_WEIGHT * (F.col("item_score") / F.col("best"))
+        + CONTENT_WEIGHT * F.coalesce("content_score", F.lit(0.0))
+        + RATING_WEIGHT * (F.col("rating") / 5)
+    )
+    rows = (
+        scores.join(best, "user_id")
+        .join(content, ["user_id", "tour_id"], "left")
+        .join(tours.select("tour_id", "region", "rating"), "tour_id")
+        .select("user_id", "tour_id", "region", "item_score", F.round(score, 6).alias("match_score"))
+    )
+    return top_per_key(rows, ["user_id"], [F.desc("match_score"), F.col("tour_id")], limit)
+
+
 def also_booked_each(events: DataFrame, asked: DataFrame) -> DataFrame:
     """Co-occurrence with every tour of ``asked`` (tour_id): how many of its bookers booked each other tour.
 
@@ -127,15 +180,13 @@ def hybrid_scores(events: DataFrame, users: DataFrame, tours: DataFrame) -> Data
     return rows.select("peers", "tour_id", "region", F.col("rating").alias("predicted_rating"), F.round(score, 9).alias("match_score"))
 
 
-def recommendations(
-    events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5, pool: int | None = None
-) -> DataFrame:
+def recommendations(events: DataFrame, users: DataFrame, tours: DataFrame, limit: int = 5) -> DataFrame:
     """Top tours per user, best score first, without those the user has booked.
 
-    Candidates are all scored tours of the user's peer group, or with ``pool`` its ``pool`` best ones; they are scored
-    by the group's score and by how well their tags meet those of the user's bookings.  Without ``pool`` the group
-    lists are fetched to a depth that grows: a user's list is final once no deeper tour can beat its last row, and only
-    users whose list is not final meet the deeper lists.  More than ``MAX_RECOMMENDATIONS`` rows are refused.
+    Candidates are all scored tours of the user's peer group; they are scored by the group's score and by how well
+    their tags meet those of the user's bookings.  The group lists are fetched to a depth that grows: a user's list is
+    final once no deeper tour can beat its last row, and only users whose list is not final meet the deeper lists.
+    More than ``MAX_RECOMMENDATIONS`` rows are refused.
     """
     if not 0 < limit <= MAX_RECOMMENDATIONS:
         raise ValueError(f"limit must be 1 to {MAX_RECOMMENDATIONS}")
@@ -149,9 +200,6 @@ def recommendations(
     # the least score that still counts; none is known yet
     open_users = active.join(taste, "user_id", "left").withColumn("least", F.lit(-1.0))
     order = [F.desc("match_score"), F.col("tour_id")]
-    if pool is not None:
-        lists = top_per_key(tagged, ["peers"], order, pool).drop("rank")
-        return _recommended(_best_unbooked(open_users, lists, booked, limit))
     tagged, booked, open_users = cut_lineage(tagged), cut_lineage(booked), cut_lineage(open_users)
     most = tagged.agg(F.max(F.size("tags"))).first()[0] or 0
     done, depth = [], MAX_RECOMMENDATIONS

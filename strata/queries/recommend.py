@@ -74,10 +74,8 @@ def hybrid_scores(e):
     return recommend.hybrid_scores(e.tour_events(), users(e), e.tours())
 
 
-@query("R4 W3 R2", using("tours", "tour_events", **_HYBRID, t="""
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY peers ORDER BY match_score DESC, tour_id) AS place FROM h)
-        WHERE place <= 20""", a="SELECT DISTINCT user_id FROM tour_events", c="""
-        SELECT a.user_id, t.* FROM a JOIN us ON a.user_id = us.user_id JOIN t ON t.peers = us.peers
+@query("R4 W3 R2", using("tours", "tour_events", **_HYBRID, a="SELECT DISTINCT user_id FROM tour_events", c="""
+        SELECT a.user_id, t.* FROM a JOIN us ON a.user_id = us.user_id JOIN h t ON t.peers = us.peers
         LEFT JOIN b ON b.user_id = a.user_id AND b.tour_id = t.tour_id WHERE b.user_id IS NULL""",
         tg="SELECT DISTINCT tour_id, unnest(tags) AS tag FROM tours",
         u="SELECT DISTINCT b.user_id, tag FROM b JOIN tg ON b.tour_id = tg.tour_id",
@@ -93,8 +91,40 @@ def hybrid_scores(e):
                CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, tour_id) AS INT) AS rank FROM f)
     WHERE rank <= 5""")
 def recommendations(e):
-    # the pool is that of the SQL; without it the operator ranks all scored tours
-    return recommend.recommendations(e.tour_events(), users(e), e.tours(), 5, pool=20)
+    return recommend.recommendations(e.tour_events(), users(e), e.tours(), 5)
+
+
+_ITEMS = dict(b="SELECT DISTINCT user_id, tour_id FROM tour_events WHERE event_type = 'booking'",
+              n="SELECT tour_id, count(*) AS bookers FROM b GROUP BY tour_id",
+              q="SELECT user_id, tour_id FROM b WHERE user_id % 50 = 0", sim="""
+        SELECT x.tour_id AS asked_tour_id, y.tour_id, count(*) / sqrt(any_value(nx.bookers) * any_value(ny.bookers)) AS alike
+        FROM b x JOIN b y ON x.user_id = y.user_id AND x.tour_id <> y.tour_id
+        JOIN n nx ON nx.tour_id = x.tour_id JOIN n ny ON ny.tour_id = y.tour_id
+        WHERE x.tour_id IN (SELECT tour_id FROM q) GROUP BY x.tour_id, y.tour_id""", i="""
+        SELECT q.user_id, sim.tour_id, round(sum(alike), 6) AS item_score FROM q JOIN sim ON sim.asked_tour_id = q.tour_id
+        WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.user_id = q.user_id AND o.tour_id = sim.tour_id)
+        GROUP BY q.user_id, sim.tour_id""")
+
+
+@query("R3", using("tour_events", **_ITEMS) + "SELECT user_id, tour_id, item_score FROM i")
+def item_scores(e):
+    return recommend.item_scores(e.tour_events(), users(e).where("user_id % 50 = 0"))
+
+
+@query("R4 W3 R2 R3", using("tours", "tour_events", **_ITEMS, tg="SELECT DISTINCT tour_id, unnest(tags) AS tag FROM tours",
+        u="SELECT DISTINCT q.user_id, tag FROM q JOIN tg ON q.tour_id = tg.tour_id",
+        k="SELECT user_id, count(*) AS nu FROM u GROUP BY user_id", s="""
+        SELECT i.user_id, i.tour_id, count(u.tag) / (count(*) + any_value(coalesce(nu, 0)) - count(u.tag)) AS content
+        FROM i JOIN tg ON i.tour_id = tg.tour_id LEFT JOIN k ON k.user_id = i.user_id
+        LEFT JOIN u ON u.user_id = i.user_id AND u.tag = tg.tag GROUP BY i.user_id, i.tour_id""", f="""
+        SELECT i.user_id, i.tour_id, region, item_score,
+               round(0.5::DOUBLE * (item_score / max(item_score) OVER (PARTITION BY i.user_id))
+                     + 0.3::DOUBLE * coalesce(content, 0) + 0.2::DOUBLE * (rating / 5), 6) AS match_score
+        FROM i JOIN tours ON tours.tour_id = i.tour_id LEFT JOIN s ON s.user_id = i.user_id AND s.tour_id = i.tour_id""") + """
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, tour_id) AS INT) AS rank FROM f)
+    WHERE rank <= 5""")
+def personal_recommendations(e):
+    return recommend.personal_recommendations(e.tour_events(), users(e).where("user_id % 50 = 0"), e.tours())
 
 
 @query("R6", using("tours", "tour_events") + """

@@ -11,13 +11,43 @@ def test_lists_are_those_over_all_tours(spark):
     events = spark.createDataFrame([(u, t, "booking") for u, t in sorted(booked)] + [(99, 1, "click")], "user_id long, tour_id long, event_type string")
     users = spark.createDataFrame([(u, "p", "r") for u in range(400)], "user_id long, peers string, home_region string")
     tours = spark.createDataFrame(tours, "tour_id long, region string, rating double, tags array<string>")
-    listed = lambda pool: {
-        (r.user_id, r.rank): (r.tour_id, r.match_score)
-        for r in recommend.recommendations(events, users, tours, 5, pool).collect()
-    }
-    got = listed(None)
-    assert got == listed(400) and got != listed(20)
-    assert len([k for k in got if k[0] == 0]) == 5 and not {got[k][0] for k in got if k[0] == 0} & set(range(30))
+    got = {(r.user_id, r.rank): (r.tour_id, r.match_score) for r in recommend.recommendations(events, users, tours, 5).collect()}
+    # every tour of the group against every user, without depths or bounds
+    scores = {r.tour_id: r.match_score for r in recommend.hybrid_scores(events, users, tours).collect()}
+    tags = {r.tour_id: set(r.tags) for r in tours.collect()}
+    want = {}
+    for u in {r.user_id for r in events.collect()}:
+        mine = {t for v, t in booked if v == u}
+        liked = set().union(*[tags[t] for t in mine])
+        scored = [(round(0.7 * s + 0.3 * len(tags[t] & liked) / len(tags[t] | liked), 9), t) for t, s in scores.items() if t not in mine]
+        for rank, (score, t) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:5], 1):
+            want[u, rank] = (t, score)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+    heavy = [got[k][0] for k in got if k[0] == 0]
+    assert len(heavy) == 5 and not set(heavy) & set(range(30))
+
+
+def test_item_scores_add_up_likeness_over_all_bookings(spark):
+    pairs = {(u, (u * 7 + k * k) % 40) for u in range(120) for k in range(2 + u % 5)} | {(500, t) for t in range(0, 40, 2)}
+    # a tour that a third of the users booked, and a user who asks without bookings
+    pairs |= {(u, 3) for u in range(0, 120, 3)}
+    rows = [(u, t, "booking") for u, t in pairs for _ in range(1 + t % 2)] + [(7, 39, "click")]
+    events = spark.createDataFrame(rows, "user_id long, tour_id long, event_type string").repartition(3)
+    asked = [0, 3, 50, 100, 500, 999]
+    got = {(r.user_id, r.tour_id): r.item_score for r in recommend.item_scores(events, spark.createDataFrame([(u,) for u in asked], "user_id long")).collect()}
+    of = {}
+    for u, t in pairs:
+        of.setdefault(t, set()).add(u)
+    want = {}
+    for u in asked:
+        mine = {t for v, t in pairs if v == u}
+        for t in set(of) - mine:
+            score = sum(len(of[t] & of[i]) / (len(of[t]) * len(of[i])) ** 0.5 for i in mine)
+            if score:
+                want[u, t] = round(score, 6)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert recommend.item_scores(events.limit(0), events.select("user_id")).count() == 0
 
 
 def test_co_bookers_of_every_asked_tour(spark, entities):
