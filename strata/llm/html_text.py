@@ -1,12 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are put in the order of their URL paths; each is aligned with the page before and the page after by
-the longest common subsequence of their text lines, and the lines they share are deleted as the site's template.
+the longest common subsequence of their text lines, and the lines they share are deleted as the site's template:
+in articles and main elements only if nearly all pages of the host have them, for two articles may share a sentence.
 
-Differencing alone can't give right results: menus and adverts that change from page to page are not shared, and an
-article that two pages carry is.  So elements that are never part of an article go whatever they hold.  Shared lines go
-from all others: undecided ones if one neighbour has them, those of articles and main elements if two have.  Of these
-three zones the one with the most text left is the main text.
+Differencing alone can't give right results: menus and adverts that change from page to page are not shared.  So of the
+lines that are left, mark-up takes those of elements that are never part of an article, and of the zones undecided,
+main and article the one with the most text left is the main text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import ranked, stored
+from strata.llm.common import ranked, settled
 
 # Elements of HTML by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,22 +61,87 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ABOUT = ("has-", "no-", "with-", "without-")
 
 OUT, FREE, MAIN, ARTICLE = range(4)
-# Share of the lines of a zone from which on two pages are copies there, and their shared lines say nothing.
+# Share of the lines outside of site parts from which on two pages are copies, and their shared lines say nothing.
 COPY = 0.9
+# Share of the pages of a host from which on a line of their articles is the site's.
+SITE_SHARE = 0.9
 # Bits of alignment state kept for tracing back; larger alignments are halved first.
 TRACE_BITS = 1 << 27
 
 
-class _Lines(HTMLParser):
+# Elements whose content is text up to their end tag, and of these the ones with character references.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+REFERENCES = frozenset("textarea title".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_REST = re.compile(r"[\s/]*>?")
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
+    """("text" | "start" | "end", text or element name, attributes) of any mark-up, in one pass.
+
+    What is not closed is read as browsers do: a comment or raw element runs to the end of the page, a declaration
+    of any kind to the next ``>``.  A quote that is never closed belongs to a value without quotes.  No part of the
+    page is read twice.
+    """
+    at, size = 0, len(page)
+    while at < size:
+        mark = page.find("<", at)
+        if mark < 0:
+            mark = size
+        if mark > at:
+            yield "text", unescape(page[at:mark]), {}
+        if mark == size:
+            return
+        following = page[mark + 1 : mark + 2]
+        if page.startswith("<!--", mark):
+            short = page.startswith((">", "->"), mark + 4)
+            end = page.find(">" if short else "-->", mark + 4)
+            at = size if end < 0 else end + 1 if short else end + 3
+            continue
+        if following in ("/", "!", "?"):
+            name = _NAME.match(page, mark + 2) if following == "/" else None
+            end = page.find(">", mark)
+            at = size if end < 0 else end + 1
+            if name:
+                yield "end", name[0].lower(), {}
+            continue
+        name = _NAME.match(page, mark + 1)
+        if name is None:
+            yield "text", "<", {}
+            at = mark + 1
+            continue
+        tag, at = name[0].lower(), name.end()
+        attributes: dict[str, str] = {}
+        while (found := _ATTRIBUTE.match(page, at)) is not None:
+            at = found.end()
+            key = found[1].lower()
+            if key not in attributes:
+                value = next((v for v in found.groups()[1:] if v is not None), "")
+                attributes[key] = unescape(value) if "&" in value else value
+        at = _REST.match(page, at).end()
+        yield "start", tag, attributes
+        if tag in RAW:
+            end = _RAW_END[tag].search(page, at)
+            stop = end.start() if end else size
+            if tag in REFERENCES and stop > at:
+                yield "text", unescape(page[at:stop]), {}
+            at = stop
+
+
+class _Lines:
     """Collects (zone, line) of a page; a line is the text of a block with its white space made single spaces."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str, tuple[int, ...]]] = []  # with the hinted elements around the line
-        self.open: list[tuple[str, int, tuple[int, ...]]] = []  # element, zone and hinted elements around it
+        self.lines: list[tuple[int, str, int]] = []  # with the innermost hinted element around the line
+        self.open: list[tuple[str, int, int]] = []  # element, zone and innermost hinted element around it
+        self.where: dict[str, list[int]] = {}  # places of the open elements of each name
+        self.blocks: list[int] = []  # places of the open blocks
         self.zone = FREE
-        self.within: tuple[int, ...] = ()
-        self.hinted = 0
+        self.within = -1
+        self.outer: list[int] = []  # the hinted element around each hinted element
         self.holders: set[int] = set()  # hinted elements that hold an article or main element
         self.parts: list[str] = []
 
@@ -87,33 +152,41 @@ class _Lines(HTMLParser):
             if line:
                 self.lines.append((self.zone, line, self.within))
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: dict) -> None:
         if tag in BLOCK:
             self.flush()
             # A paragraph ends where a block begins.
             if any(name == "p" for name, *_ in self.open[-4:]):
-                self._close("p")
+                self.end("p")
         elif tag in ("br", "td", "th"):
             self.parts.append(" ")
         if tag in VOID:
             return
-        attrs = dict(attrs)
+        if tag == "br":
+            return
         inside, hinted = self._inside(tag, attrs), self._hinted(tag, attrs)
         if inside != self.zone or hinted:
             self.flush()
+        at = len(self.open)
         self.open.append((tag, self.zone, self.within))
+        self.where.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
         if hinted and inside != OUT:
-            self.within += (self.hinted,)
-            self.hinted += 1
+            self.outer.append(self.within)
+            self.within = len(self.outer) - 1
         elif inside != OUT and (tag in ("article", "main") or (attrs.get("role") or "").lower() == "main"):
-            self.holders.update(self.within)
+            holder = self.within
+            while holder >= 0 and holder not in self.holders:
+                self.holders.add(holder)
+                holder = self.outer[holder]
         self.zone = inside
 
     def _hinted(self, tag: str, attrs: dict) -> bool:
         """Whether the element goes unless it holds the article."""
         if tag == "form":
             return True
-        if tag in ("html", "body", "article", "main") or tag in HEADINGS or (attrs.get("role") or "").lower() == "main":
+        if not attrs or tag in ("html", "body", "article", "main") or tag in HEADINGS or (attrs.get("role") or "").lower() == "main":
             return False
         classes, names = (attrs.get("class") or "").lower().split(), (attrs.get("id") or "").lower().split()
         if self.zone in (MAIN, ARTICLE):
@@ -122,7 +195,11 @@ class _Lines(HTMLParser):
         return not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", names))
 
     def _inside(self, tag: str, attrs: dict) -> int:
-        if self.zone == OUT or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        if self.zone == OUT or tag in NEVER:
+            return OUT
+        if not attrs and tag not in ("article", "main", "header"):
+            return self.zone
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return OUT
         role = (attrs.get("role") or "").lower()
         if role in ROLES or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
@@ -139,55 +216,53 @@ class _Lines(HTMLParser):
     def resolved(self) -> list[tuple[int, str]]:
         """(zone, line) with what hinted elements hold out.  One stays if it holds more text of articles and main
         elements than is found outside of such elements, the largest first: then it is laid around the article."""
-        held = {h: sum(len(x) for zone, x, within in self.lines if zone >= MAIN and h in within) for h in self.holders}
-        kept: set[int] = set()
-        found = sum(len(x) for zone, x, within in self.lines if zone >= MAIN and not within)
-        for h in sorted(held, key=lambda h: (-held[h], h)):
+        own = [0] * (len(self.outer) + 1)  # the last place is for lines outside of them
+        for zone, line, within in self.lines:
+            if zone >= MAIN:
+                own[within] += len(line)
+        held = own[:-1]
+        for h in range(len(held) - 1, -1, -1):
+            if self.outer[h] >= 0:
+                held[self.outer[h]] += held[h]
+        kept, found = {-1}, own[-1]
+        # An element comes before those in it: it holds no less and was opened earlier.
+        for h in sorted(self.holders, key=lambda h: (-held[h], h)):
             if held[h] <= found:
                 break
             kept.add(h)
-            found = sum(len(x) for zone, x, within in self.lines if zone >= MAIN and kept.issuperset(within))
-        return [(zone if kept.issuperset(within) else OUT, x) for zone, x, within in self.lines]
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in BLOCK:
-            self.flush()
-        elif tag == "br":
-            self.parts.append(" ")
+            found += own[h]
+        return [(zone if within in kept else OUT, x) for zone, x, within in self.lines]
 
-    def handle_endtag(self, tag):
-        if tag in BLOCK:
+    def end(self, tag: str) -> None:
+        """Closes the last open element of the name with all in it; an inline one closes no block."""
+        places = self.where.get(tag)
+        if not places or (tag not in BLOCK and self.blocks and places[-1] < self.blocks[-1]):
+            return
+        at = places[-1]
+        if self.open[at][1:] != (self.zone, self.within):
             self.flush()
-        self._close(tag)
-
-    def _close(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if self.open[at][1:] != (self.zone, self.within):
-                    self.flush()
-                _, self.zone, self.within = self.open[at]
-                del self.open[at:]
-                return
-
-    def handle_data(self, data):
-        if self.zone == OUT:
-            self.lines_out(data)
-        else:
-            self.parts.append(data)
-
-    def lines_out(self, data):
-        # Script and style text is no line of the page.
-        if not any(name in ("script", "style", "template", "svg") for name, *_ in self.open[-2:]):
-            self.parts.append(data)
+        _, self.zone, self.within = self.open[at]
+        for name, *_ in self.open[at:]:
+            self.where[name].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        del self.open[at:]
 
 
 def page_lines(html: str | None) -> list[tuple[int, str]]:
     """(zone, line) of a page in page order; the zones are those of the mark-up alone."""
-    parser = _Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.resolved()
+    page = _Lines()
+    for kind, text, attributes in tokens(html or ""):
+        if kind == "text":
+            page.parts.append(text)
+        elif kind == "start":
+            page.start(text, attributes)
+        else:
+            if text in BLOCK:
+                page.flush()
+            page.end(text)
+    page.flush()
+    return page.resolved()
 
 
 def _masks(lines: list) -> dict:
@@ -257,36 +332,39 @@ def line_code(zone: int, line: str) -> int:
     return line_hash(line) & ~3 | zone
 
 
-def main_text(lines: list[tuple[int, str]], neighbours: list[list[int]], zones: list[list[int]] | None = None) -> str:
-    """The lines that stay of the zone that holds most unshared text, the one with more mark-up of equals.
+SHARED, MARKED, ASIDE, KEPT = "shared", "mark-up", "other zone", "kept"
 
-    ``neighbours`` are line hashes or codes, ``zones`` the zones of their lines; without, all count as undecided.  A
-    neighbour that copies the zone says nothing about it.  An undecided line goes if one neighbour shares it.  A line
-    of an article or main element goes if two share it outside of what is no part of an article: two articles may
-    well have a title or sentence in common, what stands in all of them is the site's.
+
+def decided(lines: list[tuple[int, str]], neighbours: list[list[int]], site: frozenset[int] = frozenset()) -> list[str]:
+    """What becomes of each line, in order: deleted as shared, by mark-up, for its zone, or kept.
+
+    ``neighbours`` are the line codes of the pages beside.  Lines aligned with a neighbour are deleted first, in all
+    zones: undecided ones unless the neighbour is a copy of nearly all of the page, those of articles and main elements if
+    ``site`` holds them (hashes of the lines that stand in nearly all pages of the host): two articles may well have
+    a sentence in common.  Mark-up decides about the rest: lines that are no part of an article go, and of the other
+    zones the one with most text left is kept, the one with more mark-up of equals.
     """
     own = [line_hash(line) >> 2 for _, line in lines]
-    places = {zone: {i for i, (z, _) in enumerate(lines) if z == zone} for zone in (ARTICLE, MAIN, FREE)}
+    mine = {i for i, (zone, _) in enumerate(lines) if zone != OUT}
     shared: set[int] = set()
-    once: set[int] = set()
-    for n, other in enumerate(neighbours):
-        kinds = zones[n] if zones else [FREE] * len(other)
+    for other in neighbours:
         pairs = common_subsequence(own, [code >> 2 for code in other])
+        theirs = {j for j, code in enumerate(other) if code & 3 != OUT}
         met = {i for i, _ in pairs}
-        free = {j for j, kind in enumerate(kinds) if kind == FREE}
-        found = met & places[FREE]
-        if len(found) < COPY * len(places[FREE]) or len(free.intersection(j for _, j in pairs)) < COPY * len(free):
-            shared |= found
-        told = {i for i, j in pairs if kinds[j] != OUT}
-        for zone in (ARTICLE, MAIN):
-            # an article that another page carries among others is still text
-            found = told & places[zone]
-            if len(found) < COPY * len(places[zone]):
-                shared |= found & once
-                once |= found
-    sizes = {zone: sum(len(lines[i][1]) for i in at - shared) for zone, at in places.items()}
+        silent = len(mine & met) >= COPY * len(mine) and len(theirs.intersection(j for _, j in pairs)) >= COPY * len(theirs)
+        shared |= {i for i in met if lines[i][0] == OUT or own[i] in site or (lines[i][0] == FREE and not silent)}
+    sizes = dict.fromkeys((ARTICLE, MAIN, FREE), 0)
+    for i, (zone, line) in enumerate(lines):
+        if zone != OUT and i not in shared:
+            sizes[zone] += len(line)
     best = max(sizes, key=sizes.get)
-    return "\n".join(lines[i][1] for i in sorted(places[best] - shared))
+    fate = {OUT: MARKED, best: KEPT}
+    return [SHARED if i in shared else fate.get(zone, ASIDE) for i, (zone, _) in enumerate(lines)]
+
+
+def main_text(lines: list[tuple[int, str]], neighbours: list[list[int]], site: frozenset[int] = frozenset()) -> str:
+    """The lines that are kept, see :func:`decided`."""
+    return "\n".join(line for (_, line), fate in zip(lines, decided(lines, neighbours, site), strict=True) if fate == KEPT)
 
 
 def _place(url: str | None) -> tuple[str | None, str | None]:
@@ -329,54 +407,74 @@ def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        packed, before, after = (batch.column(k).to_pylist() for k in (2, 3, 4))
-        near = [[n for n in ab if n] for ab in zip(before, after, strict=True)]
-        texts = [main_text(json.loads(unpack(p)), n, [[c & 3 for c in x] for x in n]) for p, n in zip(packed, near, strict=True)]
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        sizes = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"])
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: id, url, text, n_chars.
+        texts, counts = [], []
+        for packed, *near, site in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            lines = json.loads(unpack(packed))
+            fates = decided(lines, [n for n in near if n], frozenset(h >> 2 for h in site or ()))
+            kept = (line for (_, line), fate in zip(lines, fates, strict=True) if fate == KEPT)
+            texts.append("\n".join(kept).encode("utf-8", "replace").decode())
+            counts.append([fates.count(fate) for fate in (SHARED, MARKED, ASIDE, KEPT)])
+        columns = [pa.array(c, pa.int64()) for c in (list(map(len, texts)), *(zip(*counts, strict=True) if counts else [()] * 4))]
+        names = ["id", "url", "text", "n_chars", "n_shared", "n_marked", "n_aside", "n_kept"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *columns], names)
+
+
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", site_share: float = SITE_SHARE
+) -> DataFrame:
+    """One row per row of ``pages``: id, url, text, n_chars, and the numbers of lines deleted as shared (n_shared), by
+    mark-up (n_marked), for standing in another zone (n_aside), and kept (n_kept).
 
     Neighbours are the pages before and after in the order (path, id, url) among those of the host, for the first and
     last page the two next to it; a page without host, or alone on its host, has none.  Pages of a host with equal
     lines, repeated rows among them, stand as one in the order, at the place of the first, and have equal texts.  A
-    neighbour that differs but shares nearly all lines of a zone still counts as a neighbour and deletes nothing from
-    it.  Null pages count as empty and have an empty text; repeated rows are repeated in the result.  An empty table
+    neighbour that differs but shares nearly all lines still counts as a neighbour and deletes no undecided ones.
+    Lines of articles are the site's if at least ``site_share`` of the different pages of a host, three or more, have
+    them.  Null pages count as empty and have an empty text; repeated rows are repeated in the result.  An empty table
     gives an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    hashed = stored(
+    hashed = settled(
         rows.mapInArrow(_hash_batches, "id long, url string, host string, path string, digest binary, hashes array<long>"), "hashes"
     )
     # One row per host and page content: copies in any number are summed up before the shuffle.
-    places = (
+    places = settled(
         hashed.where(F.col("host").isNotNull())
         .groupBy("host", "digest")
         .agg(F.min(F.struct("path", "id", "url")).alias("first"), F.min("hashes").alias("hashes"))
-        .select("host", "digest", "first.*", "hashes")
+        .select("host", "digest", "first.*", "hashes"),
+        "places",
     )
+    # A line in nearly all pages of a host is in nearly any of them, so the lists are no longer than a page.
+    inside = places.select("host", F.explode(F.array_distinct(F.filter("hashes", lambda c: c.bitwiseAND(F.lit(3)) >= MAIN))).alias("line"))
+    counted = inside.groupBy("host", F.expr("line & ~3L").alias("line")).count()
+    per_host = places.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 2")
+    site = settled(
+        counted.where("count > 2").join(per_host, "host").where(F.col("count") >= site_share * F.col("pages"))
+        .groupBy("host").agg(F.collect_set("line").alias("site")),
+        "site",
+    )
     order = ranked(places, "host", "path", "id", "url", "digest", name="order")
-    order = stored(order.select("rank", "host", "digest", "hashes"), "ranks")
+    order = settled(order.select("rank", "host", "digest", "hashes"), "ranks")
     side = lambda step, name: order.select(
         (F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name)
     )
     near = lambda name: F.when(F.col("host") == F.col(f"{name}_host"), F.col(name))
-    beside = stored(
+    beside = settled(
         order.drop("hashes")
         .join(side(1, "before"), "rank", "left")
         .join(side(-1, "after"), "rank", "left")
         .join(side(2, "before2"), "rank", "left")
         .join(side(-2, "after2"), "rank", "left")
+        .join(site, "host", "left")
         .select(
             "host", "digest",
-            F.coalesce(near("before"), near("after2")).alias("before"), F.coalesce(near("after"), near("before2")).alias("after"),
+            F.coalesce(near("before"), near("after2")).alias("before"), F.coalesce(near("after"), near("before2")).alias("after"), "site",
         ),
         "beside",
     )
     packed = rows.mapInArrow(_packed_batches, "id long, url string, host string, digest binary, packed binary")
-    met = packed.join(beside.hint("merge"), ["host", "digest"], "left").select("id", "url", "packed", "before", "after")
-    texts = met.mapInArrow(_text_batches, "id long, url string, text string, n_chars long")
+    met = packed.join(beside.hint("merge"), ["host", "digest"], "left").select("id", "url", "packed", "before", "after", "site")
+    counts = "n_chars long, n_shared long, n_marked long, n_aside long, n_kept long"
+    texts = met.mapInArrow(_text_batches, f"id long, url string, text string, {counts}")
     return texts.withColumnsRenamed({"id": id_col, "url": url_col})
