@@ -2,9 +2,12 @@
 
 A configuration says how many pieces of each length one sequence holds.  The program asks for the fewest sequences
 whose configurations cover the histogram of lengths.  Multiplicative weights solve it: every length has a price that
-falls as the length is covered, a knapsack over the prices finds the configuration worth most, and that one is used
-for a share of what its scarcest length needs.  The uses are rounded to whole sequences; what is left over goes to
-the sequences with the least room that suffices.
+falls with the share of it that is covered, and a knapsack over the prices, by dynamic programming, gives the most that a
+sequence can be worth.  That bounds the fewest sequences from below (prices over the knapsack's value are a solution
+of the dual program), and its table is traced back into a batch of configurations of nearly that worth, each of
+pieces that are still there.  A configuration is used as often as half of what is left of its scarcest length allows,
+rounded to whole sequences, before the prices are set anew; it ends when everything is covered.  Only the shortest
+pieces, a stated share of all, are held back: they go to the sequences with the least room that suffices.
 
 The program depends on the histogram alone, at most one row per length, and so does its solution.  Pieces find their
 places by their rank in the order of length, each task for itself.
@@ -26,64 +29,104 @@ from strata.llm.tokens import word_bpe
 
 CAPACITY = 4096
 END_ID = 1
-ROUNDS = 300
-# Share of its scarcest length's demand for which a configuration is used at once.
-SHARE = 0.5
-# How fast prices fall as a length is covered.
-STEEPNESS = 3.0
-
-
-def knapsack(value: np.ndarray) -> dict[int, int]:
-    """{length: count} of most value within the capacity; ``value[s]`` is that of length s, -inf where there is none."""
-    capacity = len(value) - 1
-    best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int32)
-    sums = np.empty(capacity + 1)
-    for c in range(1, capacity + 1):
-        here = sums[:c]
-        np.add(best[c - 1 :: -1], value[1 : c + 1], out=here)
-        k = here.argmax()
-        if here[k] > best[c - 1]:
-            best[c], choice[c] = here[k], k + 1
-        else:
-            best[c] = best[c - 1]
+# Share of all pieces, the shortest ones, that fill the rooms which configurations leave.
+HELD_BACK = 0.08
+# Share of what is left of a length that one batch uses; configurations of a batch.
+SHARE, BATCH = 0.5, 64
+# How fast prices fall as a length is covered, and how much more a token of the longest piece is worth at first.
+STEEPNESS, LONG = 3.0, 0.02
+# Part of the knapsack's value that a configuration may miss at first; doubled when none comes so near.
+MISS = 0.02
+
+
+def knapsack_values(value: np.ndarray) -> np.ndarray:
+    """The most value within each capacity; ``value[s]`` is that of length s, -inf where there is none."""
+    best = np.zeros(len(value))
+    offered = np.flatnonzero(value > -np.inf)
+    longest = int(offered[-1]) if len(offered) else 0
+    sums = np.empty(longest)
+    for c in range(1, len(value)):
+        k = min(c, longest)
+        here = sums[:k]
+        np.add(best[c - 1 :: -1][:k], value[1 : k + 1], out=here)
+        best[c] = max(best[c - 1], here.max(initial=0.0))
+    return best
+
+
+def configuration(value: np.ndarray, best: np.ndarray, room: np.ndarray) -> tuple[dict[int, int], float]:
+    """({length: count}, worth) traced back through the knapsack's values, with no more of a length than ``room``.
+
+    Each step takes the piece that leaves the most value, the longest of equals.  Tokens that stay free at the end
+    are filled by swapping one piece for the longest that fits instead.
+    """
+    value = np.where(room > 0, value, -np.inf)
+    left = value.copy()
     held: dict[int, int] = {}
-    c = capacity
-    while c:
-        if s := int(choice[c]):
-            held[s] = held.get(s, 0) + 1
-            c -= s
-        else:
-            c -= 1
-    return held
-
-
-def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """(configuration, uses) of a nearly cheapest fractional cover of ``demand`` {length: pieces}, as far as it came."""
-    needs = np.zeros(capacity + 1)
-    needs[list(demand)] = list(demand.values())
-    asked = needs > 0
-    covered = np.zeros(capacity + 1)
-    worth = np.arange(capacity + 1) / capacity
-    used: dict[tuple, list] = {}
-    for _ in range(rounds):
-        share = np.divide(covered, needs, out=np.ones_like(covered), where=asked)
-        if share[asked].min(initial=1.0) >= 1:
+    free = len(value) - 1
+    while free:
+        here = left[1 : free + 1] + best[free - 1 :: -1]
+        s = free - int(here[::-1].argmax())
+        if not here[s - 1] > -np.inf:
             break
+        held[s] = held.get(s, 0) + 1
+        free -= s
+        if held[s] >= room[s]:
+            left[s] = -np.inf
+    if free and held:
+        offered = np.flatnonzero(left > -np.inf)
+        swaps = []
+        for s in held:
+            at = int(np.searchsorted(offered, s + free, side="right")) - 1
+            if at >= 0 and offered[at] > s:
+                swaps.append((int(offered[at]) - s, s))
+        if swaps:
+            more, s = max(swaps)
+            held[s] -= 1
+            held[s + more] = held.get(s + more, 0) + 1
+    held = {s: n for s, n in held.items() if n}
+    return held, float(sum(value[s] * n for s, n in held.items()))
+
+
+def solve(demand: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """([(configuration, uses)], lower bound of sequences): the uses hold every piece of ``demand`` once."""
+    needs = np.zeros(capacity + 1, np.int64)
+    needs[list(demand)] = list(demand.values())
+    tokens = np.arange(capacity + 1)
+    worth = tokens / capacity * (1 + LONG * tokens / capacity)
+    most = capacity // np.maximum(tokens, 1)
+    left, uses, miss = needs.copy(), [], MISS
+    # Prices in proportion to the length are worth one in a full sequence.
+    bound = float((needs * tokens).sum()) / capacity
+    while left.any():
+        share = np.divide(needs - left, needs, out=np.ones(capacity + 1), where=needs > 0)
         # What is covered is worth nothing any more.
-        price = np.where(asked & (share < 1), worth * np.exp(-STEEPNESS * share), -np.inf)
-        held = knapsack(price)
-        times = max(1.0, SHARE * min(needs[s] / n for s, n in held.items()))
-        for s, n in held.items():
-            covered[s] += n * times
-        entry = used.setdefault(tuple(sorted(held.items(), reverse=True)), [held, 0.0])
-        entry[1] += times
-    return [(held, times) for held, times in used.values()]
+        price = np.where(left > 0, worth * np.exp(-STEEPNESS * share), -np.inf)
+        best = knapsack_values(price)
+        bound = max(bound, float((needs * np.where(left > 0, price, 0.0)).sum() / best[-1]))
+        room = np.maximum(np.ceil(left * SHARE).astype(np.int64), np.minimum(left, most))
+        for k in range(BATCH):
+            held, value = configuration(price, best, room)
+            if not held or value < (1 - miss) * best[-1]:
+                miss *= 1 if k else 2
+                break
+            times = min(int(room[s]) // n for s, n in held.items())
+            for s, n in held.items():
+                room[s] -= n * times
+                left[s] -= n * times
+            uses.append((held, times))
+    return uses, bound
 
 
-def whole_sequences(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
+def whole_sequences(
+    demand: dict[int, int], capacity: int, held_back: float = HELD_BACK
+) -> list[tuple[list[tuple[int, int]], int]]:
     """([(length, pieces of it)], sequences filled so): every piece of ``demand`` once, in as few sequences as found."""
-    left = {s: n for s, n in demand.items() if n}
+    most = held_back * sum(demand.values())
+    rest: dict[int, int] = {}
+    for s in sorted(s for s, n in demand.items() if n):
+        if sum(rest.values()) + demand[s] > most:
+            break
+        rest[s] = demand[s]
     rooms: dict[int, list] = {}  # free tokens -> sequences that have as many
     free: list[int] = []
 
@@ -93,15 +136,10 @@ def whole_sequences(demand: dict[int, int], capacity: int, rounds: int = ROUNDS)
             insort(free, room)
         rooms[room].append((held, times))
 
-    fractional = solve(left, capacity, rounds)
-    for held, times in sorted(fractional, key=lambda x: (-x[1], sorted(x[0].items()))):
-        times = min([round(times), *(left[s] // n for s, n in held.items())])
-        if times:
-            for s, n in held.items():
-                left[s] -= n * times
-            put(capacity - sum(s * n for s, n in held.items()), sorted(held.items(), reverse=True), times)
-    for s in sorted(left, reverse=True):
-        n = left[s]
+    for held, times in solve({s: n for s, n in demand.items() if n and s not in rest}, capacity)[0]:
+        put(capacity - sum(s * n for s, n in held.items()), sorted(held.items(), reverse=True), times)
+    for s in sorted(rest, reverse=True):
+        n = rest[s]
         while n:
             at = bisect_left(free, s)
             if at < len(free):
@@ -176,7 +214,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    tokenizer: str | None = None, rounds: int = ROUNDS,
+    tokenizer: str | None = None, held_back: float = HELD_BACK,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -187,7 +225,7 @@ def pack(
     cut = stored(pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
     # At most one row per length up to the capacity.
     demand = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    layout = Layout(whole_sequences(demand, capacity, rounds), demand)
+    layout = Layout(whole_sequences(demand, capacity, held_back), demand)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
