@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
+@contextmanager
+def bucketed(df: DataFrame, by: str, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table of the shared folder whose buckets hold whole values of ``by``; dropped on leaving.
+
+    Writing shuffles nothing: each task adds a file to the buckets of the values it has.  Joins on ``by`` alone read
+    the table bucket by bucket, so only the other side is shuffled.  What is read after leaving must be stored before.
+    """
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    called = f"strata_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(count, by).option("path", fresh_path(spark, name)).saveAsTable(called)
+    try:
+        yield spark.table(called)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {called}")
+
+
 def byte_text(column: str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))

@@ -1,8 +1,10 @@
 """Exact duplicates by exchange of Golomb-coded fingerprints.
 
-Each partition sends the sorted fingerprints of its texts, Golomb-coded, to the owners of their ranges.  An owner
-answers every list with a bitmap that marks the fingerprints which another list holds as well, or which stand for
-several rows of that list.  Only the marked rows, the suspects, are shuffled with their texts and compared byte by byte.
+Rows are written once, numbered within the task that writes them.  Each task sends the sorted fingerprints of its
+texts, Golomb-coded, to the owners of their ranges.  An owner answers every list with a bitmap that marks the
+fingerprints which another list holds as well, or which stand for several rows of that list.  The marked rows, the
+suspects, go back as one bitmap per writer to the table of rows, which lies in buckets of writers and is not shuffled;
+only their texts are, to be compared byte by byte.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored
+from strata.llm.common import bucketed, settled
 
 # Bits of a fingerprint.  Unequal texts that share one become suspects and part again when bytes are compared.
 FINGERPRINT_BITS = 48
 # Fingerprints of a list at most; a partition with more rows sends several lists.
 FRAME_ROWS = 1 << 17
+# Rows whose fingerprints one owner compares, as an average.
+OWNER_ROWS = 1 << 20
+# Parts in which the copies of one text are first compared.
+SHARES = 256
 
 
 def golomb_encode(values: np.ndarray, universe: int) -> tuple[int, bytes]:
@@ -59,26 +65,25 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-SENT = "id long, digest string, uid long, sender int, frame int, owner int, slot int, width int, n int, code binary"
+SENT = "id long, uid long, digest string, sender int, frame int, owner int, slot int, width int, n int, code binary"
 
 
 def _send(owners: int):
     span = -(-(1 << FINGERPRINT_BITS) // owners)
 
-    def frame(no: int, first: int, ids: list, digests: list) -> Iterator[pa.RecordBatch]:
+    def frame(no: int, ids: list, uids: list, digests: list) -> Iterator[pa.RecordBatch]:
         sender = TaskContext.get().partitionId()
         prints = np.array([int(d[: FINGERPRINT_BITS // 4], 16) for d in digests], np.int64)
         distinct, place = np.unique(prints, return_inverse=True)
         owner = distinct // span
-        starts = np.searchsorted(owner, np.arange(owners))
+        present, starts = np.unique(owner, return_index=True)
+        first = np.repeat(starts, np.diff(np.append(starts, len(owner))))
         rows = len(ids)
-        of_row = owner[place]
         yield _batch(
-            id=ids, digest=digests, uid=(np.int64(sender) << 40) + first + np.arange(rows), sender=[sender] * rows,
-            frame=[no] * rows, owner=of_row, slot=place - starts[of_row],
+            id=ids, uid=uids, digest=digests, sender=[sender] * rows, frame=[no] * rows,
+            owner=owner[place], slot=place - first[place],
         )
-        present = np.unique(owner)
-        lists = [distinct[owner == o] - o * span for o in present]
+        lists = [part - o * span for o, part in zip(present, np.split(distinct, starts[1:]), strict=True)]
         coded = [golomb_encode(x, span) for x in lists]
         k = len(lists)
         yield _batch(
@@ -87,23 +92,22 @@ def _send(owners: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        digests: list = []
-        no = first = 0
+        held: list[list] = [[], [], []]
+        no = 0
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            digests += batch.column(1).to_pylist()
-            if len(ids) >= FRAME_ROWS:
-                yield from frame(no, first, ids, digests)
-                first, no, ids, digests = first + len(ids), no + 1, [], []
-        if ids:
-            yield from frame(no, first, ids, digests)
+            for column, values in zip(held, batch.columns, strict=True):
+                column += values.to_pylist()
+            if len(held[0]) >= FRAME_ROWS:
+                yield from frame(no, *held)
+                no, held = no + 1, [[], [], []]
+        if held[0]:
+            yield from frame(no, *held)
 
     return run
 
 
 _TYPES = {
-    "id": pa.int64(), "digest": pa.string(), "uid": pa.int64(), "sender": pa.int32(), "frame": pa.int32(),
+    "id": pa.int64(), "uid": pa.int64(), "digest": pa.string(), "sender": pa.int32(), "frame": pa.int32(),
     "owner": pa.int32(), "slot": pa.int32(), "width": pa.int32(), "n": pa.int32(), "code": pa.binary(),
 }
 
@@ -118,9 +122,9 @@ def _batch(**columns) -> pa.RecordBatch:
 def _answer(lists: pd.DataFrame) -> pd.DataFrame:
     """Bitmaps for the lists of one owner: a bit is set where another list holds the fingerprint too."""
     decoded = [golomb_decode(n, w, c) for n, w, c in zip(lists["n"], lists["width"], lists["code"], strict=True)]
-    values, counts = np.unique(np.concatenate(decoded), return_counts=True)
-    twice = values[counts > 1]
-    lists["bitmap"] = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in decoded]
+    values = np.sort(np.concatenate(decoded))
+    twice = np.append(values[1:][values[1:] == values[:-1]], np.iinfo(np.int64).max)
+    lists["bitmap"] = [np.packbits(twice[np.searchsorted(twice, x)] == x).tobytes() for x in decoded]
     return lists[["sender", "frame", "owner", "bitmap"]]
 
 
@@ -135,52 +139,93 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(slots)], ["sender", "frame", "owner", "slot"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+# A row's number holds its writer above the row's place in the writer's file.
+_PLACE_BITS = 33
 
-    Texts are equal when identical after each run of white space became one space; null counts as empty.  The row
-    with the smallest id stays; rows without an id come last, and of rows that share the smallest id exactly one
-    stays.  ``group_size`` counts rows, repeated ones too.  An empty table gives an empty result.  Other columns of
-    ``docs``, whatever their names, are not read.
-    """
-    spark = docs.sparkSession
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("text"))
-    sent = stored(
-        texts.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).mapInArrow(_send(owners), SENT),
-        "sent",
+
+def _bitmap(places: pd.DataFrame) -> pd.DataFrame:
+    """One bitmap per writer, as long as its last marked row needs."""
+    place = places["place"].to_numpy()
+    bits = np.zeros(int(place.max()) + 1, np.uint8)
+    bits[place] = 1
+    return pd.DataFrame({"writer": places["writer"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _bitmaps(uids: DataFrame) -> DataFrame:
+    """(writer, bits) of the row numbers of ``uids``: an eighth of a byte per row of the writer."""
+    places = uids.select(
+        F.shiftright("uid", _PLACE_BITS).alias("writer"), F.col("uid").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("place")
+    )
+    return places.groupBy("writer").applyInPandas(_bitmap, "writer long, bits binary")
+
+
+def _is_set() -> Column:
+    """Whether ``bits`` holds the place of ``uid``; bits beyond the end are not set."""
+    byte = "substring(bits, cast((uid & 8589934591) >> 3 as int) + 1, 1)"
+    return F.expr(f"length({byte}) = 1 AND (shiftright(cast(conv(hex({byte}), 16, 10) as int), cast(7 - (uid & 7) as int)) & 1) = 1")
+
+
+def _numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """(writer, uid, row): rows numbered by the task that writes them; ``row`` holds ``columns``, whatever their names."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*columns).alias("row"))
+    return rows.withColumn("writer", F.shiftright("uid", _PLACE_BITS))
+
+
+def _texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(
+        "writer", "uid", F.col("row").getField(id_col).cast("long").alias("id"), F.col("row").getField(text_col).alias("text")
     )
-    rows = sent.where("uid is not null").select("id", "digest", "uid", "sender", "frame", "owner", "slot")
+
+
+def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprinted rows (id, uid, digest) and the groups of several equal texts (digest, first, size)."""
+    spark = rows.sparkSession
+    # Owners enough that the fingerprints of one fit a task, at any number of rows.
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // OWNER_ROWS))
+    digest = F.sha2(normalised("text").cast("binary"), 256).alias("digest")
+    sent = settled(rows.select("id", "uid", digest).mapInArrow(_send(owners), SENT), "sent")
+    known = sent.where("uid is not null").select("id", "uid", "digest", "sender", "frame", "owner", "slot")
     lists = sent.where("uid is null").select("sender", "frame", "owner", "width", "n", "code")
     bitmaps = lists.groupBy("owner").applyInPandas(_answer, "sender int, frame int, owner int, bitmap binary")
     marked = bitmaps.mapInArrow(_marked, "sender int, frame int, owner int, slot int")
     # A slot that stands for several rows of its own list is no secret to the sender.
-    several = rows.groupBy("sender", "frame", "owner", "slot").count().where("count > 1").drop("count")
+    several = known.groupBy("sender", "frame", "owner", "slot").count().where("count > 1").drop("count")
     at = ["sender", "frame", "owner", "slot"]
-    suspects = stored(rows.join(marked.unionByName(several).distinct(), at, "left_semi").select("id", "digest"), "suspects")
-    # Rows without an id cannot be found again by it: their texts are compared all.
-    asked = suspects.where("id is not null").select("id").distinct()
-    # The same plan at every size: whole texts are shuffled once, by id.
-    found = texts.join(asked.hint("merge"), "id", "left_semi").unionByName(
-        texts.where("id is null")
-    )
-    # Whole texts are the key, so equality is that of bytes; copies fall together before the shuffle.
-    verified = (
-        found.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-        .groupBy("digest", "text")
-        .agg(F.count(F.lit(1)).alias("size"))
+    suspects = settled(known.join(marked.unionByName(several).distinct(), at, "left_semi").select("uid", "digest"), "suspects")
+    asked = settled(_bitmaps(suspects), "asked")
+    found = rows.join(asked.hint("shuffle_hash"), "writer").where(_is_set()).select("writer", normalised("text").alias("text"))
+    # Whole texts are the key, so equality is that of bytes.  Copies fall together in each task, then by shares of
+    # the writers, so a text that all writers hold meets in one task only as often as there are shares.
+    verified = settled(
+        found.withColumns({"digest": F.sha2(F.col("text").cast("binary"), 256), "share": F.pmod("writer", F.lit(SHARES))})
+        .groupBy("digest", "text", "share").agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("digest", "text").agg(F.sum("size").alias("size"))
         .where("size > 1")
-    )
-    groups = stored(verified.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("texts")), "groups")
-    if not groups.where("texts > 1").isEmpty():
+        .groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("texts")),
+        "verified",
+    )
+    if not verified.where("texts > 1").isEmpty():
         raise ValueError("different texts share a SHA-256 digest")
-    first = stored(
-        rows.join(groups.select("digest"), "digest", "left_semi")
+    known = known.select("id", "uid", "digest")
+    first = (
+        known.join(verified.select("digest"), "digest", "left_semi")
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("size")),
-        "first",
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("size"))
     )
-    return rows.join(first, "digest", "left").select(
+    return known, settled(first, "first")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each run of white space became one space; null counts as empty.  The row
+    with the smallest id stays; rows without an id come last, and of rows that share the smallest id exactly one
+    stays.  ``group_size`` counts rows, repeated ones too.  An empty table gives an empty result.  Other columns of
+    ``docs``, whatever their names, are not read.
+    """
+    with bucketed(_numbered(docs, id_col, text_col), "writer", "rows") as rows:
+        known, first = _decided(_texts(rows, id_col, text_col))
+    return known.join(first, "digest", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
@@ -192,26 +237,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows are found again by id and digest; rows that share both are copies, of which one stays.
+    Dropped rows are told by their numbers, so rows that share id and text are copies like any other.
     """
-    columns = docs.columns
-    kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("kept")
-    kept = kept.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    # Repeated rows carry equal keys; they are told apart by their place among the rows of the key.
-    repeated = stored(
-        docs.groupBy(F.col(id_col).alias("_id"), F.sha2(normalised(text_col).cast("binary"), 256).alias("_digest"))
-        .count()
-        .where("count > 1")
-        .drop("count"),
-        "repeated",
-    )
-    keyed = docs.select(
-        *columns, F.col(id_col).alias("_id"), F.sha2(normalised(text_col).cast("binary"), 256).alias("_digest")
-    )
-    same = lambda left, right: left["_id"].eqNullSafe(right["_id"]) & (left["_digest"] == right["_digest"])
-    stays = keyed.join(kept.hint("merge"), same(keyed, kept), "left_semi")
-    if repeated.isEmpty():
-        return stays.select(*columns)
-    single = stays.join(repeated, same(stays, repeated), "left_anti")
-    several = stays.join(repeated, same(stays, repeated), "left_semi").dropDuplicates(["_id", "_digest"])
-    return single.unionByName(several).select(*columns)
+    with bucketed(_numbered(docs, *docs.columns), "writer", "rows") as rows:
+        known, first = _decided(_texts(rows, id_col, text_col))
+        gone = known.join(first, "digest").where(F.col("uid") != F.col("first.uid")).select("uid")
+        gone = settled(_bitmaps(gone), "gone")
+        stays = rows.join(gone.hint("shuffle_hash"), "writer", "left").where(~F.coalesce(_is_set(), F.lit(False)))
+        return settled(stays.select("row.*"), "kept")

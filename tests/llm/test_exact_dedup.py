@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +75,43 @@ def test_several_lists_of_one_partition(spark, monkeypatch, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = [(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs).collect()]
     assert sorted(got, key=str) == plain([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_many_lists_of_one_owner():
+    rng = np.random.default_rng(3)
+    lists = []
+    for k in range(800):
+        values = np.unique(rng.integers(0, 1 << 30, 1300))
+        width, code = golomb_encode(values, 1 << 30)
+        lists.append((k, 0, 0, width, len(values), code, values))
+    frame = pd.DataFrame(lists, columns=["sender", "frame", "owner", "width", "n", "code", "values"])
+    begin = time.perf_counter()
+    got = module._answer(frame.drop(columns="values"))
+    assert time.perf_counter() - begin < 2
+    values, counts = np.unique(np.concatenate(frame["values"]), return_counts=True)
+    twice = set(values[counts > 1].tolist())
+    for bitmap, held in zip(got["bitmap"], frame["values"], strict=True):
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(held)]
+        assert bits.tolist() == [v in twice for v in held.tolist()]
+
+
+def test_texts_are_not_shuffled_to_be_found(spark, sf_dir, monkeypatch):
+    """Whole texts meet the bitmaps in their buckets; only suspects go on."""
+    plans = []
+    stored = module.settled
+    monkeypatch.setattr(module, "settled", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or stored(df, name))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert drop_copies(docs).count() < docs.count()
+    for name in ("verified", "kept"):
+        plan = dict(plans)[name].split("== Physical Plan ==")[1]
+        scan = plan.index("Bucketed: true")
+        above = plan[plan.index("ShuffledHashJoin") : scan]
+        assert "Exchange" not in above and "Sort" not in above
+
+
+def test_one_text_on_every_writer(spark):
+    rows = [(i, "the same text everywhere" if i % 3 else f"own {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    got = [(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs).collect()]
+    assert sorted(got, key=str) == plain(rows)
+    assert sorted(r.doc_id for r in drop_copies(docs).collect()) == [i for i in range(900) if i % 3 == 0 or i == 1]
