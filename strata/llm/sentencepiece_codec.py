@@ -138,13 +138,16 @@ class Pieces:
         best[0] = 0.0
         came, piece_at = [0] * (n + 1), [-1] * (n + 1)
         scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
+        ahead = sorted(literal, reverse=True)
         for at in range(n):
             so_far = best[at]
             if so_far == nothing:
                 continue
             lead = data[at]
             after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            limit = min((p for p in literal if p >= at), default=n) if literal else n
+            while ahead and ahead[-1] < at:
+                ahead.pop()
+            limit = ahead[-1] if ahead else n
             single = False
             state, stop = 0, at
             while stop < limit:
@@ -203,7 +206,7 @@ class Codec:
         literal = frozenset()
         if MARKER in word:
             lead = 3 * (len(part) - len(word))
-            literal = frozenset(lead + len(word[: m.start()].encode()) for m in re.finditer(MARKER, word))
+            literal = frozenset(m.start() for m in re.finditer(MARKER.encode(), data) if m.start() >= lead)
         return np.array(self.pieces.viterbi(data, literal), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:

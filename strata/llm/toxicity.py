@@ -66,6 +66,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def risk(margin: np.ndarray, is_positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The corrected risk of texts with these margins, and the slope of each margin that a step follows.
+
+    While the negative part is not below zero, the slopes are those of the risk; below, those of that part turned round.
+    """
+    n_pos, nu = int(is_positive.sum()), int((~is_positive).sum())
+    as_negative = _sigmoid(margin)  # the loss for -1; that for +1 is 1 minus it
+    rest = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
+    value = prior * (1 - as_negative[is_positive]).mean() + max(0.0, rest)
+    up = as_negative * (1 - as_negative)
+    if rest >= 0:
+        return value, np.where(is_positive, -2 * prior * up / n_pos, up / nu)
+    return value, np.where(is_positive, prior * up / n_pos, -up / nu)
+
+
 def _without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     """One of the feature sets that share their five smallest mixed values: copies and most near copies."""
     mixed = lambda d: np.sort((d.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))[:5]
@@ -101,13 +116,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         margin = np.bincount(row, weights=w[at] * value, minlength=len(docs)) + b
-        as_negative = _sigmoid(margin)  # the loss for -1; that for +1 is 1 minus it
-        rest = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
-        up = as_negative * (1 - as_negative)
-        if rest >= 0:
-            slope = np.where(is_positive, -2 * prior * up / n_pos, up / nu)
-        else:
-            slope = np.where(is_positive, prior * up / n_pos, -up / nu)
+        _, slope = risk(margin, is_positive, prior)
         grad = np.append(np.bincount(at, weights=slope[row] * value, minlength=len(used)) + DECAY * w, slope.sum())
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad**2 - square)

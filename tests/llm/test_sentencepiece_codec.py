@@ -1,6 +1,7 @@
 """The SentencePiece codec: the trie, the best segmentation by plain dynamic programming, and exact round trips."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -108,3 +109,10 @@ def test_operators(spark, sf_dir):
     assert encode(docs.limit(0)).count() == round_trip(docs.limit(0)).count() == decode(coded.limit(0)).count() == 0
     damaged = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.text for r in decode(damaged).collect()] == ["", ""]
+
+
+def test_markers_take_time_in_proportion():
+    begin = time.perf_counter()
+    text = "x" + MARKER * 100_000
+    assert codec().decode(codec().encode(text)) == text
+    assert time.perf_counter() - begin < 2
