@@ -54,28 +54,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """As :func:`stored`, and the shuffle files of ``df`` go as soon as it is written: nothing reads them again."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         return stored(df, name)
-    finally:
-        conf.set(key, before)
 
 
 @contextmanager
 def bucketed(df: DataFrame, by: str, name: str) -> Iterator[DataFrame]:
     """``df`` as a table of the shared folder whose buckets hold whole values of ``by``; dropped on leaving.
 
-    Writing shuffles nothing: each task adds a file to the buckets of the values it has.  Joins on ``by`` alone read
-    the table bucket by bucket, so only the other side is shuffled.  What is read after leaving must be stored before.
+    Writing shuffles and sorts nothing: each task adds a file to the bucket of its rows, if they have one value.  Joins
+    on ``by`` alone read the table bucket by bucket, so only the other side is shuffled.  What is read after leaving
+    must be stored before.
     """
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     called = f"strata_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(count, by).option("path", fresh_path(spark, name)).saveAsTable(called)
+    # With a file open per bucket, rows need not be sorted by bucket first.
+    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "4"):
+        df.write.format("parquet").bucketBy(count, by).option("path", fresh_path(spark, name)).saveAsTable(called)
     try:
         yield spark.table(called)
     finally:
