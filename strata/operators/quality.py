@@ -197,6 +197,7 @@ def expected_columns(df: DataFrame, expected: list[str], dataset: str) -> DataFr
     """Missing columns fail, extra ones warn.  Reads the schema only, no rows."""
     missing = sorted(set(expected) - set(df.columns))
     extra = sorted(set(df.columns) - set(expected))
+    # Names of the checks, here and in table_checks.
     rows = [(dataset, "expected_columns_exist", "FAILED" if missing else "PASSED", ",".join(missing))]
     if extra:
         rows.append((dataset, "no_extra_columns", "WARNING", ",".join(extra)))
@@ -241,6 +242,7 @@ def table_checks(df: DataFrame, dataset: str, rules: dict[str, dict] | None = No
     graded = lambda bad, limit, p: (
         F.when(~bad, "PASSED").when(p > limit, "FAILED").otherwise("WARNING")
     )
+    # Names of the checks.
     always = [row("non_empty_dataset", F.when(total > 0, "PASSED").otherwise("FAILED"), total)]
     if_rows = [
         row("duplicate_rows", graded(copies > 0, DUPLICATE_ROWS_FAIL_ABOVE, percent(copies, total)), copies),

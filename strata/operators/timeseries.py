@@ -231,35 +231,36 @@ RULES = [
     ("high_null_rate", "data_quality_null_percentage", ">", float(NULL_PERCENT), 0, "warning"),
     ("data_quality_check_failed", "data_quality_check_status", "==", 0.0, 0, "warning"),
 ]
-# The monitoring rules over values derived by the operators above, with the seconds they must hold.
+# The monitoring rules with the names, limits, hold times in seconds and severities they are configured
+# with, for alerts are routed by them; the metrics are values derived by the operators above.
 HELD_RULES = [
-    ("memory_high", "memory_used_percent", ">", 85.0, 300, "critical"),
-    ("cpu_high", "cpu_used_percent", ">", 80.0, 300, "warning"),
-    ("disk_space_low", "disk_free_percent", "<", 15.0, 300, "critical"),
-    ("broker_down", "up_kafka", "==", 0.0, 120, "critical"),
-    ("partitions_under_replicated", "under_replicated_partitions", ">", 0.0, 300, "warning"),
-    ("partitions_offline", "offline_partitions", ">", 0.0, 120, "critical"),
-    ("consumer_lag_high", "consumer_lag", ">", 10_000.0, 600, "warning"),
-    ("batch_master_down", "up_spark_master", "==", 0.0, 120, "critical"),
-    ("batch_worker_down", "up_spark_worker", "==", 0.0, 120, "warning"),
-    ("batch_jobs_failing", "job_failures_per_second", ">", 0.1, 300, "warning"),
-    ("storage_node_offline", "storage_nodes_offline", ">", 0.0, 120, "critical"),
-    ("storage_disk_offline", "storage_disks_offline", ">", 0.0, 120, "critical"),
-    ("storage_nearly_full", "storage_used_percent", ">", 85.0, 300, "warning"),
-    ("relational_store_down", "up_postgres", "==", 0.0, 120, "critical"),
-    ("connections_high", "connections_share", ">", 0.8, 300, "warning"),
-    ("deadlocks", "deadlocks_increase", ">", 0.0, 60, "warning"),
-    ("olap_store_down", "up_clickhouse", "==", 0.0, 120, "critical"),
-    ("olap_queries_slow", "olap_mean_seconds", ">", 10.0, 300, "warning"),
-    ("api_errors_high", "api_error_share", ">", 0.05, 300, "critical"),
-    ("api_latency_high", "api_p95_seconds", ">", 2.0, 300, "warning"),
-    ("api_down", "up_api", "==", 0.0, 120, "critical"),
-    ("quality_check_failed", "data_quality_check_status", "==", 0.0, 300, "warning"),
-    ("null_rate_high", "data_quality_null_percentage", ">", 10.0, 300, "warning"),
-    ("scheduler_down", "up_airflow_scheduler", "==", 0.0, 120, "critical"),
-    ("scheduled_runs_failing", "run_failures_per_second", ">", 0.0, 300, "warning"),
-    ("trace_collector_down", "up_jaeger", "==", 0.0, 120, "warning"),
-    ("traces_dropped", "traces_dropped_per_second", ">", 100.0, 300, "warning"),
+    ("HighMemoryUsage", "memory_used_percent", ">", 85.0, 300, "critical"),
+    ("HighCPUUsage", "cpu_used_percent", ">", 80.0, 300, "warning"),
+    ("DiskSpaceLow", "disk_free_percent", "<", 15.0, 300, "critical"),
+    ("KafkaBrokerDown", "up_kafka", "==", 0.0, 120, "critical"),
+    ("KafkaUnderReplicatedPartitions", "under_replicated_partitions", ">", 0.0, 300, "warning"),
+    ("KafkaOfflinePartitions", "offline_partitions", ">", 0.0, 120, "critical"),
+    ("KafkaConsumerLag", "consumer_lag", ">", 10_000.0, 600, "warning"),
+    ("SparkMasterDown", "up_spark_master", "==", 0.0, 120, "critical"),
+    ("SparkWorkerDown", "up_spark_worker", "==", 0.0, 120, "warning"),
+    ("SparkJobFailureRate", "job_failures_per_second", ">", 0.1, 300, "warning"),
+    ("MinIONodeOffline", "storage_nodes_offline", ">", 0.0, 120, "critical"),
+    ("MinIODiskOffline", "storage_disks_offline", ">", 0.0, 120, "critical"),
+    ("MinIOHighStorageUsage", "storage_used_percent", ">", 85.0, 300, "warning"),
+    ("PostgreSQLDown", "up_postgres", "==", 0.0, 120, "critical"),
+    ("PostgreSQLTooManyConnections", "connections_share", ">", 0.8, 300, "warning"),
+    ("PostgreSQLDeadLocks", "deadlocks_increase", ">", 0.0, 60, "warning"),
+    ("ClickHouseDown", "up_clickhouse", "==", 0.0, 120, "critical"),
+    ("ClickHouseSlowQueries", "olap_mean_seconds", ">", 10.0, 300, "warning"),
+    ("HighAPIErrorRate", "api_error_share", ">", 0.05, 300, "critical"),
+    ("HighAPILatency", "api_p95_seconds", ">", 2.0, 300, "warning"),
+    ("APIDown", "up_api", "==", 0.0, 120, "critical"),
+    ("DataQualityCheckFailed", "data_quality_check_status", "==", 0.0, 300, "warning"),
+    ("HighNullRate", "data_quality_null_percentage", ">", 10.0, 300, "warning"),
+    ("AirflowSchedulerDown", "up_airflow_scheduler", "==", 0.0, 120, "critical"),
+    ("AirflowDAGFailures", "run_failures_per_second", ">", 0.0, 300, "warning"),
+    ("JaegerCollectorDown", "up_jaeger", "==", 0.0, 120, "warning"),
+    ("HighTraceSamplingDropRate", "traces_dropped_per_second", ">", 100.0, 300, "warning"),
 ]
 
 

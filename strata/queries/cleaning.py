@@ -143,10 +143,10 @@ def bronze_partitions(e):
 
 
 SPECS = [
-    {"name": "add_ingestion_date", "type": "timestamp", "column": "timestamp", "target_column": "ingestion_date"},
-    {"name": "lowercase_region", "type": "lower", "column": "region"},
-    {"name": "validate_amount", "type": "filter", "condition": "amount >= 10"},
-    {"name": "round_amount", "type": "round", "column": "amount", "places": 1},
+    {"type": "timestamp", "column": "timestamp", "target_column": "ingestion_date"},
+    {"type": "lower", "column": "region"},
+    {"type": "filter", "condition": "amount >= 10"},
+    {"type": "round", "column": "amount", "places": 1},
 ]
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -14,7 +12,7 @@ from strata.operators import dlq, metadata, quality
 from strata.queries import query
 from strata.queries.cleaning import queue_records
 from strata.queries.entity_sql import using
-from strata.session import shared_dir
+from strata.session import fresh_path
 from strata.sinks import files as file_sinks
 from strata.sinks import layers
 from strata.sources import extract, queue
@@ -22,7 +20,7 @@ from strata.streaming import ingest, stateful
 
 
 def _fresh(e, name: str) -> str:
-    return f"{shared_dir(e.spark).rstrip('/')}/strata-{uuid.uuid4().hex}/{name}"
+    return fresh_path(e.spark, name)
 
 
 # --- extracts and sinks --------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/strata-{uuid.uuid4().hex}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
