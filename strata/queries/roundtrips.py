@@ -16,7 +16,7 @@ from strata.session import fresh_path
 from strata.sinks import files as file_sinks
 from strata.sinks import layers
 from strata.sources import extract, queue
-from strata.streaming import ingest, stateful
+from strata.streaming import counters, ingest, keyed, ledger, stateful
 
 
 def _fresh(e, name: str) -> str:
@@ -241,3 +241,57 @@ def stream_latest_changes(e):
     changes = e.changes().select("key", "op", "ts_ms", "offset")
     out = _written(e, stateful.latest_changes(_stream(e, changes), "key", []), "update")
     return out.groupBy("key").agg(F.max_by("op", F.struct("ts_ms", "offset")).alias("op"))
+
+
+@query("ST8 V1", using("offsets", d="""
+        SELECT *, CASE WHEN value < p THEN value ELSE value - p END AS delta FROM (
+            SELECT *, lag(value) OVER (PARTITION BY topic, instance ORDER BY ts) AS p FROM offsets)""") + f"""
+    SELECT topic, strftime(to_timestamp(floor(epoch(ts) / 300) * 300) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+           round(coalesce(sum(delta), 0) / 300, 9) AS rate FROM d GROUP BY ALL""")
+def stream_rates(e):
+    """Counter samples in any order, every sample once; the rates are those of the samples in order."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = e.spark.conf.get(key)
+    counters.prepare(e.spark)
+    try:
+        stream = _stream(e, e.offsets().select("topic", "instance", "ts", "value"), 3)
+        grown = _written(e, counters.counter_growth(stream, ["topic", "instance"], lateness="60 days"))
+    finally:
+        e.spark.conf.set(key, before)
+    rates = counters.window_rates(grown, ["topic"])
+    return rates.withColumns({"window_start": ts_text("window_start"), "rate": F.round("rate", 9)})
+
+
+@query("J7 ST11", using("changes") + """
+    SELECT key, arg_max(balance, (ts_ms, "offset")) AS balance FROM changes
+    GROUP BY key HAVING arg_max(op, (ts_ms, "offset")) <> 'd'""")
+def stream_keyed_table(e):
+    """Changes that come in any order, applied batch by batch to a table in buckets."""
+    changes = e.changes().select("key", "op", "ts_ms", "offset", "balance")
+    path = _fresh(e, "keyed")
+    keyed.start(_stream(e, changes, 3), path, _fresh(e, "checkpoint"), "key", ["balance"], 16, once=True).awaitTermination()
+    return keyed.current(e.spark, path, "key bigint, balance double")
+
+
+@query("S1 ST1", """
+    WITH read AS (
+      SELECT 'topic_' || (event_id % 5) AS topic, CAST(event_id // 5 % 3 AS INT) AS partition, event_id // 15 AS o FROM events
+    ), ends AS (SELECT topic, partition, max(o) FILTER (WHERE o % 50 <> 17) AS last_read FROM read GROUP BY ALL)
+    SELECT topic, partition, CASE WHEN o % 50 = 17 THEN 'lost' ELSE 'repeated' END AS fault, o AS first, o AS last
+    FROM read JOIN ends USING (topic, partition) WHERE (o % 50 = 17 AND o < last_read) OR (o % 70 = 40 AND o % 50 <> 17)""")
+def stream_offset_faults(e):
+    """Records read in three batches, some of them lost before and some read twice: the ledger names both."""
+    id_ = F.col("event_id")
+    records = e.table("events").select(
+        F.concat(F.lit("topic_"), id_ % 5).alias("topic"), (F.expr("event_id div 5") % 3).cast("int").alias("partition"),
+        F.expr("event_id div 15").alias("offset"),
+    ).where("offset % 50 <> 17")
+    copies = F.when(F.col("offset") % 70 == 40, 2).otherwise(1)
+    path = _fresh(e, "ledger")
+    stream = _stream(e, records.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy"), 3)
+    query = (
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", _fresh(e, "checkpoint"))
+        .foreachBatch(lambda batch, number: ledger.record(batch, number, path)).start()
+    )
+    query.awaitTermination()
+    return ledger.faults(ledger.read(e.spark, path))
