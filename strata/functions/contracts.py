@@ -9,7 +9,8 @@ still known.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,17 @@ class Field:
         return self.path.rpartition(".")[0]
 
 
+@dataclass(frozen=True)
+class OneOf:
+    """An object at ``path`` that must fit exactly one of several lists of rules.
+
+    Paths of the rules count from the object; a path ``items[].name`` speaks of every object of an array.
+    """
+
+    path: str
+    options: tuple[tuple[Field, ...], ...]
+
+
 # Texts that the named formats allow.
 FORMATS = {
     "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})?$",
@@ -105,6 +117,45 @@ EXTERNAL = [
     Field("timestamp", "string", True, format="date-time"),
     Field("data", "object", True),
 ]
+# The payloads of external records, by the kind of data: weather, places, social posts.
+EXTERNAL_DATA = OneOf(
+    "data",
+    (
+        (
+            Field("current", "object"),
+            Field("current.temp", "number"),
+            Field("current.feels_like", "number"),
+            Field("current.humidity", "integer", minimum=0, maximum=100),
+            Field("current.pressure", "integer"),
+            Field("current.wind_speed", "number", minimum=0),
+            Field("current.weather", "string"),
+            Field("current.icon", "string"),
+            Field("forecast", "array"),
+            Field("forecast[].date", "string", format="date"),
+            Field("forecast[].temp_min", "number"),
+            Field("forecast[].temp_max", "number"),
+            Field("forecast[].precipitation", "number", minimum=0),
+            Field("forecast[].weather", "string"),
+        ),
+        (
+            Field("place_id", "string"),
+            Field("name", "string"),
+            Field("category", "string"),
+            Field("rating", "number", minimum=0, maximum=5),
+            Field("address", "string"),
+        ),
+        (
+            Field("post_id", "string"),
+            Field("author", "string"),
+            Field("text", "string"),
+            Field("sentiment", "string", enum=("positive", "neutral", "negative")),
+            Field("engagement", "object"),
+            Field("engagement.likes", "integer", minimum=0),
+            Field("engagement.shares", "integer", minimum=0),
+            Field("engagement.comments", "integer", minimum=0),
+        ),
+    ),
+)
 # JSON type name -> first words of the variant types it may be stored as.
 VARIANT_TYPES = {
     "string": ["STRING"],
@@ -119,6 +170,8 @@ VARIANT_TYPES = {
 def from_json_schema(schema: dict, prefix: str = "") -> list[Field]:
     required = set(schema.get("required", []))
     fields = []
+    if isinstance(schema.get("items"), dict):
+        fields += from_json_schema(schema["items"], prefix[:-1] + "[].")
     for name, rule in schema.get("properties", {}).items():
         types = rule.get("type")
         types = [types] if isinstance(types, str) else list(types or [])
@@ -141,6 +194,16 @@ def from_json_schema(schema: dict, prefix: str = "") -> list[Field]:
     return fields
 
 
+def alternatives(schema: dict, prefix: str = "") -> list[OneOf]:
+    """The ``oneOf`` alternatives of a JSON Schema's objects, at any depth of objects."""
+    found = []
+    for name, rule in schema.get("properties", {}).items():
+        if "oneOf" in rule:
+            found.append(OneOf(prefix + name, tuple(tuple(from_json_schema(option)) for option in rule["oneOf"])))
+        found += alternatives(rule, f"{prefix}{name}.")
+    return found
+
+
 def from_avro(schema: dict) -> list[Field]:
     """Avro record fields; those with a default are optional."""
     return [Field(f["name"], required="default" not in f) for f in schema["fields"]]
@@ -166,10 +229,11 @@ def is_type(kind: Column, name: str) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def _code(i: int, f: Field, parent: Column | None) -> Column | None:
-    """The first rule of a field that is broken, over the staged columns; null when all hold.
-    A nested field is required only when its parent is there."""
-    kind, text, number = F.col(f"_kind_{i}"), F.col(f"_text_{i}"), F.col(f"_number_{i}")
+def _rules(f: Field, kind: Column, text: Column, number: Column, parent: Column | None) -> list[tuple[Column, str]]:
+    """(broken, name) of the rules of a field, given its variant type, text and number.
+
+    A nested field is required only when its parent is there.
+    """
     rules: list[tuple[Column, str]] = []
     if f.required:
         absent = kind.isNull()
@@ -190,18 +254,61 @@ def _code(i: int, f: Field, parent: Column | None) -> Column | None:
         rules.append((number < f.minimum, "minimum"))
     if f.maximum is not None:
         rules.append((number > f.maximum, "maximum"))
+    return rules
+
+
+def _code(i: int, f: Field, parent: Column | None) -> Column | None:
+    """The first rule of a field that is broken, over the staged columns; null when all hold."""
     code = None
-    for broken, name in rules:
+    for broken, name in _rules(f, F.col(f"_kind_{i}"), F.col(f"_text_{i}"), F.col(f"_number_{i}"), parent):
         label = f"{name}:{f.path}"
         code = F.when(broken, label) if code is None else code.when(broken, label)
     return code
 
 
-def validate(df: DataFrame, column: str, contract: list[Field]) -> DataFrame:
-    """``errors``, the first broken rule of each field in contract order, and ``is_valid`` beside the JSON text in
-    ``column``.  The text is parsed once and every field looked up once; the rules then compare
-    plain columns."""
+def _item_breaks(fields: tuple[Field, ...]) -> Callable[[Column], Column]:
+    def broken(item: Column) -> Column:
+        kind = F.schema_of_variant(item)
+        return (kind != "VOID") & (~kind.startswith("OBJECT") | _breaks(item, fields))
+
+    return broken
+
+
+def _breaks(value: Column, fields: tuple[Field, ...]) -> Column:
+    """Whether a variant object breaks any of the rules; those of array items are looked at item by item."""
+    broken = F.lit(False)
+    arrays = {f.path.partition("[].")[0] for f in fields if "[]." in f.path}
+    for f in fields:
+        if "[]." in f.path:
+            continue
+        at = "$." + f.path
+        kind = F.schema_of_variant(F.variant_get(value, at, "variant"))
+        parent = F.schema_of_variant(F.variant_get(value, "$." + f.parent, "variant")) if f.parent else None
+        rules = _rules(f, kind, F.try_variant_get(value, at, "string"), F.try_variant_get(value, at, "double"), parent)
+        for rule, _ in rules:
+            broken = broken | F.coalesce(rule, F.lit(False))
+    for array in sorted(arrays):
+        head = array + "[]."
+        mine = tuple(replace(f, path=f.path.removeprefix(head)) for f in fields if f.path.startswith(head))
+        items = F.try_variant_get(value, "$." + array, "array<variant>")
+        broken = broken | F.coalesce(F.exists(items, _item_breaks(mine)), F.lit(False))
+    return broken
+
+
+def _alternative_code(record: Column, choice: OneOf) -> Column:
+    """``none:path`` where no alternative fits, ``several:path`` where more than one does; null if the object is absent."""
+    value = F.variant_get(record, "$." + choice.path, "variant")
+    fits = reduce(lambda a, b: a + b, [(~_breaks(value, option)).cast("int") for option in choice.options])
+    an_object = F.schema_of_variant(value).startswith("OBJECT")
+    return F.when(an_object & (fits == 0), f"none:{choice.path}").when(an_object & (fits > 1), f"several:{choice.path}")
+
+
+def validate(df: DataFrame, column: str, contract: list[Field], choices: list[OneOf] = []) -> DataFrame:
+    """``errors``, the first broken rule of each field in contract order, then the choices that no or several
+    alternatives fit, and ``is_valid`` beside the JSON text in ``column``.  The text is parsed once and every field
+    looked up once; the rules then compare plain columns."""
     record = F.col("_record")
+    contract = [f for f in contract if "[]." not in f.path]
     looked_up = {}
     for i, f in enumerate(contract):
         looked_up[f"_kind_{i}"] = F.schema_of_variant(F.variant_get(record, "$." + f.path, "variant"))
@@ -213,6 +320,7 @@ def validate(df: DataFrame, column: str, contract: list[Field]) -> DataFrame:
     paths = {f.path: i for i, f in enumerate(contract)}
     parent = lambda f: F.col(f"_kind_{paths[f.parent]}") if f.parent else None
     codes = [_code(i, f, parent(f)) for i, f in enumerate(contract)]
+    codes += [_alternative_code(record, choice) for choice in choices]
     unreadable = F.array(F.lit("unreadable"))
     errors = F.when(record.isNull(), unreadable).otherwise(code_list(*[c for c in codes if c is not None]))
     checked = computed_once(staged, errors=errors).select(*df.columns, "errors")

@@ -7,13 +7,14 @@ the table, whatever the number of checks and columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strata.functions.columns import blank, count_of, epoch, percent
-from strata.functions.contracts import is_type
+from strata.functions.contracts import Field, is_type
 
 # Pass marks of the checks, in percent.
 COMPLETENESS_AT_LEAST = 95.0
@@ -402,3 +403,50 @@ def observed_drift(df: DataFrame, payload: str, expected: list[str]) -> DataFram
     )
     kind = F.when(~F.col("field").isin(expected), "added").when(F.col("seen") == 0, "absent").otherwise("expected")
     return counts.select("field", "seen", kind.alias("state"))
+
+
+def observed_types(df: DataFrame, payload: str, depth: int = 2) -> DataFrame:
+    """(path, type, seen): how often each JSON type was sent under each key of the payload text, down to ``depth``.
+
+    Integers and other numbers are types of their own.  Counts are formed in each task before the shuffle.
+    """
+    spark = df.sparkSession
+    level = df.select(F.lit("").alias("path"), F.try_parse_json(payload).alias("value")).where("value IS NOT NULL")
+    found = []
+    for _ in range(depth):
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select("key", F.col("value").alias("inner")))
+        level = inner.where("key IS NOT NULL").select(
+            F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "key").alias("path"), F.col("inner").alias("value")
+        )
+        found.append(level.select("path", json_type(F.schema_of_variant("value")).alias("type")))
+    return reduce(DataFrame.unionByName, found).groupBy("path", "type").agg(F.count(F.lit(1)).alias("seen"))
+
+
+def json_type(kind: Column) -> Column:
+    """The JSON type of a variant's type; null for null."""
+    out = F.when(is_type(kind, "integer"), "integer")
+    for name in ("number", "string", "boolean", "object", "array"):
+        out = out.when(is_type(kind, name), name)
+    return out.otherwise("null")
+
+
+def type_drift(df: DataFrame, payload: str, contract: list[Field], depth: int = 2) -> DataFrame:
+    """(path, expected, type, seen, state): what the payloads hold against what the contract says.
+
+    ``added`` keys are not in the contract, ``missing`` ones in no payload, ``retyped`` ones come with another type;
+    integers are numbers, and null is no type of its own where the contract allows it.
+    """
+    wanted = [(f.path, f.type, f.nullable) for f in contract if "[]" not in f.path and f.path.count(".") < depth]
+    known = df.sparkSession.createDataFrame(wanted, "path string, expected string, nullable boolean")
+    seen = observed_types(df, payload, depth)
+    fits = (
+        F.col("expected").isNull() | (F.col("type") == F.col("expected"))
+        | ((F.col("expected") == "number") & (F.col("type") == "integer")) | (F.col("nullable") & (F.col("type") == "null"))
+    )
+    state = (
+        F.when(F.col("nullable").isNull(), "added").when(F.col("type").isNull(), "missing")
+        .when(fits, "expected").otherwise("retyped")
+    )
+    return seen.join(known, "path", "full_outer").select(
+        "path", "expected", "type", F.coalesce("seen", F.lit(0)).cast("bigint").alias("seen"), state.alias("state")
+    )

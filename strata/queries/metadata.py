@@ -108,6 +108,30 @@ def lineage_edges(e):
     return metadata.lineage_edges(lineage_events(e))
 
 
+_ONWARD = """, y AS (
+        SELECT from_layer, from_table, to_layer, to_table FROM x
+        UNION SELECT 'silver', to_table, 'gold', 'summary_' || (length(to_table) % 3) FROM x
+        UNION SELECT 'gold', 'summary_' || (length(to_table) % 3), 'serving', 'report' FROM x),
+    reach AS (SELECT *, 1 AS depth FROM y UNION
+        SELECT r.from_layer, r.from_table, y.to_layer, y.to_table, depth + 1 FROM reach r
+        JOIN y ON y.from_layer = r.to_layer AND y.from_table = r.to_table)
+    SELECT from_layer, from_table, to_layer, to_table, min(depth) AS depth FROM reach GROUP BY ALL"""
+
+
+@query("M3 J8 M2", _EDGES.replace("WITH g", "WITH RECURSIVE g") + _ONWARD)
+def lineage_closure(e):
+    """All that each table of the transformations feeds, over three layers."""
+    edges = metadata.lineage_edges(lineage_events(e)).drop("job_name")
+    gold = F.concat(F.lit("summary_"), F.length("to_table") % 3)
+    onward = edges.select(
+        F.explode(F.array(
+            F.struct(F.lit("silver").alias("from_layer"), F.col("to_table").alias("from_table"), F.lit("gold").alias("to_layer"), gold.alias("to_table")),
+            F.struct(F.lit("gold").alias("from_layer"), gold.alias("from_table"), F.lit("serving").alias("to_layer"), F.lit("report").alias("to_table")),
+        )).alias("edge")
+    ).select("edge.*").distinct()
+    return metadata.lineage_closure(edges.unionByName(onward))
+
+
 @query("M2", _EDGES + 'SELECT from_layer AS layer, from_table AS "table" FROM x UNION SELECT to_layer, to_table FROM x')
 def lineage_graph_nodes(e):
     return metadata.lineage_graph_nodes(metadata.lineage_edges(lineage_events(e)))

@@ -281,3 +281,46 @@ def dead_letter_stats(e):
     SELECT CASE WHEN retries >= 3 THEN 'skipped' ELSE 'retried' END AS outcome, count(*) AS messages FROM bad GROUP BY ALL""")
 def dead_letter_replay(e):
     return dlq.replay_stats(dlq.replay(dead_letters(e)))
+
+
+_DRIFT = [f for f in contracts.APP_EVENT if f.path not in ("amount", "location.country", "location")] + [contracts.Field("location", "string")]
+
+
+@query("Q14", """
+    WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 13 = 0) AS t, count(*) FILTER (WHERE event_id % 11 <> 0) AS o FROM events),
+    seen AS (
+      SELECT unnest(['event_id', 'session_id', 'event_type', 'timestamp', 'device', 'device.type']) AS path,
+             unnest(['string', 'string', 'string', 'string', 'object', 'string']) AS expected, n AS seen, 'expected' AS state FROM n
+      UNION ALL SELECT 'user_id', 'integer', n - t, 'expected' FROM n UNION ALL SELECT 'user_id', 'integer', t, 'retyped' FROM n
+      UNION ALL SELECT 'device.os', 'string', o, 'expected' FROM n
+      UNION ALL SELECT 'location', 'string', n, 'retyped' FROM n UNION ALL SELECT 'location.country', NULL, n, 'added' FROM n
+      UNION ALL SELECT 'amount', NULL, n, 'added' FROM n
+      UNION ALL SELECT unnest(['action', 'tour_id', 'device.version', 'device.browser', 'location.city', 'location.region', 'location.latitude', 'location.longitude', 'metadata']),
+                unnest(['string', 'string', 'string', 'string', 'string', 'string', 'number', 'number', 'object']), 0, 'missing' FROM n)
+    SELECT path, expected, CAST(seen AS BIGINT) AS seen, state FROM seen""")
+def payload_types(e):
+    """The JSON events against a contract that knows no amount and no country, and a location sent as text."""
+    found = quality.type_drift(json_events(e), "json", _DRIFT)
+    return found.groupBy("path", "expected", "state").agg(F.sum("seen").alias("seen"))
+
+
+@query("Q10 P19 P20", """
+    SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN '' WHEN event_id % 7 = 3 THEN 'several:data'
+                          WHEN event_id % 7 = 4 THEN 'none:data' WHEN event_id % 7 = 5 THEN 'none:data' ELSE 'missing:data' END AS errors FROM events""")
+def external_record_errors(e):
+    """External records whose data is a forecast, a place, a post, none of them by a wrong item, or any of them."""
+    n = F.col("event_id") % 7
+    data = (
+        F.when(n == 0, '{"current":{"temp":21.5,"humidity":"wet"},"place_id":7,"post_id":"p","sentiment":"neutral"}')
+        .when(n == 1, '{"current":"warm","place_id":"x","rating":4.5,"sentiment":"angry"}')
+        .when(n == 2, '{"forecast":[{"date":"2024-01-01","temp_min":1},{"date":"2024-01-02"}],"rating":9,"engagement":{"likes":-1}}')
+        .when(n == 3, '{"anything":1}')
+        .when(n == 4, '{"forecast":[{"date":"2024-01-01"},{"date":"soon"}],"rating":9,"engagement":{"likes":-1}}')
+        .when(n == 5, '{"current":{"humidity":101},"name":1,"text":2}')
+    )
+    text = F.concat(
+        F.lit('{"source":"openweather","data_type":"weather","timestamp":"'), ts_text("ts"), F.lit('"'),
+        F.coalesce(F.concat(F.lit(',"data":'), data), F.lit("")), F.lit("}"),
+    )
+    checked = contracts.validate(e.table("events").select("event_id", text.alias("json")), "json", contracts.EXTERNAL, [contracts.EXTERNAL_DATA])
+    return checked.select("event_id", F.array_join("errors", ",").alias("errors"))
