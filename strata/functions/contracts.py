@@ -9,7 +9,7 @@ still known.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -295,12 +295,49 @@ def _breaks(value: Column, fields: tuple[Field, ...]) -> Column:
     return broken
 
 
-def _alternative_code(record: Column, choice: OneOf) -> Column:
-    """``none:path`` where no alternative fits, ``several:path`` where more than one does; null if the object is absent."""
-    value = F.variant_get(record, "$." + choice.path, "variant")
-    fits = reduce(lambda a, b: a + b, [(~_breaks(value, option)).cast("int") for option in choice.options])
-    an_object = F.schema_of_variant(value).startswith("OBJECT")
-    return F.when(an_object & (fits == 0), f"none:{choice.path}").when(an_object & (fits > 1), f"several:{choice.path}")
+def _looked_up(value: Column, fields: Sequence[Field], name: str) -> dict[str, Column]:
+    """Type, text and number of each field of a variant, as far as its rules read them."""
+    found = {}
+    for i, f in enumerate(fields):
+        found[f"_kind_{name}{i}"] = F.schema_of_variant(F.variant_get(value, "$." + f.path, "variant"))
+        if f.enum or f.pattern or f.format:
+            found[f"_text_{name}{i}"] = F.try_variant_get(value, "$." + f.path, "string")
+        if f.minimum is not None or f.maximum is not None:
+            found[f"_number_{name}{i}"] = F.try_variant_get(value, "$." + f.path, "double")
+    return found
+
+
+def _parent(f: Field, paths: dict[str, int], name: str) -> Column | None:
+    return F.col(f"_kind_{name}{paths[f.parent]}") if f.parent else None
+
+
+def _option_breaks(value: Column, option: tuple[Field, ...], name: str) -> Column:
+    """Whether an alternative's rules are broken, over the staged columns and, for items, the object itself."""
+    plain = [f for f in option if "[]." not in f.path]
+    paths = {f.path: i for i, f in enumerate(plain)}
+    rules = [
+        rule
+        for i, f in enumerate(plain)
+        for rule, _ in _rules(f, *(F.col(f"_{k}_{name}{i}") for k in ("kind", "text", "number")), _parent(f, paths, name))
+    ]
+    of_items = tuple(f for f in option if "[]." in f.path)
+    broken = _breaks(value, of_items) if of_items else F.lit(False)
+    return reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), rules, broken)
+
+
+def _with_choice(df: DataFrame, record: Column, choice: OneOf, name: str) -> tuple[DataFrame, Column]:
+    """Adds what the alternatives read, and gives the code: ``none:path`` where none fits, ``several:path`` where more
+    than one does, null if one fits or the object is absent."""
+    value = F.col(f"_choice_{name}")
+    staged = df.withColumn(f"_choice_{name}", F.variant_get(record, "$." + choice.path, "variant"))
+    columns = {f"_kind_{name}": F.schema_of_variant(value)}
+    for o, option in enumerate(choice.options):
+        columns |= _looked_up(value, [f for f in option if "[]." not in f.path], f"{name}_{o}_")
+    broken = [_option_breaks(value, option, f"{name}_{o}_") for o, option in enumerate(choice.options)]
+    fits = reduce(lambda a, b: a + b, [(~x).cast("int") for x in broken])
+    staged = staged.withColumns(columns).withColumn(f"_fits_{name}", F.when(F.col(f"_kind_{name}").startswith("OBJECT"), fits))
+    fits = F.col(f"_fits_{name}")
+    return staged, F.when(fits == 0, f"none:{choice.path}").when(fits > 1, f"several:{choice.path}")
 
 
 def validate(df: DataFrame, column: str, contract: list[Field], choices: list[OneOf] = []) -> DataFrame:
@@ -309,18 +346,12 @@ def validate(df: DataFrame, column: str, contract: list[Field], choices: list[On
     looked up once; the rules then compare plain columns."""
     record = F.col("_record")
     contract = [f for f in contract if "[]." not in f.path]
-    looked_up = {}
-    for i, f in enumerate(contract):
-        looked_up[f"_kind_{i}"] = F.schema_of_variant(F.variant_get(record, "$." + f.path, "variant"))
-        if f.enum or f.pattern or f.format:
-            looked_up[f"_text_{i}"] = F.try_variant_get(record, "$." + f.path, "string")
-        if f.minimum is not None or f.maximum is not None:
-            looked_up[f"_number_{i}"] = F.try_variant_get(record, "$." + f.path, "double")
-    staged = df.withColumn("_record", F.try_parse_json(column)).withColumns(looked_up)
+    staged = df.withColumn("_record", F.try_parse_json(column)).withColumns(_looked_up(record, contract, ""))
     paths = {f.path: i for i, f in enumerate(contract)}
-    parent = lambda f: F.col(f"_kind_{paths[f.parent]}") if f.parent else None
-    codes = [_code(i, f, parent(f)) for i, f in enumerate(contract)]
-    codes += [_alternative_code(record, choice) for choice in choices]
+    codes = [_code(i, f, _parent(f, paths, "")) for i, f in enumerate(contract)]
+    for i, choice in enumerate(choices):
+        staged, code = _with_choice(staged, record, choice, f"c{i}")
+        codes.append(code)
     unreadable = F.array(F.lit("unreadable"))
     errors = F.when(record.isNull(), unreadable).otherwise(code_list(*[c for c in codes if c is not None]))
     checked = computed_once(staged, errors=errors).select(*df.columns, "errors")
