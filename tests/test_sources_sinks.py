@@ -106,19 +106,51 @@ def test_publish_replaces_the_day_and_survives_a_failing_table(spark):
         "nested": spark.createDataFrame([([1, 2], "2024-01-01")], "v array<int>, processing_date string"),
     }
 
-    def clear(_, options, date):
+    def stage(df, options):
         if options["dbtable"] == "bad":
             raise RuntimeError("refused")
-        store[options["dbtable"]] = [r for r in store.get(options["dbtable"], []) if r[1] != date]
+        staged[options["dbtable"]] = [tuple(r) for r in df.collect()]
 
-    append = lambda df, options: store.setdefault(options["dbtable"], []).extend(tuple(r) for r in df.collect())
+    def swap(_, options, date):
+        table = options["dbtable"]
+        store[table] = [r for r in store.get(table, []) if r[1] != date] + staged.pop(table)
+
+    staged: dict[str, list] = {}
     target = lambda t: publish.jdbc_writer_options("u", "d", "x", "y", t)
     for _ in range(2):
         result = publish.publish_day(
-            spark, lambda t: frames.get(t, frames["good"]), target, "2024-01-01", ["bad", "good", "empty", "nested"], clear, append
+            spark, lambda t: frames.get(t, frames["good"]), target, "2024-01-01", ["bad", "good", "empty", "nested"], stage, swap
         )
-    assert {r.table: r.status for r in result.collect()} == {"bad": "failed", "good": "published", "empty": "skipped", "nested": "published"}
+    assert {r.table: (r.status, r.rows) for r in result.collect()} == {
+        "bad": ("failed", None), "good": ("published", 1), "empty": ("skipped", 0), "nested": ("published", 1),
+    }
     assert store == {"good": [(1, "2024-01-01")], "nested": [("[1,2]", "2024-01-01")]}
+    assert publish.staging(target("t"))["dbtable"] == "t__staged"
+
+
+def test_a_failing_publisher_leaves_the_old_day_readable(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS published_days")
+    spark.sql("CREATE TABLE published_days (v int, processing_date string) USING parquet PARTITIONED BY (processing_date)")
+    days = lambda: sorted(map(tuple, spark.table("published_days").select("v", "processing_date").collect()))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "v int, processing_date string")
+    target = lambda t: publish.catalog_options(t, str(tmp_path))
+    send = lambda df, swap=publish.swap_folder: publish.publish_day(
+        spark, lambda _: df, target, "2024-01-01", ["published_days"], publish.stage_folder, swap
+    ).first()
+    assert send(frame((1, "2024-01-01"), (2, "2024-01-01"), (9, "2024-01-02"))).rows == 2
+    assert days() == [(1, "2024-01-01"), (2, "2024-01-01")]
+
+    def fails(*_):
+        raise RuntimeError("stopped between writing and swapping")
+
+    assert send(frame((5, "2024-01-01")), fails).status == "failed"
+    assert days() == [(1, "2024-01-01"), (2, "2024-01-01")]
+    broken = frame((6, "2024-01-01")).withColumn("v", F.expr("if(v = 6, raise_error('half way'), v)").cast("int"))
+    assert send(broken).status == "failed"
+    assert days() == [(1, "2024-01-01"), (2, "2024-01-01")]
+    assert send(frame((7, "2024-01-01"))).status == "published" and days() == [(7, "2024-01-01")]
+    assert send(frame((8, "2024-01-03"))).status == "skipped" and days() == [(7, "2024-01-01")]
+    spark.sql("DROP TABLE published_days")
 
 
 def test_messages_round_trip(spark, tmp_path):
