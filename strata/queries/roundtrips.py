@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date, datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -14,9 +18,11 @@ from strata.queries.cleaning import queue_records
 from strata.queries.entity_sql import using
 from strata.session import fresh_path
 from strata.sinks import files as file_sinks
-from strata.sinks import layers
+from strata.plans.tracking import tracked
+from strata.sinks import layers, publish, retention
 from strata.sources import extract, queue
 from strata.streaming import counters, ingest, keyed, ledger, stateful
+from strata.streaming.monitor import ProgressSamples
 
 
 def _fresh(e, name: str) -> str:
@@ -88,7 +94,7 @@ def exported_results(e):
     return parts[0].unionByName(parts[1])
 
 
-@query("K10 M6 M4", using("source_executions") + """
+@query("K10 M6", using("source_executions") + """
     SELECT 'records_processed_total{job="' || source_id || '",status="' || lower(status) || '"}' AS series,
            count(*) AS samples, CAST(sum(extracted_record_count) AS DOUBLE) AS total
     FROM source_executions WHERE extracted_record_count IS NOT NULL GROUP BY ALL""")
@@ -136,6 +142,115 @@ def gated_rows(e):
     raise AssertionError("the gate let an absent column pass")
 
 
+@query("K4", using("app_events") + """
+    SELECT event_id, event_type, processing_date FROM app_events
+    WHERE (processing_date = '2024-01-10' AND event_type = 'click') OR processing_date = '2024-01-11'""")
+def published_days(e):
+    """Two days published to a catalog table, one of them again with its clicks only."""
+    table = f"strata_published_{uuid.uuid4().hex}"
+    rows = e.app_events().select("event_id", "event_type", "processing_date")
+    location, kept = _fresh(e, "published"), _fresh(e, "table")
+    e.spark.sql(f"CREATE TABLE {table} (event_id bigint, event_type string, processing_date string) USING parquet PARTITIONED BY (processing_date)")
+    try:
+        for source, day in ((rows, "2024-01-10"), (rows, "2024-01-11"), (rows.where("event_type = 'click'"), "2024-01-10")):
+            target = lambda name: publish.catalog_options(name, location)
+            status = publish.publish_day(e.spark, lambda _: source, target, day, [table], publish.stage_folder, publish.swap_folder)
+            if status.where("status = 'failed'").count():
+                raise ValueError(status.first()["error"])
+        e.spark.table(table).write.parquet(kept)
+    finally:
+        e.spark.sql(f"DROP TABLE {table}")
+    return e.spark.read.schema("event_id bigint, event_type string, processing_date string").parquet(kept)
+
+
+@query("P15", """
+    SELECT CASE WHEN m < DATE '2001-01-01' - INTERVAL 365 DAY THEN 'archived' ELSE 'active' END AS state, count(*) AS bookings
+    FROM (SELECT date_trunc('month', o_orderdate)::DATE AS m FROM orders) WHERE m >= DATE '2001-01-01' - INTERVAL 730 DAY GROUP BY ALL""")
+def retained_bookings(e):
+    """Bookings in a folder per month; what is older than a year moves to the archive, older than two years it goes."""
+    path, archive = _fresh(e, "bookings"), _fresh(e, "archive")
+    month = F.trunc(F.to_date("created_at"), "month").cast("string")
+    layers.write_path(e.bookings().select("booking_id", month.alias("month")), path, ["month"])
+    retention.apply(e.spark, path, archive, "month", date(2001, 1, 1), 365, 730)
+    read = lambda folder, state: e.spark.read.schema("booking_id bigint, month string").parquet(folder).select(F.lit(state).alias("state"))
+    return read(path, "active").unionByName(read(archive, "archived")).groupBy("state").agg(F.count("*").alias("bookings"))
+
+
+@query("T1", using("app_events") + """
+    SELECT region, processing_date, count(*) AS events FROM app_events
+    WHERE event_type IN ('click', 'booking') GROUP BY ALL""")
+def appended_rows(e):
+    """Clicks written by day, then bookings added to the same days."""
+    rows = e.app_events().select("event_id", "event_type", "region", "processing_date")
+    path = _fresh(e, "appended")
+    layers.write_path(rows.where("event_type = 'click'"), path, ["processing_date"])
+    layers.append_rows(rows.where("event_type = 'booking'"), path, ["processing_date"])
+    back = e.spark.read.schema(rows.schema).parquet(path)
+    return back.groupBy("region", "processing_date").agg(F.count("*").alias("events"))
+
+
+@query("K5 K6", using("app_events") + """
+    SELECT 'topic_' || event_type AS topic, region, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS ids FROM app_events GROUP BY ALL""")
+def topic_messages(e):
+    """Events as enveloped messages in the files of their topics, read back."""
+    events = e.app_events().select("event_id", "event_type", "region")
+    path = _fresh(e, "topics")
+    sent = publish.records(events, "topic_any", "src", "Events", F.lit("2024-01-01T00:00:00"))
+    topic = F.concat(F.lit("topic_"), F.get_json_object("value", "$.data.event_type"))
+    publish.to_files(sent.withColumn("topic", topic), path)
+    back = e.spark.read.schema("value string, topic string").text(path)
+    field = lambda name: F.get_json_object("value", f"$.data.{name}")
+    return back.groupBy("topic", field("region").alias("region")).agg(
+        F.count("*").alias("messages"), F.sum(field("event_id").cast("bigint")).alias("ids")
+    )
+
+
+@query("M4", using("pipeline_runs") + """
+    SELECT dag_id AS pipeline, count(*) AS extracted, count(*) FILTER (WHERE status <> 'FAILED') AS validated,
+           CASE WHEN dag_id = '1-URGENT' THEN 'FAILED' ELSE 'SUCCESS' END AS status
+    FROM pipeline_runs GROUP BY dag_id""")
+def tracked_runs(e):
+    """A tracked run per pipeline that reports what it read; one of them fails at its end and is on record all the same."""
+    audit = _fresh(e, "audit")
+    counted = e.pipeline_runs().groupBy("dag_id").agg(
+        F.count("*").alias("extracted"), F.count(F.when(F.col("status") != "FAILED", 1)).alias("validated")
+    )
+    # One row per pipeline.
+    for row in counted.collect():
+        try:
+            with tracked(e.spark, audit, row.dag_id, row.dag_id) as run:
+                run.source(row.dag_id, row.extracted, row.validated)
+                if row.dag_id == "1-URGENT":
+                    raise RuntimeError("stopped")
+        except RuntimeError:
+            continue
+    runs = e.spark.read.schema(schemas.PIPELINE_RUN).parquet(f"{audit}/pipeline_runs").select(F.col("run_id").alias("pipeline_run_id"), "status")
+    sources = e.spark.read.schema(schemas.SOURCE_EXECUTION).parquet(f"{audit}/source_executions")
+    return sources.join(runs.withColumnRenamed("status", "run_status"), "pipeline_run_id").select(
+        F.col("source_id").alias("pipeline"), F.col("extracted_record_count").alias("extracted"),
+        F.col("validated_record_count").alias("validated"), F.col("run_status").alias("status"),
+    )
+
+
+@query("M1 M7", using("app_events") + """
+    SELECT 'events_' || lower(region) AS dataset, 'silver' AS layer, count(*) FILTER (WHERE processing_date = '2024-01-12') AS rows,
+           'success' AS status, 'parquet' AS format FROM app_events WHERE processing_date IN ('2024-01-11', '2024-01-12') GROUP BY region""")
+def catalogued_loads(e):
+    """A lineage event per load of a region's table on two days; the catalogue names the last one."""
+    days = e.app_events().where("processing_date IN ('2024-01-11', '2024-01-12')").groupBy("region", "processing_date").count()
+    events = [
+        # One row per region and day.
+        metadata.lineage_event(
+            e.spark, "transformation", datetime.fromisoformat(r.processing_date), job_name="load", row_count_in=r["count"], row_count_out=r["count"],
+            destination={"layer": "silver", "table": f"events_{r.region.lower()}"},
+        )
+        for r in days.collect()
+    ]
+    path = _fresh(e, "lineage")
+    reduce(DataFrame.unionByName, events).coalesce(1).write.parquet(path)
+    return metadata.dataset_catalog(e.spark.read.schema(schemas.LINEAGE_EVENT).parquet(path)).drop("last_sync")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
@@ -295,3 +410,17 @@ def stream_offset_faults(e):
     )
     query.awaitTermination()
     return ledger.faults(ledger.read(e.spark, path))
+
+
+@query("ST4", "SELECT 'stream_input_rows' AS name, CAST(count(*) AS DOUBLE) AS total FROM events")
+def stream_progress(e):
+    """The rows of a stream as its progress samples count them."""
+    log = ProgressSamples(e.spark, _fresh(e, "metrics"))
+    e.spark.streams.addListener(log)
+    try:
+        _written(e, _stream(e, _events(e)))
+        # Progress events come after their batches; removing the listener does not wait for them.
+        e.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        e.spark.streams.removeListener(log)
+    return log.samples().where("name = 'stream_input_rows'").groupBy("name").agg(F.sum("value").alias("total"))

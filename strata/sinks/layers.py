@@ -23,6 +23,11 @@ def write_path(df: DataFrame, path: str, partition_by: list[str], order_by: list
     )
 
 
+def append_rows(df: DataFrame, path: str, partition_by: list[str], order_by: list[str] = []) -> None:
+    """Adds rows to the partitions of ``df``; a job that runs again adds them again, so reruns use :func:`replace_day`."""
+    _arranged(df, partition_by, order_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def replace_day(
     df: DataFrame, path: str, day_column: str, day: str, partition_by: list[str] = [], order_by: list[str] = []
 ) -> None:
