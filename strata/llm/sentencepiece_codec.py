@@ -145,9 +145,11 @@ class Pieces:
                 continue
             lead = data[at]
             after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            while ahead and ahead[-1] < at:
-                ahead.pop()
-            limit = ahead[-1] if ahead else n
+            limit = n
+            if ahead:
+                while ahead and ahead[-1] < at:
+                    ahead.pop()
+                limit = ahead[-1] if ahead else n
             single = False
             state, stop = 0, at
             while stop < limit:
