@@ -51,6 +51,8 @@ def search(df: DataFrame, key: str, fields: dict[str, float], query: str, size:
     return scored.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(size)
 
 
+# Bytes of a row group of the index.
+GROUP_BYTES = 8 << 20
 POSTING = "term string, field string, {key}, tf bigint"
 TERM = "term string, field string, df bigint"
 
@@ -69,17 +71,17 @@ def postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def write_index(df: DataFrame, key: str, fields: list[str], path: str) -> None:
-    """Writes the inverted index of ``df`` once: postings in the order of (term, key), document frequencies, row count.
+    """Writes the inverted index of ``df`` once: postings in the order of terms, document frequencies, row count.
 
-    Postings lie in ranges of (term, key), so a term that most rows hold fills several files, and statistics of files
-    and row groups name few terms: a search opens the groups of its terms and no others.
+    The shuffle that counts terms per row also deals them out to the files, so a term that most rows hold lies in all
+    of them and in no task alone.  Each file is sorted by term, and statistics of its row groups and pages name few
+    terms: a search opens those of its terms and no others.
     """
     rows = postings(df, key, fields)
-    order = ["term", key, "field"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    rows.sortWithinPartitions("term", key).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     written = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings")
     terms = written.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
     df.agg(F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/rows")
 
 
