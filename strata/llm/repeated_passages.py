@@ -11,8 +11,8 @@ bytes (the start of a segment differs from everything) is a maximal repeat; it i
 just neighbours.  Repeats are maximal within their segments: one that runs on through the next segment comes as
 groups that overlap there, and :func:`repeated_spans` puts them together.
 
-Buckets with more than ``CROWD`` classes are not sorted in one task: their windows are grouped by their bytes, one
-group of ``LENGTH`` bytes each, which finds the same repeated windows.
+Buckets with more than ``CROWD`` classes are not sorted in one task: their windows are grouped by 128 bits of the
+SHA-256 of their bytes, one group of ``LENGTH`` bytes each, which finds the same repeated windows.
 """
 
 from __future__ import annotations
@@ -321,7 +321,7 @@ def _found(texts: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def _crowded_groups(classes: DataFrame) -> DataFrame:
-    """Groups of equal windows among classes of crowded buckets, by bytes and with no bucket in one task."""
+    """Groups of equal windows among classes of crowded buckets, by a hash of them and with no bucket in one task."""
     windows = classes.select(
         "g", "h", "doc", "sub", "start", "segment", F.explode(F.expr(f"sequence(0, length(segment) - {LENGTH})")).alias("offset")
     ).select(
