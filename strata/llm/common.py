@@ -90,6 +90,14 @@ def bucketed(df: DataFrame, by: str, name: str) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {called}")
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, and so is sorted and merged whatever its size is taken for.
+
+    Spark takes the size of exploded rows for that of the rows before, and broadcasts what seems small through the driver.
+    """
+    return side.hint("merge")
+
+
 def byte_text(column: str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored
+from strata.llm.common import merged, stored
 
 
 def _lowest(arcs: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     return (
-        arcs.join(_lowest(arcs), "u")
+        arcs.join(merged(_lowest(arcs)), "u")
         .where(F.col("v") > F.col("u"))
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         .where("hi <> lo")
@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     arcs = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     lowest = _lowest(arcs)
     moved = (
-        arcs.join(lowest, "u")
+        arcs.join(merged(lowest), "u")
         .where(F.col("v") != F.col("m"))
         .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     )

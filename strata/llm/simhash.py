@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import byte_text, stored
+from strata.llm.common import byte_text, merged, stored
 from strata.llm.components import components
 
 SEED = 42
@@ -134,13 +134,13 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     crowded = stored(_ball(crowds).select("variant").distinct(), "crowded")
     ball = _ball(own).select(F.col("fp").alias("b"), "variant", "own")
     seat = own.select(F.col("fp").alias("a"), F.col("key").alias("variant"))
-    light = seat.join(crowded, "variant", "left_anti")
-    met = light.join(ball, "variant").where(
+    light = seat.join(merged(crowded), "variant", "left_anti")
+    met = light.join(merged(ball), "variant").where(
         (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= RADIUS)
     )
     found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not crowded.isEmpty():
-        heavy = _ball(own).select("variant", "fp", "own").join(crowded, "variant")
+        heavy = _ball(own).select("variant", "fp", "own").join(merged(crowded), "variant")
         found = found.unionByName(_crowded_links(heavy).select(F.col("hub").alias("a"), F.col("fp").alias("b")))
     return found.distinct()
 
@@ -161,11 +161,11 @@ def simhash_dedup(
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     labels = components(links(nodes.select("fp"), crowd), "a", "b").withColumnRenamed("node", "fp")
     rooted = stored(
-        nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted"
+        nodes.join(merged(labels), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted"
     )
     smallest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    named = stored(rooted.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(
+    named = stored(rooted.join(merged(smallest), "root").select("fp", "component_id"), "named")
+    return rows.join(merged(named), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -173,4 +173,4 @@ def simhash_dedup(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all columns; rows without an id stay."""
     gone = simhash_dedup(docs, id_col, text_col, shingle).where(F.col("component_id") < F.col(id_col))
-    return docs.join(gone.select(id_col).distinct().hint("merge"), id_col, "left_anti").select(*docs.columns)
+    return docs.join(merged(gone.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)

@@ -104,3 +104,12 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "7", "None", "None", "None"]
+
+
+def test_variants_are_not_broadcast(spark):
+    """Spark takes the 33 variants of a half for no more than the halves, and so would send them through the driver."""
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C1 % (1 << 63),) for i in range(300)], "fp long")
+    plan = links(prints)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    )
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
