@@ -65,11 +65,11 @@ def with_next(
 
 
 def with_running_max(
-    df: DataFrame, keys: list[str], order: list[str], slice_of: Column, value: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], slice_of: Column, value: Column, name: str, earlier: bool = False
 ) -> DataFrame:
-    """Adds the largest ``value`` of the key up to and including the row."""
+    """Adds the largest ``value`` of the key up to and including the row, or of the rows before it if ``earlier``."""
     rows = df.withColumn("_slice", slice_of).withColumn("_value", value)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if earlier else 0)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     border = (
         rows.groupBy(*keys, "_slice")

@@ -6,10 +6,10 @@ ledger keeps, per batch, the dense ranges of offsets of each topic partition; wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.ordered import with_next, with_previous
+from strata.functions.ordered import with_next, with_previous, with_running_max
 
 RANGES = "topic string, partition int, first bigint, last bigint, batch_id bigint"
 KEYS = ["topic", "partition"]
@@ -26,34 +26,32 @@ def ranges(records: DataFrame, slice_offsets: int = SLICE) -> DataFrame:
     beside = with_next(with_previous(rows, keys, ["offset"], part, ["offset"]), keys, ["offset"], part, ["offset"])
     first = F.coalesce(F.col("previous.offset") < F.col("offset") - 1, F.lit(True))
     last = F.coalesce(F.col("following.offset") > F.col("offset") + 1, F.lit(True))
-    # Only the ends of runs meet by partition: the n-th first belongs to the n-th last.
     ends = beside.select(*keys, "offset", first.alias("first"), last.alias("last")).where("first OR last")
-    order = Window.partitionBy(*keys).orderBy("offset")
-    return (
-        ends.withColumn("run", F.sum(F.col("first").cast("int")).over(order))
-        .groupBy(*keys, "run")
-        .agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
-        .select(*KEYS, "first", "last")
+    # A run of one offset is first and last at once; any other ends with the next end.
+    runs = with_next(ends, keys, ["offset"], part, ["offset"], "end").where("first")
+    return runs.select(
+        *KEYS, F.col("offset").alias("first"), F.when(F.col("last"), F.col("offset")).otherwise(F.col("end.offset")).alias("last")
     )
 
 
 def record(batch: DataFrame, batch_id: int, path: str) -> None:
     """Writes the ranges of a batch; a batch that is repeated replaces its own."""
-    ranges(batch).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
+    ranges(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read(spark, path: str) -> DataFrame:
     return spark.read.schema(RANGES).parquet(path)
 
 
-def faults(ledger: DataFrame, earliest: Column | None = None) -> DataFrame:
+def faults(ledger: DataFrame, earliest: Column | None = None, slice_offsets: int = SLICE) -> DataFrame:
     """(topic, partition, fault, first, last): ``lost`` offsets that no range holds, ``repeated`` ones that several do.
 
     Nothing is known of offsets before the first range of a partition, unless ``earliest`` names where it should begin.
     """
-    before = Window.partitionBy(*KEYS).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max("last").over(before)
-    rows = ledger.withColumn("reached", F.coalesce(reached, earliest - 1) if earliest is not None else reached)
+    part = F.floor(F.col("first") / slice_offsets)
+    rows = with_running_max(ledger, KEYS, ["first", "last"], part, F.col("last"), "reached", earlier=True)
+    if earliest is not None:
+        rows = rows.withColumn("reached", F.coalesce("reached", earliest - 1))
     lost = rows.where("first > reached + 1").select(
         *KEYS, F.lit("lost").alias("fault"), (F.col("reached") + 1).alias("first"), (F.col("first") - 1).alias("last")
     )

@@ -153,3 +153,24 @@ def test_ledger_reports_a_hole_and_a_repeat_and_nothing_else(spark, tmp_path):
     assert got == [("a", 0, "lost", 200, 219), ("a", 0, "repeated", 290, 299)]
     early = ledger.faults(ledger.read(spark, path), F.lit(90)).where("topic = 'a' AND fault = 'lost'").collect()
     assert sorted((r.first, r.last) for r in early) == [(90, 99), (200, 219)]
+
+
+@pytest.mark.parametrize("slice_offsets", [4, 1 << 16])
+def test_faults_over_slices_and_files(spark, tmp_path, slice_offsets):
+    rows = [("a", 0, f, l) for f, l in [(0, 1), (2, 30), (5, 6), (20, 40), (45, 50), (51, 60)]] + [(None, 1, 3, 3), (None, 1, 9, 9)]
+    got = ledger.faults(spark.createDataFrame(rows, "topic string, partition int, first long, last long"), slice_offsets=slice_offsets)
+    want = [("a", 0, "lost", 41, 44), ("a", 0, "repeated", 5, 6), ("a", 0, "repeated", 20, 30), (None, 1, "lost", 4, 8)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_ranges_of_a_batch_are_not_gathered_in_one_task(spark, tmp_path):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        batch = spark.range(4000).selectExpr("'t' || id % 40 AS topic", "0 AS partition", "id * 2 AS offset")
+        ledger.record(batch, 0, str(tmp_path / "l"))
+    finally:
+        spark.conf.set(key, before)
+    back = ledger.read(spark, str(tmp_path / "l"))
+    assert back.count() == 4000 and back.select(F.input_file_name()).distinct().count() > 1
