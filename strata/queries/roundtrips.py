@@ -254,11 +254,18 @@ def catalogued_loads(e):
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _stream(e, rows: DataFrame, files: int = 4) -> DataFrame:
-    """The rows as a stream of files, one per trigger."""
+def _landed(e, rows: DataFrame, path: str, triggers: int) -> int:
+    """Writes the rows as files of one task each, as many as shuffles have partitions; how many make one trigger."""
+    each = -(-int(e.spark.conf.get("spark.sql.shuffle.partitions")) // triggers)
+    rows.repartition(each * triggers).write.parquet(path)
+    return each
+
+
+def _stream(e, rows: DataFrame, triggers: int = 4) -> DataFrame:
+    """The rows as a stream of files, read in some triggers."""
     path = _fresh(e, "stream")
-    rows.repartition(files).write.parquet(path)
-    return e.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = _landed(e, rows, path, triggers)
+    return e.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _events(e) -> DataFrame:
@@ -290,8 +297,8 @@ def stream_intake(e):
     records = queue_records(e).select(
         F.lit(None).cast("binary").alias("key"), "value", "topic", "partition", "offset", "timestamp", F.lit(0).alias("timestampType")
     )
-    records.repartition(2).write.parquet(landing)
-    ingest.start(queue.file_stream(e.spark, landing, files_per_trigger=1), bronze, dead, _fresh(e, "checkpoint"), once=True).awaitTermination()
+    each = _landed(e, records, landing, 2)
+    ingest.start(queue.file_stream(e.spark, landing, files_per_trigger=each), bronze, dead, _fresh(e, "checkpoint"), once=True).awaitTermination()
     rows = e.spark.read.schema(schemas.BRONZE).parquet(bronze).groupBy("source_type").agg(F.count("*").alias("rows"))
     letters = (
         e.spark.read.schema(schemas.DEAD_LETTER).parquet(dead)

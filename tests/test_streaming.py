@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,19 @@ def test_new_checkpoints_keep_old_letters_and_messages_replay_as_sent(spark, dir
     assert texts == sorted(want + want[:2])
     outcomes = {r.original_message: r.outcome for r in dlq.replay(dead).collect()}
     assert outcomes[bad.decode()] == "failed" and outcomes[want[1]] == "retried"
+
+
+def test_files_of_a_stream_grow_in_number_not_in_size(spark, tmp_path):
+    from strata.plans.entities import Entities
+    from strata.queries import roundtrips
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "12")
+    try:
+        each = roundtrips._landed(Entities(spark, ""), spark.range(5000), str(tmp_path / "landed"), 2)
+    finally:
+        spark.conf.set(key, before)
+    back = spark.read.schema("id long").parquet(str(tmp_path / "landed"))
+    per_file = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert each == 6 and len(per_file) == 12 and max(per_file) < 1000 and sum(per_file) == 5000
