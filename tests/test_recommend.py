@@ -58,3 +58,45 @@ def test_co_bookers_of_every_asked_tour(spark, entities):
     assert len(got) > 1
     tour = min(got)
     assert got[tour] == {r.tour_id: r.co_bookers for r in recommend.also_booked(events, tour).collect()}
+
+
+def _bookings(spark):
+    pairs = {(u, (u * 7 + k * k) % 60) for u in range(150) for k in range(2 + u % 5)} | {(u, 3) for u in range(0, 150, 3)}
+    return pairs, spark.createDataFrame([(u, t, "booking") for u, t in sorted(pairs)], "user_id long, tour_id long, event_type string")
+
+
+def test_tours_with_few_bookers_need_no_table_of_pairs(spark, monkeypatch):
+    _, events = _bookings(spark)
+    asked = spark.createDataFrame([(u,) for u in (0, 3, 50, 149)], "user_id long")
+    rows = {}
+    for light in (0, 5, 1000):
+        monkeypatch.setattr(recommend, "LIGHT", light)
+        if light == 1000:
+            monkeypatch.setattr(recommend, "also_booked_each", None)
+        rows[light] = {(r.user_id, r.tour_id): r.item_score for r in recommend.item_scores(events, asked).collect()}
+    assert len(rows[0]) > 50 and rows[0].keys() == rows[5].keys() == rows[1000].keys()
+    assert all(abs(rows[0][k] - rows[n][k]) < 2e-6 for n in (5, 1000) for k in rows[0])
+
+
+def test_personal_lists_are_those_over_all_candidates(spark):
+    pairs, events = _bookings(spark)
+    asked = [0, 3, 50, 149]
+    users = spark.createDataFrame([(u,) for u in asked], "user_id long")
+    # no row for tour 7, tour 9 without tags, tour 11 without a rating
+    tours = [(t, "r", None if t == 11 else float(t % 5), [] if t == 9 else [f"w{t % 7}", f"x{t % 3}"]) for t in range(60) if t != 7]
+    frame = spark.createDataFrame(tours, "tour_id long, region string, rating double, tags array<string>")
+    got = {(r.user_id, r.rank): (r.tour_id, r.match_score) for r in recommend.personal_recommendations(events, users, frame, 3).collect()}
+    of = {t: (rating, set(tags)) for t, _, rating, tags in tours}
+    scores = {(r.user_id, r.tour_id): r.item_score for r in recommend.item_scores(events, users).collect()}
+    want = {}
+    for u in asked:
+        liked = set().union(*[of[t][1] for v, t in pairs if v == u and t in of])
+        best = max(s for (v, _), s in scores.items() if v == u)
+        rows = []
+        for (v, t), s in scores.items():
+            if v == u and t in of and of[t][0] is not None:
+                union = len(of[t][1] | liked)
+                rows.append((-round(0.5 * s / best + 0.3 * (len(of[t][1] & liked) / union if union else 0) + 0.2 * of[t][0] / 5, 6), t))
+        want |= {(u, n): (t, -s) for n, (s, t) in enumerate(sorted(rows)[:3], 1)}
+    assert len(want) == 12 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
