@@ -1,11 +1,10 @@
 """Near duplicates among embeddings by a pivot-permutation index.
 
-A vector is described by its nearest reference points, the pivots, in their order; the larger the table, the more
-pivots.  The index lists vectors under each pair of pivots among a vector's first four, so vectors that share at least
-two pivots meet in a list.  A list too long for one block is taken apart by the pivots that come next in the order: its
-vectors meet again if they share a third one among their first six.  Vectors of a list are verified by their cosine
-in double precision.  A pair may meet in several lists; it counts in the one with the smallest key it shares, which
-needs no exchange.  What is still long is cut into blocks that are compared two by two.
+A vector is described by its nearest reference points, the pivots, in their order.  The index lists vectors under each
+pair of pivots among a vector's first four, so vectors that share at least two pivots meet in a list.  Vectors of a
+list are verified by their cosine in double precision.  A pair may meet in several lists; it counts in the one with
+the smallest key it shares, which needs no exchange.  A long list is cut into blocks that are compared two by two, so
+whether two vectors meet depends on them and the pivots, not on how many others there are.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import settled
@@ -25,16 +24,14 @@ SIMILARITY = 0.98
 # The pivots come from a sample of at most this many different vectors, those with the smallest hashes.
 SAMPLE = 4096
 PIVOTS = 256
-# Pivots per square root of the number of different vectors, if that makes more; the sample is the upper limit.
-GROWTH = 2.0
 # Cosine below which a vector may become another pivot.
 APART = 0.7
 NEAREST = 4
 SHARED = 2
-# Pivots that tell the vectors of a long list apart.
-PREFIX = 6
 # Vectors of a block; a task holds two blocks.
 BLOCK = 1024
+# More than products of unit vectors are rounded by.
+ROUNDING = 1e-9
 # Rows of the lists that are compared in one go, for lists of fewer rows than that.
 BATCH, SMALL = 4096, 64
 
@@ -68,7 +65,7 @@ def _described(pivots: np.ndarray):
         for batch in batches:
             if batch.num_rows:
                 raw = _vectors(batch.column(2), pivots.shape[1])
-                near = nearest_pivots(_unit(raw), pivots, PREFIX)
+                near = nearest_pivots(_unit(raw), pivots, NEAREST)
                 lists = pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], near.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "space", "vector", "copies", "near"])
 
@@ -92,6 +89,15 @@ def _least_shared(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cosines(unit: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Cosines of pairs, the same for a pair wherever it stands; products of whole blocks round by their shapes."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        out[part] = np.einsum("ij,ij->i", unit[at[part]], unit[to[part]])
+    return out
+
+
 def _pairs(rows: dict[str, np.ndarray], starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (at, to) of like vectors within each of many short lists that begin at ``starts``."""
     unit, n = rows["unit"], len(rows["node"])
@@ -99,10 +105,7 @@ def _pairs(rows: dict[str, np.ndarray], starts: np.ndarray, similarity: float) -
     after = np.repeat(ends, ends - starts) - np.arange(n) - 1
     at = np.repeat(np.arange(n), after)
     to = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(after) - after, after)
-    like = np.empty(len(at), bool)
-    for i in range(0, len(at), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        like[part] = np.einsum("ij,ij->i", unit[at[part]], unit[to[part]]) >= similarity
+    like = _cosines(unit, at, to) >= similarity
     return at[like], to[like]
 
 
@@ -110,9 +113,12 @@ def _met(rows: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np
     """Places (at, to) of like vectors of two blocks of a list, or of one block."""
     unit, block = rows["unit"], rows["block"]
     left, right = np.flatnonzero(block == rows["i"][0]), np.flatnonzero(block == rows["j"][0])
-    at, to = np.nonzero(unit[left] @ unit[right].T >= similarity)
+    at, to = np.nonzero(unit[left] @ unit[right].T >= similarity - ROUNDING)
     at, to = left[at], right[to]
-    return (at[at < to], to[at < to]) if rows["i"][0] == rows["j"][0] else (at, to)
+    if rows["i"][0] == rows["j"][0]:
+        at, to = at[at < to], to[at < to]
+    like = _cosines(unit, at, to) >= similarity
+    return at[like], to[like]
 
 
 def _compare(rows: dict[str, np.ndarray], at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,49 +255,25 @@ def embedding_dedup(
     )
 
 
-def _key(*pivots: Column) -> Column:
-    """The key of a list: two pivots in ascending order, and the third one that took it apart, if any."""
-    first, second, *third = pivots
-    low, high = F.least(first, second).cast("long"), F.greatest(first, second).cast("long")
-    return F.shiftleft(low, 26) + F.shiftleft(high, 13) + (third[0] + 1 if third else F.lit(0))
-
-
-def _keyed(described: DataFrame, few: int, block: int) -> DataFrame:
-    """Adds ``keys``: the lists of each vector.  A list longer than a block gives way to those by a third pivot."""
-    near = F.col("near")
-    pairs = list(combinations(range(min(few, NEAREST)), SHARED))
-    plain = F.array(*[_key(near[a], near[b]) for a, b in pairs])
+def _keyed(described: DataFrame, few: int) -> DataFrame:
+    """Adds ``keys``: the lists of each vector, one per pair of pivots in ascending order."""
     if few < SHARED:
         # With fewer pivots than a vector needs to share, one list holds all of a space.
         return described.withColumn("keys", F.array(F.lit(0).cast("long")))
-    keyed = described.withColumn("keys", plain)
-    thirds = [F.array(*[_key(near[a], near[b], near[c]) for c in range(few) if c not in (a, b)]) for a, b in pairs]
-    if few <= SHARED:
-        return keyed
-    entries = keyed.select(
-        "node", "space", F.inline(F.arrays_zip(plain.alias("key"), F.array(*thirds).alias("finer")))
-    )
-    crowded = settled(entries.groupBy("space", "key").count().where(F.col("count") > block).select("space", "key"), "crowded")
-    if crowded.isEmpty():
-        return keyed
-    finer = (
-        entries.join(crowded.withColumn("split", F.lit(True)), ["space", "key"], "left")
-        .select("node", F.explode(F.when(F.col("split"), F.col("finer")).otherwise(F.array("key"))).alias("key"))
-        .groupBy("node").agg(F.collect_set("key").alias("keys"))
-    )
-    return described.join(finer, "node")
+    near = F.col("near")
+    key = lambda a, b: F.shiftleft(F.least(a, b).cast("long"), 13) + F.greatest(a, b).cast("long")
+    return described.withColumn("keys", F.array(*[key(near[a], near[b]) for a, b in combinations(range(few), SHARED)]))
 
 
 def _links(nodes: DataFrame, size: int, similarity: float, pivots: int, block: int) -> DataFrame:
     """(node, links, other): parts of each node's number of links, and an edge to the smallest node of its group."""
     sample = nodes.orderBy("node").limit(SAMPLE).select("vector").toArrow()
-    count = min(SAMPLE, max(pivots, int(GROWTH * nodes.count() ** 0.5)))
-    points = spread_pivots(_unit(_vectors(sample.column(0).combine_chunks(), size)), count)
+    points = spread_pivots(_unit(_vectors(sample.column(0).combine_chunks(), size)), pivots)
     described = nodes.select("node", "space", "vector", "copies").mapInArrow(
         _described(points), "node long, space long, vector array<double>, copies long, near array<int>"
     )
     described = settled(described, "described")
-    keyed = _keyed(described, min(len(points), PREFIX), block)
+    keyed = _keyed(described, min(len(points), NEAREST))
     lists = settled(
         keyed.select("space", F.explode("keys").alias("key")).groupBy("space", "key").count().where("count > 1")
         .withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"),

@@ -92,3 +92,14 @@ def test_recall_over_a_table_with_planted_neighbours(spark, sf_dir):
     assert links > 500 and sum(min(g[1], w[1]) for g, w in zip(got, want, strict=True)) >= 0.97 * links
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g[2] == w[2] for g, w in zip(got, want, strict=True)) >= 0.97 * len(want)
+
+
+def test_links_do_not_depend_on_how_many_vectors_there_are(spark):
+    """Lists are compared whole, in blocks of any size; a vector's further pivots say nothing about whom it meets."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.12).tolist(), 0) for i in range(800)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = found(embedding_dedup(frame, block=1024))
+    assert sum(links for _, links, _ in got) > 100
+    assert found(embedding_dedup(frame, block=16)) == got == found(embedding_dedup(frame, block=100))
