@@ -225,13 +225,10 @@ def maximal_groups(
     return group, length[group], segment[member], offset[member], when == least[group]
 
 
-_GROUP = "g long, h long, offset int, length int, first_doc long, first_sub long, first_start long, earliest boolean"
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes (g, h, doc, sub, start, segment), sorted by g, to the occurrences of their maximal repeats."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Classes (g, h, doc, sub, start, segment), sorted by g, whole buckets at a time, with their maximal repeats."""
 
-    def sorted_out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def sorted_out(held: list[pa.RecordBatch]) -> tuple:
         rows = pa.Table.from_batches(held).combine_chunks()
         g, h, doc, sub, begin = (np.asarray(rows.column(i)) for i in range(5))
         texts = rows.column(5).combine_chunks() if rows.column(5).num_chunks != 1 else rows.column(5).chunk(0)
@@ -242,16 +239,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.empty(len(doc), np.int64)
         number[by_doc] = np.concatenate([[0], np.cumsum(new)])
         bucket = np.concatenate([[0], np.cumsum(g[1:] != g[:-1])])
-        group, length, segment, offset, earliest = maximal_groups(
-            data, offsets[:-1], offsets[1:], bucket, (number << 32) + begin
-        )
-        head = segment[earliest][np.searchsorted(group[earliest], group)] if len(group) else segment
-        lag = offset[earliest][np.searchsorted(group[earliest], group)] if len(group) else offset
-        columns = [
-            g[segment], h[segment], offset.astype(np.int32), length.astype(np.int32),
-            doc[head], sub[head], begin[head] + lag, earliest,
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _GROUP.split(", ")])
+        return (g, h, doc, sub, begin), maximal_groups(data, offsets[:-1], offsets[1:], bucket, (number << 32) + begin)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -270,6 +258,41 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sorted_out(held)
 
 
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in schema.split(", ")])
+
+
+_GROUP = "g long, h long, offset int, length int, first_doc long, first_sub long, first_start long, earliest boolean"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes (g, h, doc, sub, start, segment), sorted by g, to the occurrences of their maximal repeats."""
+    for (g, h, doc, sub, begin), (group, length, segment, offset, earliest) in _buckets(batches):
+        head = segment[earliest][np.searchsorted(group[earliest], group)] if len(group) else segment
+        lag = offset[earliest][np.searchsorted(group[earliest], group)] if len(group) else offset
+        yield _batch(
+            _GROUP, g[segment], h[segment], offset.astype(np.int32), length.astype(np.int32),
+            doc[head], sub[head], begin[head] + lag, earliest,
+        )
+
+
+_COVER = "g long, h long, offset int, length int"
+
+
+def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes (g, h, doc, sub, start, segment), sorted by g, to what of each starts earlier elsewhere, if anything.
+
+    Any two repeats of a segment overlap, as it is shorter than twice the shortest; together they are one stretch.
+    """
+    for (g, h, *_), (_, length, segment, offset, earliest) in _buckets(batches):
+        segment, offset, length = segment[~earliest], offset[~earliest], length[~earliest]
+        first, end = np.full(len(g), LONGEST, np.int64), np.zeros(len(g), np.int64)
+        np.minimum.at(first, segment, offset)
+        np.maximum.at(end, segment, offset + length)
+        found = end > 0
+        yield _batch(_COVER, g[found], h[found], first[found].astype(np.int32), (end - first)[found].astype(np.int32))
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, doc, sub, text): every row with a key of its own, ordered as the texts are; null texts are empty.
 
@@ -290,8 +313,11 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return settled(alone.join(shared, "id", "left_anti").where("id is not null").unionByName(several), "numbered")
 
 
-def _found(texts: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences of repeated segments, their classes, and the maximal repeats among the classes."""
+def _found(texts: DataFrame, crowd: int, listed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of repeated segments, their classes, and the maximal repeats among the classes.
+
+    The repeats come with all their occurrences if ``listed``, else as one stretch per class (see :func:`_covers`).
+    """
     segments = texts.select("doc", "sub", "text").mapInArrow(_segments, _SEGMENT)
     # Counts are summed up before the shuffle, so a common gram is one row per task.
     grams = settled(segments.groupBy("g").count().where("count > 1").select("g"), "grams")
@@ -314,9 +340,10 @@ def _found(texts: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFram
         "segments",
     )
     calm = with_text.where(F.col("count") <= crowd).drop("count").repartition("g").sortWithinPartitions("g")
-    groups = calm.mapInArrow(_groups, _GROUP)
+    groups = calm.mapInArrow(_groups, _GROUP) if listed else calm.mapInArrow(_covers, _COVER)
     if not buckets.where(F.col("count") > crowd).isEmpty():
-        groups = groups.unionByName(_crowded_groups(with_text.where(F.col("count") > crowd)))
+        crowded = _crowded_groups(with_text.where(F.col("count") > crowd))
+        groups = groups.unionByName(crowded if listed else _crowded_covers(crowded))
     return occurrences, classes, settled(groups, "groups")
 
 
@@ -342,6 +369,13 @@ def _crowded_groups(classes: DataFrame) -> DataFrame:
     )
 
 
+def _crowded_covers(groups: DataFrame) -> DataFrame:
+    """As :func:`_covers`, from the groups of crowded buckets."""
+    first, end = F.min("offset"), F.max(F.col("offset") + F.col("length"))
+    later = groups.where("not earliest").groupBy("g", "h")
+    return later.agg(first.alias("offset"), (end - first).cast("int").alias("length"))
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Repeat groups with all their occurrences: length, first_doc, first_start, id, start, one row per occurrence.
 
@@ -350,7 +384,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat; an empty table gives an empty result; rows that share an id are told apart as in :func:`numbered`.
     """
     texts = numbered(docs, id_col, text_col)
-    occurrences, classes, groups = _found(texts, crowd)
+    occurrences, classes, groups = _found(texts, crowd, listed=True)
     member = occurrences.select("g", "h", "doc", "sub", _start("spot").alias("begin"))
     whole = classes.where("size > 1").select(
         "g", "h", F.lit(0).alias("offset"), (_windows("spot") + LENGTH - 1).cast("int").alias("length"),
@@ -374,15 +408,14 @@ def repeated_spans(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     Spans overlap; together they cover exactly the bytes of strings of ``LENGTH`` bytes that also start earlier.
     """
-    occurrences, classes, groups = _found(texts, crowd)
+    occurrences, classes, covers = _found(texts, crowd, listed=False)
     # The first segment of a class is judged against other classes, all others repeat it whole.
     whole = (
         occurrences.join(classes.where("size > 1").select("g", "h", F.struct("doc", "sub", "spot").alias("first")), ["g", "h"])
         .where(F.struct("doc", "sub", "spot") != F.col("first"))
         .select("doc", "sub", _start("spot").alias("start"), (_start("spot") + _windows("spot") + LENGTH - 1).alias("end"))
     )
-    later = groups.where("not earliest").groupBy("g", "h", "offset").agg(F.max("length").alias("length"))
-    part = later.join(classes.select("g", "h", "doc", "sub", "spot"), ["g", "h"]).select(
+    part = covers.join(classes.select("g", "h", "doc", "sub", "spot"), ["g", "h"]).select(
         "doc", "sub", (_start("spot") + F.col("offset")).alias("start"), (_start("spot") + F.col("offset") + F.col("length")).alias("end")
     )
     return whole.unionByName(part)

@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,3 +181,22 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert run(docs) == []
     assert maximal_repeats(docs).collect() == []
+
+
+def test_a_class_has_one_row_however_many_repeats_nest_in_it():
+    """Segments that share ever longer prefixes: each is in a group with all that share more."""
+    rng = random.Random(4)
+    base = bytes(rng.choices(range(97, 123), k=168))
+    texts = [base[: 100 + i] + bytes([200 + i % 50]) * (68 - i) for i in range(60)]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 60), pa.array(range(60)), pa.array(range(60)), pa.array([0] * 60), pa.array([0] * 60), pa.array(texts, pa.binary())],
+        ["g", "h", "doc", "sub", "start", "segment"],
+    )
+    listed = [r for b in module._groups(iter([rows])) for r in b.to_pylist()]
+    covers = [r for b in module._covers(iter([rows])) for r in b.to_pylist()]
+    spans = {}
+    for r in listed:
+        if not r["earliest"]:
+            spans.setdefault(r["h"], set()).update(range(r["offset"], r["offset"] + r["length"]))
+    assert len(listed) > 500 and len(covers) == len(spans) <= 60
+    assert {r["h"]: set(range(r["offset"], r["offset"] + r["length"])) for r in covers} == spans
