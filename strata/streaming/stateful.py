@@ -6,7 +6,9 @@ shuffle, so a hot type or page sends one row per task, and watermarks bound what
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -20,6 +22,10 @@ PROCESSING_SECONDS = 600
 # row it let through is not dropped as late if it is processed within ``PROCESSING_SECONDS``.
 LATENESS = f"{MAX_PAST_SECONDS + MAX_FUTURE_SECONDS + PROCESSING_SECONDS} seconds"
 
+# States that the keys of a stream without repeats share, our own choice.
+BUCKETS = 1 << 10
+NO_TIME = int(np.iinfo(np.int64).min)
+
 
 def as_event_time(stream: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Zone-free times cannot carry a watermark."""
@@ -39,40 +45,79 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("count"))
 
 
+def _time_numbers(times) -> np.ndarray:
+    """Microseconds; a missing time is the smallest number."""
+    return np.asarray(times, "datetime64[us]").view(np.int64)
+
+
+def _chosen(known: np.ndarray, fresh: np.ndarray, span: int) -> np.ndarray:
+    """Which of ``fresh`` to keep: earliest first, those more than ``span`` away from all rows of the key kept before.
+
+    Rows are (key, key, time), ``known`` those kept before.  A row without a time stays if its key has no other.
+    """
+    rows = np.concatenate([known, fresh])
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    keys = rows[order, :2]
+    new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(rows)))
+    keep = np.zeros(len(rows), bool)
+    keep[order[starts[sizes == 1]]] = True
+    # Only keys that come more than once are looked at row by row.
+    for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        places = order[a : a + n]
+        kept = [t for p, t in zip(places.tolist(), rows[places, 2].tolist(), strict=True) if p < len(known)]
+        timeless = [p for p in places.tolist() if rows[p, 2] == NO_TIME]
+        for p in [*(p for p in places.tolist() if rows[p, 2] != NO_TIME), *timeless]:
+            if p < len(known):
+                continue
+            time = int(rows[p, 2])
+            at = bisect_left(kept, time)
+            near = kept[:1] if NO_TIME in (time, *kept[:1]) else kept[max(0, at - 1) : at + 1]
+            if all(NO_TIME not in (t, time) and abs(time - t) > span for t in near):
+                kept.insert(at, time)
+                keep[p] = True
+    return keep[len(known) :]
+
+
 def dedup_within(
-    stream: DataFrame, keys: list[str], seconds: int, ts: str = "timestamp", lateness: str = LATENESS
+    stream: DataFrame, keys: list[str], seconds: int, ts: str = "timestamp", lateness: str = LATENESS, buckets: int = BUCKETS
 ) -> DataFrame:
     """Rows of a key that are more than ``seconds`` of event time away from every row of it kept before.
 
     The state holds the times kept for a key, at most one per ``seconds`` of the accepted past.  How long a key is
     remembered is not tied to the watermark, so late rows of new keys pass.  Unlike the batch form, repeats do not
     prolong the time.
+
+    Keys share the states of ``buckets``, so a batch calls Python once per bucket and not once per key; the number of
+    buckets belongs to the checkpoint.  In a bucket a key goes by two hashes of 64 bits.
     """
-    span = pd.Timedelta(seconds=seconds)
+    span, columns = seconds * 1_000_000, stream.columns
+    parts = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    first, second = F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+    shared = stream.withColumns({"_bucket": F.pmod(first, F.lit(buckets)), "_first": first, "_second": second})
 
     def keep(_, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        kept = [pd.Timestamp(t) for t in state.get[0]] if state.exists else []
+        kept = np.frombuffer(state.get[0], np.int64).reshape(-1, 3) if state.exists else np.zeros((0, 3), np.int64)
         for frame in frames:
-            chosen = []
-            for at, time in frame[ts].sort_values(kind="stable").items():
-                if all(abs(time - t) > span for t in kept):
-                    kept.append(time)
-                    chosen.append(at)
-            if chosen:
-                yield frame.loc[chosen]
-        border = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms") - span
-        kept = [t for t in kept if t >= border]
-        state.update(([t.to_pydatetime() for t in kept],))
-        newest = max([border, *kept])
-        state.setTimeoutTimestamp(max(int((newest + 2 * span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+            fresh = np.stack([frame["_first"], frame["_second"], _time_numbers(frame[ts])], axis=1)
+            chosen = _chosen(kept, fresh, span)
+            kept = np.concatenate([kept, fresh[chosen]])
+            if chosen.any():
+                yield frame.loc[chosen, columns]
+        border = state.getCurrentWatermarkMs() * 1000 - span
+        kept = kept[kept[:, 2] >= border]
+        state.update((kept.tobytes(),))
+        newest = max(border, int(kept[:, 2].max(initial=border)))
+        state.setTimeoutTimestamp(max((newest + 2 * span) // 1000, state.getCurrentWatermarkMs() + 1))
 
     return (
-        stream.withWatermark(ts, lateness)
-        .groupBy(*keys)
-        .applyInPandasWithState(keep, stream.schema, "times array<timestamp>", "append", GroupStateTimeout.EventTimeTimeout)
+        shared.withWatermark(ts, lateness)
+        .groupBy("_bucket")
+        .applyInPandasWithState(keep, stream.schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

@@ -112,6 +112,35 @@ def test_dedup_within_window(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == [1, 1, 2, 3, 4]
 
 
+def test_keys_share_states(spark, tmp_path):
+    rows = [(i, 1, "click", at(i % 7)) for i in range(300)]
+    s = stream(spark, str(tmp_path), rows, rows + [(i, 1, "click", at(i % 7 + 61)) for i in range(0, 300, 2)])
+    kept = stateful.dedup_within(s, ["event_id"], 60, buckets=8)
+    query = kept.writeStream.format("memory").queryName("dedup_shared").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("dedup_shared").collect()) == sorted([*range(300), *range(0, 300, 2)])
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+
+
+def test_rows_kept_are_those_of_a_walk_in_time():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        known = np.array([(k, 0, 100 * k + 50 * j) for k in range(3) for j in range(int(rng.integers(3)))], np.int64).reshape(-1, 3)
+        fresh = np.stack([rng.integers(0, 5, 30), np.zeros(30, np.int64), rng.integers(0, 400, 30)], axis=1)
+        fresh[rng.random(30) < 0.1, 2] = stateful.NO_TIME
+        kept = {}
+        for k, _, t in known.tolist():
+            kept.setdefault(k, []).append(t)
+        want = set()
+        for i in sorted(range(30), key=lambda i: (fresh[i, 2] == stateful.NO_TIME, fresh[i, 2], i)):
+            k, t = int(fresh[i, 0]), int(fresh[i, 2])
+            seen = kept.setdefault(k, [])
+            if not seen if t == stateful.NO_TIME else all(abs(t - s) > 20 for s in seen):
+                seen.append(t)
+                want.add(i)
+        assert set(np.flatnonzero(stateful._chosen(known, fresh, 20)).tolist()) == want
+
+
 def test_late_keys_are_not_lost(spark, tmp_path):
     s = stream(
         spark, str(tmp_path),
